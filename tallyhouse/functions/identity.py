@@ -1,5 +1,7 @@
 """Keys and labels derived from paths and source systems."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +17,20 @@ def parent_dir(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
+def plain_path(uri: Column) -> Column:
+    """Path as stored, from the percent-encoded URI that file metadata reports."""
+    return F.coalesce(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), uri)
+
+
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def workspace_key(path: Column, root: str) -> Column:
     """First path segment below the root; the path itself when it lies elsewhere."""
-    base = root.rstrip("/") + "/"
-    first = F.element_at(F.split(F.substr(path, F.lit(len(base) + 1)), "/"), 1)
-    return F.when(path.startswith(base) & (first != ""), first).otherwise(path)
+    base = re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    local = F.regexp_replace(path, _SCHEME, "")
+    first = F.element_at(F.split(F.substr(local, F.lit(len(base) + 1)), "/"), 1)
+    return F.when(local.startswith(base) & (first != ""), first).otherwise(path)
 
 
 def workspace_label(key: Column) -> Column:
@@ -29,7 +40,7 @@ def workspace_label(key: Column) -> Column:
     """
     safe = F.regexp_replace(F.replace(key, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
     decoded = F.try_url_decode(safe)
-    absolute = decoded.startswith("/") | decoded.rlike(r"^(?s).:\\.*")
+    absolute = decoded.startswith("/") | decoded.rlike(r"(?s)^.:\\")
     return F.when(key.contains("%") & absolute, decoded).otherwise(key)
 
 

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.identity import plain_path
 from tallyhouse.operators.carry import CHUNK_BITS
 
 JSONL = "*.[jJ][sS][oO][nN][lL]"
@@ -31,7 +32,7 @@ def _read(spark: SparkSession, path: str, glob: str, recursive: bool, **options)
 def _lines(raw: DataFrame) -> DataFrame:
     pos = F.monotonically_increasing_id()
     return raw.select(
-        F.col("_metadata.file_path").alias("path"),
+        plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value"), pos.alias("pos"),
     ).select("path", "block", F.shiftright("pos", CHUNK_BITS).alias("chunk"), "pos", "value")
@@ -68,7 +69,7 @@ def _documents(spark: SparkSession, globs: list[str]) -> DataFrame:
     found = [raw for g in globs if (raw := _read(spark, g, "*", False, wholetext=True)) is not None]
     if not found:
         return spark.createDataFrame([], "path string, value string")
-    parts = [raw.select(F.col("_metadata.file_path").alias("path"), "value") for raw in found]
+    parts = [raw.select(plain_path(F.col("_metadata.file_path")).alias("path"), "value") for raw in found]
     return reduce(DataFrame.unionByName, parts)
 
 
