@@ -68,46 +68,68 @@ def comparable(model: Column) -> Column:
     return F.coalesce(version_sep(lower), lower)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _joined(parts: Column, first: Column, count: Column) -> Column:
+    return F.array_join(F.slice(parts, first, count), "-")
+
+
+def _counts(parts: Column, limit: int) -> Column:
+    """1, 2, ... up to the limit, leaving at least one part; NULL for a single part."""
+    most = F.least(F.size(parts) - 1, F.lit(limit))
+    return F.when(F.size(parts) > 1, F.sequence(F.lit(1), most))
+
+
 def dash_prefixes(model: Column) -> Column:
     """Every proper prefix that ends before a "-"."""
-    parts = F.split(model, "-")
-    ends = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1))
-    heads = F.transform(ends, lambda n: F.array_join(F.slice(parts, 1, n), "-"))
-    return F.coalesce(heads, F.array().cast("array<string>"))
+    return F.coalesce(_bound(F.split(model, "-"), lambda parts: F.transform(
+        _counts(parts, 1 << 30), lambda n: _joined(parts, F.lit(1), n))), _no_names())
 
 
-def _long_enough(names: Column) -> Column:
-    return F.filter(names, lambda n: F.length(n) >= 2)
+def _without_tails(parts: Column) -> Column:
+    """Names without their last one to four parts, at least two characters long."""
+    names = F.transform(_counts(parts, 4), lambda n: _joined(parts, F.lit(1), F.size(parts) - n))
+    return F.coalesce(F.filter(names, lambda m: F.length(m) >= 2), _no_names())
 
 
-def _without_tails(model: Column) -> Column:
-    parts = F.split(model, "-")
-    cuts = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(4))))
-    kept = F.transform(cuts, lambda n: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - n), "-"))
-    return F.coalesce(_long_enough(kept), F.array().cast("array<string>"))
+def _without_heads(parts: Column) -> Column:
+    """Names without their first or first two parts, each also without tails."""
+    rests = F.transform(_counts(parts, 2), lambda n: F.slice(parts, n + 1, F.size(parts)))
+    long_enough = F.filter(rests, lambda r: F.length(F.array_join(r, "-")) >= 2)
+    names = F.transform(long_enough, lambda r: F.concat(
+        F.array(F.array_join(r, "-")), _without_tails(r)))
+    return F.coalesce(F.flatten(names), _no_names())
 
 
-def _without_heads(model: Column) -> Column:
-    parts = F.split(model, "-")
-    cuts = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(2))))
-    kept = F.transform(
-        cuts, lambda n: F.array_join(F.slice(parts, n + F.lit(1), F.size(parts)), "-")
+def _own_candidates(names: Column) -> Column:
+    parts = F.transform(names, lambda n: F.split(n, "-"))
+    own = F.concat(
+        names, F.transform(names, version_sep),
+        F.flatten(F.transform(parts, _without_tails)), F.flatten(F.transform(parts, _without_heads)),
     )
-    expanded = F.transform(_long_enough(kept), lambda m: F.concat(F.array(m), _without_tails(m)))
-    return F.coalesce(F.flatten(expanded), F.array().cast("array<string>"))
+    return F.filter(own, lambda n: n != "")
 
 
 def price_candidates(model: Column) -> Column:
-    """Catalogue names to try for a model, in order and without repeats."""
-    full, bare = trimmed(F.lower(model)), bare_model(model)
-    own = F.concat(
-        F.array(full, bare, version_sep(full), version_sep(bare)),
-        _without_tails(full), _without_tails(bare), _without_heads(full), _without_heads(bare),
-    )
-    own = F.filter(own, lambda n: n.isNotNull() & (n != ""))
-    prefix = dataset_prefix(infer_provider(full, catalogue=True))
-    prefixed = F.transform(own, lambda n: F.concat(prefix, F.lit("/"), n))
-    return F.array_distinct(F.when(prefix == "", own).otherwise(F.concat(own, prefixed)))
+    """Catalogue names to try for a model, in order and without repeats: its full and bare name,
+    shortened forms of both, and all of them under the provider's catalogue prefix."""
+    def prefixes(name: Column) -> Column:
+        prefix = dataset_prefix(infer_provider(name, catalogue=True))
+        return F.array(F.lit(""), F.when(prefix == "", "").otherwise(F.concat(prefix, F.lit("/"))))
+
+    def candidates(name: Column) -> Column:
+        own = _bound(F.array(name, bare_model(name)), _own_candidates)
+        return F.flatten(_bound(own, lambda names: F.transform(
+            prefixes(name), lambda p: F.transform(names, lambda n: F.concat(p, n)))))
+
+    return F.array_distinct(_bound(trimmed(F.lower(model)), candidates))
 
 
 def fuzzy_score(key: Column, model: Column) -> Column:

@@ -52,66 +52,66 @@ def distinct_models(usage: DataFrame) -> DataFrame:
     return usage.select("model").where(F.col("model").isNotNull()).distinct()
 
 
-def _priced_models(models: DataFrame) -> DataFrame:
-    return models.select("model", trimmed(F.lower("model")).alias("id")).where("id != ''")
-
-
-def resolve_exact(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """First candidate name with a price: as written, under ``openai/``, then in any case."""
-    key = F.col("model_key")
-    names = F.array(
-        F.struct(key.alias("candidate"), F.lit(0).alias("tier")),
-        F.struct(F.when(key.startswith("openai/"), F.substr(key, F.lit(8))).alias("candidate"),
-                 F.lit(1).alias("tier")),
-        F.struct(F.lower(key).alias("candidate"), F.lit(2).alias("tier")),
+def _names_to_try(model_id: Column) -> Column:
+    """Array of (way, rank, name): the candidates in order, and the model's own name and its
+    "-" prefixes for the fuzzy search."""
+    own = comparable(model_id)
+    heads = F.concat(F.array(own), dash_prefixes(own))
+    none = F.array().cast("array<struct<way: string, rank: int, name: string>>")
+    candidates = F.transform(price_candidates(model_id), lambda name, rank: F.struct(
+        F.lit("exact").alias("way"), rank.alias("rank"), name.alias("name")))
+    extends_key = F.transform(heads, lambda name: F.struct(
+        F.lit("extends").alias("way"), F.lit(0).alias("rank"), name.alias("name")))
+    own_name = F.array(F.struct(
+        F.lit("extended").alias("way"), F.lit(0).alias("rank"), own.alias("name")))
+    fuzzy = F.octet_length(model_id) >= K.FUZZY_MIN_LENGTH
+    return F.concat(candidates, F.when(fuzzy, F.concat(extends_key, own_name)).otherwise(none))
+
+
+def _names_of_key(key: Column) -> Column:
+    """Array of (way, tier, name) under which a catalogue key is found: as written, without
+    ``openai/``, in lower case; for the fuzzy search its bare name and that name's prefixes."""
+    def found(way: str, tier: int, name: Column) -> Column:
+        return F.struct(F.lit(way).alias("way"), F.lit(tier).alias("tier"), name.alias("name"))
+
+    bare = comparable(bare_model(key))
+    exact = F.array(
+        found("exact", 0, key),
+        found("exact", 1, F.when(key.startswith("openai/"), F.substr(key, F.lit(8)))),
+        found("exact", 2, F.lower(key)),
     )
-    by_name = prices.select(F.inline(names), "model_key", *RATES).where("candidate IS NOT NULL")
-    tried = _priced_models(models).select(
-        "model", F.posexplode(price_candidates(F.col("id"))).alias("rank", "candidate")
+    fuzzy = F.concat(
+        F.array(found("extends", 0, bare)),
+        F.transform(dash_prefixes(bare), lambda name: found("extended", 0, name)),
     )
-    return _best(tried.join(by_name, "candidate"), F.struct("rank", "tier", "model_key"))
+    none = F.array().cast("array<struct<way: string, tier: int, name: string>>")
+    return F.concat(exact, F.when(is_excluded(key), none).otherwise(fuzzy))
 
 
-def resolve_fuzzy(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """Best catalogue key that equals a model name or extends it, or that it extends, at a "-".
+def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
+    """(model, price_key, match, rates) of the models that have a price.
 
-    Both directions are equal joins: on every "-" prefix of the model, and of the key.
+    An exact match is the first candidate name with a price: as written, under ``openai/``, then
+    in any case. Failing that, the best scored key that equals the model name, extends it or is
+    extended by it at a "-". All are equal joins on names, so one join and one aggregation
+    decide; equal scores go to the smallest key.
     """
-    wanted = _priced_models(models).where(F.octet_length("id") >= K.FUZZY_MIN_LENGTH).select(
-        "model", "id", comparable(F.col("id")).alias("name")
-    )
-    known = prices.where(~is_excluded(F.col("model_key"))).select(
-        "model_key", *RATES, comparable(bare_model(F.col("model_key"))).alias("key_name")
-    )
-    at_or_below = F.concat(F.array("name"), dash_prefixes(F.col("name")))
-    extends_key = wanted.select("model", "id", F.explode(at_or_below).alias("key_name")).join(
-        known, "key_name"
-    )
-    extended_by = wanted.join(
-        known.select("model_key", *RATES, F.explode(dash_prefixes(F.col("key_name"))).alias("name")),
-        "name",
-    )
-    columns = ["model", "id", "model_key", *RATES]
-    found = extends_key.select(*columns).union(extended_by.select(*columns))
-    score = -fuzzy_score(F.col("model_key"), F.col("id"))
-    return _best(found, F.struct(score.alias("score"), F.col("model_key").alias("key")))
-
-
-def _best(matches: DataFrame, order: Column) -> DataFrame:
+    model_id = trimmed(F.lower("model"))
+    tried = models.select("model", model_id.alias("id")).where("id != ''").select(
+        "model", "id", F.inline(_names_to_try(F.col("id"))))
+    listed = prices.select("model_key", *RATES, F.inline(_names_of_key(F.col("model_key"))))
+    fuzzy = F.col("way") != "exact"
+    rank = F.when(fuzzy, -fuzzy_score(F.col("model_key"), F.col("id"))).otherwise(F.col("rank"))
+    order = F.struct(fuzzy, rank.alias("rank"), "tier", "model_key")
+    match = F.when(fuzzy, "fuzzy").otherwise("exact").alias("match")
     return (
-        matches.groupBy("model")
-        .agg(F.min_by(F.struct("model_key", *RATES), order).alias("hit"))
-        .select("model", F.col("hit.model_key").alias("price_key"), *[f"hit.{r}" for r in RATES])
+        tried.join(listed, ["way", "name"]).groupBy("model")
+        .agg(F.min_by(F.struct(F.col("model_key").alias("price_key"), match, *RATES), order)
+             .alias("hit"))
+        .select("model", "hit.*")
     )
 
 
-def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """(model, price_key, rates) of the models that have a price."""
-    exact = resolve_exact(models, prices)
-    rest = models.join(exact.select("model"), "model", "left_anti")
-    return exact.unionByName(resolve_fuzzy(rest, prices))
-
-
 def price_events(usage: DataFrame, resolved: DataFrame) -> DataFrame:
     """Usage with its cost; the facts are not shuffled while the resolved models stay small."""
     rated = lookup_join(usage, resolved.select("model", *RATES), "model")
@@ -119,7 +119,10 @@ def price_events(usage: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Resolve the models in use once, then price every row."""
+    """Resolve the models in use once, then price every row.
+
+    The resolved models are stored, so the pass that finds the models runs once.
+    """
     return price_events(usage, cut_lineage(resolve_prices(distinct_models(usage), prices)))
 
 

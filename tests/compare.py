@@ -47,7 +47,7 @@ def main() -> None:
     from tallyhouse.session import build_session
     sf_dir, *names = sys.argv[1:]
     spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     db, bad = oracle(sf_dir), 0
