@@ -9,7 +9,7 @@ from tallyhouse import constants as K
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r\x85\xa0"))
 
 
 def _lookup(table: dict[str, str]) -> Column:
@@ -17,13 +17,15 @@ def _lookup(table: dict[str, str]) -> Column:
 
 
 def normalize_model(model: Column) -> Column:
-    """Grouping name: lower case, without reasoning tier, date stamp or dotted version."""
-    tiers = "|".join(K.REASONING_TIERS)
-    name = trimmed(F.lower(F.coalesce(model, F.lit(""))))
-    name = trimmed(F.regexp_replace(name, rf"(?s)^(.+)\(\s*(?:{tiers})\s*\)$", "$1"))
-    name = F.regexp_replace(name, r"(?s)^(.+)-[0-9]{8}$", "$1")
-    name = F.when(name.contains("claude"), F.replace(name, F.lit("."), F.lit("-"))).otherwise(name)
-    return F.when(name == "", "unknown").otherwise(name)
+    """Grouping name: lower case, without reasoning tier, date stamp or dotted version.
+
+    One pattern takes both suffixes off, since this runs once per request.
+    """
+    tier = rf"\s*\(\s*(?:{'|'.join(K.REASONING_TIERS)})\s*\)"
+    lower = trimmed(F.lower(model))
+    name = F.when(lower != "", lower).otherwise("unknown")
+    name = F.regexp_replace(name, rf"(?s)^(.+?)(?:-[0-9]{{8}})?(?:{tier})?$", "$1")
+    return F.replace(name, F.lit("."), F.when(lower.contains("claude"), "-").otherwise("."))
 
 
 def canonical_provider(provider: Column) -> Column:

@@ -4,7 +4,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyhouse import constants as K
-from tallyhouse.functions.models import trimmed
 
 _CLOCK = r"[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?"
 _ZONED = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_CLOCK}(?:Z|[+-][0-9]{{2}}:[0-9]{{2}})$"
@@ -65,13 +64,9 @@ def local_date(instant: Column, tz: str) -> Column:
 
 def normalize_date(text: Column) -> Column:
     """Date from "Y/M/D" or ISO text, NULL otherwise."""
-    text = trimmed(text)
-    parts = F.split(text, r"\s*/\s*")
-    slashed = F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))
-    iso = F.when(text.rlike(r"^[0-9]{4}\s*/\s*[0-9]{1,2}\s*/\s*[0-9]{1,2}$"), slashed).when(
-        text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text
-    )
-    return iso.try_cast("date")
+    slashed = r"^\s*([0-9]{4})\s*/\s*([0-9]{1,2})\s*/\s*([0-9]{1,2})\s*$"
+    padded = F.regexp_replace(F.regexp_replace(text, slashed, "$1-0$2-0$3"), "-0([0-9]{2})", "-$1")
+    return F.regexp_extract(padded, r"^\s*([0-9]{4}-[0-9]{2}-[0-9]{2})\s*$", 1).try_cast("date")
 
 
 def bucket_label(date: Column, granularity: str, legacy_week: bool = False) -> Column:

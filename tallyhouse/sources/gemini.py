@@ -77,7 +77,7 @@ def ffill_session_model(lines: DataFrame) -> DataFrame:
 
 
 def replace_by_id(messages: DataFrame) -> DataFrame:
-    """The last record of every message id of a file, and every message without id."""
+    """The last record of every message id of a file, and every record without id."""
     named = empty_to_null(F.col("id"))
     kept = [c for c in messages.columns if c not in ("path", "id", "block", "chunk", "pos")]
     return (
@@ -90,23 +90,22 @@ def replace_by_id(messages: DataFrame) -> DataFrame:
 
 
 def parse_gemini_jsonl(lines: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Events of JSON lines: messages with tokens, and statistics records."""
+    """Events of JSON lines: messages with tokens, and the models of statistics records."""
     j = F.col("j")
     current = ffill_session_model(lines).where(F.coalesce(j.type, F.lit("")) != "init")
     is_message = F.coalesce((j.type == "gemini") & j.tokens.isNotNull(), F.lit(False))
-    messages = replace_by_id(current.where(is_message).select(
-        "path", "block", "chunk", "pos", j.id.alias("id"), "session", "model",
-        j.timestamp.alias("timestamp"), message_usage(j.tokens).alias("usage"),
-    )).select("session", "model", "timestamp", F.col("timestamp").alias("date_text"), "usage")
-    stats = F.coalesce(j.stats, j.result.stats)
-    reports = (
-        current.where(~is_message & stats.isNotNull())
-        .select("session", j.timestamp.alias("date_text"),
-                F.explode(stats_usage(stats, F.col("model"))).alias("e"))
-        .select("session", "e.model", F.lit(None).cast("string").alias("timestamp"), "date_text",
-                "e.usage")
-    )
-    return _events(messages.unionByName(reports), tz)
+    message = F.array(F.struct(
+        F.col("model"), message_usage(j.tokens).alias("usage"), F.lit(True).alias("used")))
+    stats = stats_usage(F.coalesce(j.stats, j.result.stats), F.col("model"))
+    reported = current.select(
+        "path", "block", "chunk", "pos", F.when(is_message, j.id).alias("id"), "session",
+        F.when(is_message, j.timestamp).alias("timestamp"), j.timestamp.alias("date_text"),
+        F.when(is_message, message).otherwise(stats).alias("entries"),
+    ).where(F.size("entries") > 0)
+    latest = replace_by_id(reported).select("session", "timestamp", "date_text", "entries")
+    return _events(latest.select(F.inline(F.transform("entries", lambda e: F.struct(
+        F.col("session"), F.col("timestamp"), F.col("date_text"), e.model.alias("model"),
+        e.usage.alias("usage"))))), tz)
 
 
 def parse_gemini_session(docs: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -129,9 +128,9 @@ def parse_gemini_stats(docs: DataFrame, tz: str = "UTC") -> DataFrame:
         docs.select("path", F.from_json("value", _DOCUMENT).alias("j"))
         .where((F.coalesce(j.sessionId, F.lit("")) == "") & j.stats.isNotNull())
         .select(file_stem(F.col("path"), r"\.json").alias("session"),
-                F.explode(stats_usage(j.stats, F.lit(""))).alias("e"))
-        .select("session", "e.model", nothing.alias("timestamp"), nothing.alias("date_text"),
-                "e.usage")
+                F.inline(stats_usage(j.stats, F.lit(""))))
+        .select("session", "model", nothing.alias("timestamp"), nothing.alias("date_text"),
+                "usage")
     )
     return _events(reports, tz)
 
