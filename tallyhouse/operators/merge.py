@@ -230,10 +230,3 @@ def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) ->
 def remove_folder(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def reset_usage(spark: SparkSession, tables: dict[str, str], schemas: dict[str, object]) -> None:
-    """Empty usage tables and cursors; settings and prices are not touched."""
-    for name, path in tables.items():
-        spark.createDataFrame([], schemas[name]).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static").parquet(path)

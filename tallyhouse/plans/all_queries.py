@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["report_queries", "ingest_queries"]
+MODULES = ["report_queries", "ingest_queries", "merge_queries"]
 
 
 def load() -> None:
