@@ -6,11 +6,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.lookup import lookup_join
+from tallyhouse.operators.lookup import lookup_join, sized_for_broadcast
 from tallyhouse.schemas import (
     COST, DAILY_KEYS, EVENT_KEYS, HOUR_KEYS, MEASURES, RATES, REQUESTS, SESSION_KEYS, TOKENS, TOTAL,
 )
-from tallyhouse.session import work_path
+from tallyhouse.session import cut_lineage, work_path
 
 REPLACE, GREATEST, POSITIVE = "replace", "greatest", "positive"
 
@@ -197,6 +197,21 @@ def write_partitions(rows: DataFrame, path: str, partition: str = "usage_date")
     )
 
 
+MAX_LISTED_DAYS = 1000
+
+
+def on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of the given days, so that only their partitions are read.
+
+    Up to a thousand days become literals of the scan; more are joined.
+    """
+    days = days.where("usage_date IS NOT NULL").select("usage_date").distinct()
+    listed = [r[0] for r in days.limit(MAX_LISTED_DAYS + 1).collect()]
+    if len(listed) <= MAX_LISTED_DAYS:
+        return rows.where(F.col("usage_date").isin(listed) if listed else F.lit(False))
+    return rows.join(days, "usage_date", "left_semi")
+
+
 def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) -> None:
     """Merge incoming rows into a table partitioned by usage_date and rewrite only touched days.
 
@@ -207,20 +222,21 @@ def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) ->
     the same inputs with the same result.
     """
     spark, day = incoming.sparkSession, "usage_date"
+    incoming = cut_lineage(incoming)
     stored = read_table(spark, path, incoming.schema)
-    days = incoming.select(day)
-    left = None
+    days, left = incoming.select(day), None
     if day not in keys:
-        left = stored.select(*keys, day).join(incoming.select(*keys), keys, "left_semi").select(day)
+        again = sized_for_broadcast(incoming.select(*keys))
+        left = cut_lineage(
+            stored.select(*keys, day).join(again, keys, "left_semi").select(day).distinct())
         days = days.unionByName(left)
-    undated = stored.where(F.col(day).isNull())
-    touched = stored.join(days.distinct(), day, "left_semi").unionByName(undated)
+    touched = on_days(stored, days).unionByName(stored.where(F.col(day).isNull()))
     staged = work_path(spark, "merge")
     merge(touched, incoming).write.parquet(staged)
     result = spark.read.schema(incoming.schema).parquet(staged)
     emptied = []
     if left is not None:
-        emptied = left.distinct().join(result.select(day).distinct(), day, "left_anti").collect()
+        emptied = left.join(result.select(day).distinct(), day, "left_anti").collect()
     write_partitions(result, path)
     for (gone,) in emptied:
         if gone is not None:

@@ -53,6 +53,10 @@ def raw_model() -> Column:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage events of ``events`` before model names are normalised."""
+    return as_usage(table(spark, sf_dir, "events"))
+
+
+def as_usage(events: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
     units = F.floor(F.col("value") * 100).cast("bigint")
     kind = F.col("event_type")
@@ -63,7 +67,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     time = F.col("ts").cast("timestamp")
     user, day = F.col("user_id").cast("string"), F.to_date("ts")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         _device(F.col("user_id") % 4).alias("device"), source.alias("source"),
         F.concat(F.lit("ev:"), F.col("event_id").cast("string")).alias("event_key"),
         time.alias("event_time"), day.alias("usage_date"), raw_model().alias("raw_model"),
@@ -76,8 +80,12 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unpriced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unpriced(table(spark, sf_dir, "events"))
+
+
+def unpriced(events: DataFrame) -> DataFrame:
     return (
-        raw_events(spark, sf_dir).withColumn("model", normalize_model(F.col("raw_model")))
+        as_usage(events).withColumn("model", normalize_model(F.col("raw_model")))
         .withColumn(TOTAL, token_total()).drop("raw_model", "event_id", "user_id")
     )
 

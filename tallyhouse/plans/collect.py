@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import merge as mrg
+from tallyhouse.operators.merge import on_days
+from tallyhouse.operators.lookup import lookup_join
 from tallyhouse.operators.filters import drop_zero_usage
 from tallyhouse.operators.pricing import price_usage
 from tallyhouse.operators.rollups import daily_rebuild, hour_rollup, session_rollup
 from tallyhouse.schemas import (
-    DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST, MODEL_PRICING,
+    CURSORS, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST, MODEL_PRICING,
     SESSION_KEYS, SESSION_USAGE, USAGE_EVENT,
 )
 from tallyhouse.session import cut_lineage, work_path
 
 SCHEMAS = {
     "event": USAGE_EVENT, "hour": HOUR_USAGE, "daily": DAILY_USAGE, "session": SESSION_USAGE,
-    "devices": DEVICES, "prices": MODEL_PRICING, "manifest": MANIFEST,
+    "devices": DEVICES, "prices": MODEL_PRICING, "manifest": MANIFEST, "cursors": CURSORS,
 }
 USAGE_LAYERS = ["event", "hour", "daily", "session"]
 
@@ -61,6 +63,33 @@ class UsageStore:
         mrg.merge_into_table(self.path("event"), shaped, EVENT_KEYS, mrg.upsert_events)
         return shaped.select("device", "source", "usage_date").distinct()
 
+    def cursor(self, name: str) -> int:
+        """Where the last committed read of a source ended, 0 before the first."""
+        row = self.read("cursors").where(F.col("name") == name).agg(F.max("value")).first()
+        return row[0] or 0
+
+    def save_cursor(self, name: str, value: int) -> None:
+        mine = self.spark.createDataFrame([(name, value)], SCHEMAS["cursors"])
+        others = self.read("cursors").where(F.col("name") != name)
+        self._replace("cursors", others.unionByName(mine))
+
+    def collect_table(
+        self, name: str, rows: DataFrame, column: str, read, tz: str, as_of: date,
+        locked_at: datetime,
+    ) -> int:
+        """Collect rows from the stored cursor on; the cursor moves after the merge.
+
+        ``read(rows, cursor)`` gives events. A cursor beyond the newest row, or one left over
+        from tables that were emptied, starts from the beginning.
+        """
+        newest = rows.agg(F.max(column)).first()[0] or 0
+        cursor = self.cursor(name)
+        if cursor > newest or not self.read("event").take(1):
+            cursor = 0
+        self.collect(read(rows, cursor), tz, as_of, locked_at)
+        self.save_cursor(name, max(cursor, newest))
+        return max(cursor, newest)
+
     def merge_hours(self, hours: DataFrame) -> None:
         mrg.merge_into_table(
             self.path("hour"), self._shaped("hour", hours), HOUR_KEYS, mrg.upsert_hours)
@@ -75,21 +104,21 @@ class UsageStore:
         self._replace("session", self._shaped("session", merged))
 
     def rebuild(self, stale: DataFrame, tz: str, as_of: date, locked_at: datetime) -> None:
-        """Bring hours, local days and sessions up to the stored events of the stale dates."""
-        keys = ["device", "source", "usage_date"]
-        touched = self.read("event").join(stale, keys, "left_semi")
+        """Bring hours, local days and sessions up to the stored events of the stale dates.
+
+        A UTC date reaches the local days beside it, and those read the dates beside them.
+        """
+        def around(reach: int) -> DataFrame:
+            shifted = [F.date_add("usage_date", n) for n in range(-reach, reach + 1)]
+            return stale.select(F.explode(F.array(*shifted)).alias("usage_date"))
+
+        events = on_days(self.read("event"), stale)
+        touched = lookup_join(events, stale, ["device", "source", "usage_date"], "left_semi")
         self.merge_hours(hour_rollup(touched))
-        near = stale.select(F.explode(F.array(*[
-            F.date_add("usage_date", n) for n in (-1, 0, 1)])).alias("usage_date")).distinct()
-        local = near.withColumnRenamed("usage_date", "_day")
-        hours = self.read("hour").join(
-            stale.select(F.explode(F.array(*[F.date_add("usage_date", n) for n in range(-2, 3)]))
-                         .alias("usage_date")).distinct(), "usage_date", "left_semi")
-        days = daily_rebuild(hours, tz)
-        self.merge_daily(days.join(local, days["usage_date"] == local["_day"], "left_semi"),
-                         as_of, locked_at)
-        sessions = touched.select(*SESSION_KEYS).distinct()
-        whole = self.read("event").join(sessions, SESSION_KEYS, "left_semi")
+        days = daily_rebuild(on_days(self.read("hour"), around(2)), tz)
+        self.merge_daily(on_days(days, around(1)), as_of, locked_at)
+        sessions = cut_lineage(touched.select(*SESSION_KEYS).distinct())
+        whole = lookup_join(self.read("event"), sessions, SESSION_KEYS, "left_semi")
         self.merge_sessions(session_rollup(whole))
 
     def collect(self, events: DataFrame, tz: str, as_of: date, locked_at: datetime) -> DataFrame:
@@ -118,6 +147,6 @@ class UsageStore:
         return counts
 
     def reset(self) -> None:
-        """Empty the usage layers and the manifest; prices, devices and settings stay."""
-        for name in [*USAGE_LAYERS, "manifest"]:
+        """Empty the usage layers, the manifest and all cursors; prices and devices stay."""
+        for name in [*USAGE_LAYERS, "manifest", "cursors"]:
             mrg.remove_folder(self.spark, self.path(name))

@@ -15,13 +15,13 @@ from tallyhouse.plans import adapters as a
 from tallyhouse.plans.oracle import (
     COLS, DAYS, EVENTS, HOURS, ORDER_DAYS, ORDERS, SUMS, TOKENS, sums, text_time,
 )
+from tallyhouse.plans.collect import UsageStore
 from tallyhouse.plans.registry import query, shown
 from tallyhouse.plans.report_queries import DAY_COLUMNS, HOUR_COLUMNS
 from tallyhouse.schemas import (
-    COST, DAILY_KEYS, DAILY_USAGE, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MEASURES, RATES, REQUESTS,
-    SESSION_KEYS, SESSION_USAGE, TOTAL, USAGE_EVENT,
+    COST, DAILY_KEYS, EVENT_KEYS, MEASURES, RATES, REQUESTS, SESSION_KEYS, TOTAL,
 )
-from tallyhouse.session import work_path
+from tallyhouse.session import cut_lineage, work_path
 
 _RATES_OUT = ", ".join(f"round({r}, 9) AS {r}" for r in RATES)
 
@@ -250,11 +250,10 @@ UNION ALL SELECT 'hour', (SELECT count(*) FROM n), count(*), sum(t)::BIGINT FROM
 UNION ALL SELECT 'session', (SELECT count(*) FROM ns), count(*), sum(t)::BIGINT FROM s2""")
 def import_bundle(spark, sf):
     """A bundle imported twice into stored tables; the second time changes nothing."""
-    from tallyhouse.plans.collect import UsageStore
     events = a.usage_events(spark, sf)
-    hours = rol.hour_rollup(events)
+    hours = cut_lineage(rol.hour_rollup(events))
     layers = {"hour": hours, "daily": rol.daily_rebuild(hours, a.TZ),
-              "session": rol.session_rollup(events)}
+              "session": cut_lineage(rol.session_rollup(events))}
     store = UsageStore(spark, work_path(spark, "store"))
     store.write(devices=a.devices(spark, sf), **layers)
     bundle = {k: v.withColumn("device", _next_device()) for k, v in layers.items()}
@@ -262,7 +261,7 @@ def import_bundle(spark, sf):
     counts = store.import_usage(bundle, names, a.AS_OF, a.LOCK_TIME)
     store.import_usage(bundle, names, a.AS_OF, a.LOCK_TIME)
     parts = [store.read(n).agg(
-        F.lit(n if n != "devices" else "devices").alias("layer"), F.lit(counts[n]).alias("imported"),
+        F.lit(n).alias("layer"), F.lit(counts[n]).alias("imported"),
         F.count("*").alias("n"),
         (F.sum(TOTAL) if n != "devices" else F.lit(0)).cast("bigint").alias(TOTAL))
         for n in ("hour", "daily", "session", "devices")]
@@ -275,7 +274,6 @@ def import_bundle(spark, sf):
 @query("reset_usage", """SELECT * FROM (VALUES ('daily', 0::BIGINT), ('event', 0), ('hour', 0),
  ('session', 0)) t(layer, n) UNION ALL SELECT 'devices', count(*) FROM supplier""")
 def reset_usage(spark, sf):
-    from tallyhouse.plans.collect import UsageStore
     store = UsageStore(spark, work_path(spark, "store"))
     events = a.usage_events(spark, sf)
     hours = rol.hour_rollup(events)

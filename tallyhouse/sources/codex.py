@@ -12,11 +12,11 @@ from tallyhouse.schemas import CACHE_READ, INPUT, OUTPUT, REASONING
 from tallyhouse.sources.events import as_events, parsed_json
 
 _PARTS = ["input_tokens", "output_tokens", "cached_input_tokens", "reasoning_output_tokens"]
-_USAGE = "struct<" + ", ".join(f"{p}: bigint" for p in _PARTS) + ">"
+USAGE = "struct<" + ", ".join(f"{p}: bigint" for p in _PARTS) + ">"
 _LINE = f"""
     type string, timestamp string, payload struct<
         type: string, cwd: string, model: string, model_info: struct<slug: string>,
-        info: struct<last_token_usage: {_USAGE}, total_token_usage: {_USAGE}>>
+        info: struct<last_token_usage: {USAGE}, total_token_usage: {USAGE}>>
 """
 
 
