@@ -10,7 +10,7 @@ from tallyhouse.operators.lookup import lookup_join, sized_for_broadcast
 from tallyhouse.schemas import (
     COST, DAILY_KEYS, EVENT_KEYS, HOUR_KEYS, MEASURES, RATES, REQUESTS, SESSION_KEYS, TOKENS, TOTAL,
 )
-from tallyhouse.session import cut_lineage, work_path
+from tallyhouse.session import cut_lineage
 
 REPLACE, GREATEST, POSITIVE = "replace", "greatest", "positive"
 
@@ -212,14 +212,14 @@ def on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
     return rows.join(days, "usage_date", "left_semi")
 
 
-def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) -> None:
+def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) -> DataFrame:
     """Merge incoming rows into a table partitioned by usage_date and rewrite only touched days.
 
     ``merge(target, incoming)`` gives the merged rows. Touched are the incoming days and, where
     the key does not contain the day, the days on which an incoming key is stored; rows without
-    a day form a partition of their own. The result is staged in the shared folder first,
+    a day form a partition of their own. The result is stored in the shared folder first,
     because a plan cannot overwrite what it reads; a run that fails in between is repeated from
-    the same inputs with the same result.
+    the same inputs with the same result. Gives the incoming rows, stored.
     """
     spark, day = incoming.sparkSession, "usage_date"
     incoming = cut_lineage(incoming)
@@ -231,9 +231,7 @@ def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) ->
             stored.select(*keys, day).join(again, keys, "left_semi").select(day).distinct())
         days = days.unionByName(left)
     touched = on_days(stored, days).unionByName(stored.where(F.col(day).isNull()))
-    staged = work_path(spark, "merge")
-    merge(touched, incoming).write.parquet(staged)
-    result = spark.read.schema(incoming.schema).parquet(staged)
+    result = cut_lineage(merge(touched, incoming))
     emptied = []
     if left is not None:
         emptied = left.join(result.select(day).distinct(), day, "left_anti").collect()
@@ -241,6 +239,7 @@ def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) ->
     for (gone,) in emptied:
         if gone is not None:
             remove_folder(spark, f"{path}/{day}={gone}")
+    return incoming
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["report_queries", "ingest_queries", "merge_queries", "stream_queries"]
+MODULES = ["report_queries", "ingest_queries", "merge_queries", "scalar_queries", "stream_queries"]
 
 
 def load() -> None:

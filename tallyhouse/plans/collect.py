@@ -15,7 +15,7 @@ from tallyhouse.schemas import (
     CURSORS, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST, MODEL_PRICING,
     SESSION_KEYS, SESSION_USAGE, USAGE_EVENT,
 )
-from tallyhouse.session import cut_lineage, work_path
+from tallyhouse.session import cut_lineage
 
 SCHEMAS = {
     "event": USAGE_EVENT, "hour": HOUR_USAGE, "daily": DAILY_USAGE, "session": SESSION_USAGE,
@@ -52,16 +52,14 @@ class UsageStore:
 
     def _replace(self, name: str, rows: DataFrame) -> None:
         """Overwrite a table that the rows may have been read from."""
-        staged = work_path(self.spark, name)
-        rows.write.parquet(staged)
-        self.spark.read.schema(SCHEMAS[name]).parquet(staged).write.mode("overwrite").option(
+        cut_lineage(rows).write.mode("overwrite").option(
             "partitionOverwriteMode", "static").parquet(self.path(name))
 
     def merge_events(self, events: DataFrame, arrival: list[str] | None = None) -> DataFrame:
         """Merge priced events; gives the dates and sources whose hours are stale."""
-        shaped = cut_lineage(self._shaped("event", drop_zero_usage(events)))
-        mrg.merge_into_table(self.path("event"), shaped, EVENT_KEYS, mrg.upsert_events)
-        return shaped.select("device", "source", "usage_date").distinct()
+        shaped = self._shaped("event", drop_zero_usage(events))
+        merged = mrg.merge_into_table(self.path("event"), shaped, EVENT_KEYS, mrg.upsert_events)
+        return merged.select("device", "source", "usage_date").distinct()
 
     def cursor(self, name: str) -> int:
         """Where the last committed read of a source ended, 0 before the first."""

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.merge import read_table, write_partitions
-from tallyhouse.session import cut_lineage, work_path
+from tallyhouse.session import cut_lineage
 
 BUCKETS = 64
 
@@ -49,7 +49,4 @@ class SessionState:
         fresh = cut_lineage(new.join(old, "path", "left").select(
             "path", "batch", "state", "earlier", "bucket"))
         kept = self._stored(fresh).join(fresh.select("path"), "path", "left_anti")
-        staged = work_path(self.spark, "state")
-        kept.unionByName(fresh).write.parquet(staged)
-        write_partitions(
-            self.spark.read.schema(self.schema).parquet(staged), self.path, "bucket")
+        write_partitions(cut_lineage(kept.unionByName(fresh)), self.path, "bucket")
