@@ -198,6 +198,7 @@ def write_partitions(rows: DataFrame, path: str, partition: str = "usage_date")
 
 
 MAX_LISTED_DAYS = 1000
+NO_DAY_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
 def on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
@@ -234,11 +235,12 @@ def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) ->
     result = cut_lineage(merge(touched, incoming))
     emptied = []
     if left is not None:
-        emptied = left.join(result.select(day).distinct(), day, "left_anti").collect()
+        folder = F.coalesce(F.col(day).cast("string"), F.lit(NO_DAY_FOLDER)).alias("folder")
+        kept = result.select(folder).distinct()
+        emptied = left.select(folder).join(kept, "folder", "left_anti").collect()
     write_partitions(result, path)
     for (gone,) in emptied:
-        if gone is not None:
-            remove_folder(spark, f"{path}/{day}={gone}")
+        remove_folder(spark, f"{path}/{day}={gone}")
     return incoming
 
 

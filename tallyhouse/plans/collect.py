@@ -12,14 +12,15 @@ from tallyhouse.operators.filters import drop_zero_usage
 from tallyhouse.operators.pricing import price_usage
 from tallyhouse.operators.rollups import daily_rebuild, hour_rollup, session_rollup
 from tallyhouse.schemas import (
-    CURSORS, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST, MODEL_PRICING,
-    SESSION_KEYS, SESSION_USAGE, USAGE_EVENT,
+    CURSORS, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST,
+    MODEL_PRICING, PENDING, SESSION_KEYS, SESSION_USAGE, USAGE_EVENT,
 )
 from tallyhouse.session import cut_lineage
 
 SCHEMAS = {
     "event": USAGE_EVENT, "hour": HOUR_USAGE, "daily": DAILY_USAGE, "session": SESSION_USAGE,
     "devices": DEVICES, "prices": MODEL_PRICING, "manifest": MANIFEST, "cursors": CURSORS,
+    "pending": PENDING,
 }
 USAGE_LAYERS = ["event", "hour", "daily", "session"]
 
@@ -55,11 +56,22 @@ class UsageStore:
         cut_lineage(rows).write.mode("overwrite").option(
             "partitionOverwriteMode", "static").parquet(self.path(name))
 
-    def merge_events(self, events: DataFrame, arrival: list[str] | None = None) -> DataFrame:
-        """Merge priced events; gives the dates and sources whose hours are stale."""
-        shaped = self._shaped("event", drop_zero_usage(events))
-        merged = mrg.merge_into_table(self.path("event"), shaped, EVENT_KEYS, mrg.upsert_events)
-        return merged.select("device", "source", "usage_date").distinct()
+    def add_events(self, events: DataFrame) -> None:
+        """Price and merge events, and note the dates whose hours and days are now stale.
+
+        Prices are those stored now; a later price change affects later events only.
+        """
+        unpriced = cut_lineage(drop_zero_usage(events))
+        priced = self._shaped("event", price_usage(unpriced, self.read("prices")))
+        merged = mrg.merge_into_table(self.path("event"), priced, EVENT_KEYS, mrg.upsert_events)
+        stale = merged.select("device", "source", "usage_date").where("usage_date IS NOT NULL")
+        stale.distinct().write.mode("append").parquet(self.path("pending"))
+
+    def rebuild_pending(self, tz: str, as_of: date, locked_at: datetime) -> None:
+        """Rebuild what noted dates made stale. One rebuild after all events of a run, because it
+        locks the cost of past days. The notes go last, so a failed rebuild is repeated."""
+        self.rebuild(cut_lineage(self.read("pending").distinct()), tz, as_of, locked_at)
+        mrg.remove_folder(self.spark, self.path("pending"))
 
     def cursor(self, name: str) -> int:
         """Where the last committed read of a source ended, 0 before the first."""
@@ -119,16 +131,10 @@ class UsageStore:
         whole = lookup_join(self.read("event"), sessions, SESSION_KEYS, "left_semi")
         self.merge_sessions(session_rollup(whole))
 
-    def collect(self, events: DataFrame, tz: str, as_of: date, locked_at: datetime) -> DataFrame:
-        """Price and merge collected events and rebuild what depends on them.
-
-        Prices are those stored now; a later price change affects later events only. Gives the
-        merged dates per device and source.
-        """
-        unpriced = cut_lineage(events)
-        stale = cut_lineage(self.merge_events(price_usage(unpriced, self.read("prices"))))
-        self.rebuild(stale.where("usage_date IS NOT NULL"), tz, as_of, locked_at)
-        return stale
+    def collect(self, events: DataFrame, tz: str, as_of: date, locked_at: datetime) -> None:
+        """Merge collected events and rebuild what depends on them."""
+        self.add_events(events)
+        self.rebuild_pending(tz, as_of, locked_at)
 
     def import_usage(
         self, layers: dict[str, DataFrame], names: DataFrame, as_of: date, locked_at: datetime
@@ -146,5 +152,5 @@ class UsageStore:
 
     def reset(self) -> None:
         """Empty the usage layers, the manifest and all cursors; prices and devices stay."""
-        for name in [*USAGE_LAYERS, "manifest", "cursors"]:
+        for name in [*USAGE_LAYERS, "manifest", "cursors", "pending"]:
             mrg.remove_folder(self.spark, self.path(name))

@@ -39,10 +39,9 @@ def stream_events(spark, sf):
     """Files landed in a folder, read by a stream of several batches into the stored tables."""
     root, store = work_path(spark, "landing"), _store(spark, "store")
     _landed_by_session(spark, sf, root)
-    jobs.stream_events(
+    jobs.collect_landed(
         spark, root, work_path(spark, "checkpoint"), store, lambda lines, n: parse_openclaw_log(lines),
-        "dev-0", a.TZ, a.AS_OF, a.LOCK_TIME, files_per_batch=16, session_of=_by_line,
-    ).awaitTermination()
+        "dev-0", a.TZ, a.AS_OF, a.LOCK_TIME, files_per_batch=3, session_of=_by_line)
     return shown(_days(store))
 
 

@@ -9,6 +9,7 @@ from tallyhouse.functions.times import to_utc_ts
 from tallyhouse.functions.tokens import split_cached
 from tallyhouse.operators.carry import carry_forward, closing_state
 from tallyhouse.schemas import CACHE_READ, INPUT, OUTPUT, REASONING
+from tallyhouse.session import cut_lineage
 from tallyhouse.sources.events import as_events, parsed_json
 
 _PARTS = ["input_tokens", "output_tokens", "cached_input_tokens", "reasoning_output_tokens"]
@@ -80,7 +81,9 @@ def cumulative_delta(states: DataFrame) -> DataFrame:
 def parse_codex_log(
     lines: DataFrame, tz: str = "UTC", initial: DataFrame | None = None
 ) -> DataFrame:
-    return codex_events(cumulative_delta(ffill_model(codex_states(lines), initial)), tz)
+    """Events of Codex lines. The state lines are stored, so that the logs are parsed once."""
+    states = cut_lineage(codex_states(lines))
+    return codex_events(cumulative_delta(ffill_model(states, initial)), tz)
 
 
 def codex_events(deltas: DataFrame, tz: str = "UTC") -> DataFrame:

@@ -8,6 +8,7 @@ from tallyhouse.functions.identity import empty_to_null, event_key, parent_dir
 from tallyhouse.operators.carry import carry_forward, closing_state
 from tallyhouse.operators.lookup import lookup_join
 from tallyhouse.schemas import CACHE_READ, CACHE_WRITE, INPUT, OUTPUT, REASONING
+from tallyhouse.session import cut_lineage
 from tallyhouse.sources.events import as_events, parsed_json
 
 _LINE = """type string, seq bigint, time bigint, id string, cwd string, data struct<model: string,
@@ -94,5 +95,6 @@ def dsh_events(states: DataFrame) -> DataFrame:
 def parse_dsh_log(
     lines: DataFrame, folders: DataFrame | None = None, initial: DataFrame | None = None
 ) -> DataFrame:
-    events = dsh_events(ffill_dsh_state(dsh_states(lines), initial))
+    """Events of harness lines. The state lines are stored, so that the logs are parsed once."""
+    events = dsh_events(ffill_dsh_state(cut_lineage(dsh_states(lines)), initial))
     return events if folders is None else with_session_cwd(events, folders)

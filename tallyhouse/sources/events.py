@@ -15,8 +15,13 @@ EVENT_COLUMNS = [
 
 
 def parsed_json(lines: DataFrame, schema: str) -> DataFrame:
-    """Line frame with the parsed line in ``j``; text that is not an object parses to NULLs."""
-    return lines.withColumn("j", F.from_json("value", schema)).drop("value")
+    """Line frame with the parsed line in ``j``; text that is not an object parses to NULLs.
+
+    The generator keeps later filters on ``j`` behind the parser, so each line is parsed once
+    and not again for every filter.
+    """
+    kept = [c for c in lines.columns if c != "value"]
+    return lines.select(*kept, F.explode(F.array(F.from_json("value", schema))).alias("j"))
 
 
 def as_events(

@@ -17,12 +17,12 @@ _LINES = "path string, block bigint, chunk bigint, pos bigint, value string"
 
 
 def _read(spark: SparkSession, path: str, glob: str, recursive: bool, **options) -> DataFrame | None:
-    reader = spark.read.options(
+    reader = spark.read.format("text").options(
         recursiveFileLookup=recursive, pathGlobFilter=glob, ignoreMissingFiles=True,
         ignoreCorruptFiles=True, **options,
     )
     try:
-        return reader.text(path)
+        return reader.load(path)
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None

@@ -9,6 +9,7 @@ from tallyhouse.functions.times import to_utc_ts
 from tallyhouse.functions.tokens import normalize_gemini_cache, pos_int
 from tallyhouse.operators.carry import carry_forward, line_order
 from tallyhouse.schemas import CACHE_READ, INPUT, OUTPUT, REASONING
+from tallyhouse.session import cut_lineage
 from tallyhouse.sources.events import as_events, parsed_json
 
 _TOKENS = """struct<input: string, output: string, cached: string, thoughts: string,
@@ -62,14 +63,17 @@ def stats_usage(stats: Column, model_hint: Column) -> Column:
 
 
 def ffill_session_model(lines: DataFrame) -> DataFrame:
-    """Parsed lines with the session and model in force; a file's session defaults to its name."""
+    """Parsed lines with the session and model in force; a file's session defaults to its name.
+
+    The parsed lines are stored, so that the logs are parsed once.
+    """
     named = parsed_json(lines, _LINE).withColumns(
         {"line_session": empty_to_null(F.col("j.session_id")),
          "line_model": empty_to_null(F.col("j.model"))}
     ).where(F.col("j.type").isNotNull() | F.col("line_session").isNotNull()
             | F.col("line_model").isNotNull() | F.col("j.stats").isNotNull()
             | F.col("j.result").isNotNull())
-    carried = carry_forward(named, {"session": "line_session", "model": "line_model"})
+    carried = carry_forward(cut_lineage(named), {"session": "line_session", "model": "line_model"})
     return carried.withColumns({
         "session": F.coalesce("session", file_stem(F.col("path"), r"\.jsonl")),
         "model": F.coalesce("model", F.lit("")),
@@ -110,9 +114,9 @@ def parse_gemini_jsonl(lines: DataFrame, tz: str = "UTC") -> DataFrame:
 
 def parse_gemini_session(docs: DataFrame, tz: str = "UTC") -> DataFrame:
     """Events of session documents: one per answer with a model and tokens."""
-    doc, m = F.from_json("value", _DOCUMENT), F.col("m")
+    m = F.col("m")
     messages = (
-        docs.select(doc.alias("j")).where("j.sessionId != ''")
+        parsed_json(docs, _DOCUMENT).where("j.sessionId != ''")
         .select(F.col("j.sessionId").alias("session"), F.explode("j.messages").alias("m"))
         .where((m.type == "gemini") & (m.model != "") & m.tokens.isNotNull())
         .select("session", m.model.alias("model"), m.timestamp.alias("timestamp"),
@@ -125,7 +129,7 @@ def parse_gemini_stats(docs: DataFrame, tz: str = "UTC") -> DataFrame:
     """Events of headless statistics documents, which state no time."""
     j, nothing = F.col("j"), F.lit(None).cast("string")
     reports = (
-        docs.select("path", F.from_json("value", _DOCUMENT).alias("j"))
+        parsed_json(docs, _DOCUMENT)
         .where((F.coalesce(j.sessionId, F.lit("")) == "") & j.stats.isNotNull())
         .select(file_stem(F.col("path"), r"\.json").alias("session"),
                 F.inline(stats_usage(j.stats, F.lit(""))))

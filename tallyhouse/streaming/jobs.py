@@ -72,25 +72,39 @@ def dsh_increment(state: SessionState) -> Increment:
 
 def stream_events(
     spark: SparkSession, path: str, checkpoint: str, store: UsageStore, increment: Increment,
-    device: str, tz: str, as_of: date, locked_at: datetime, files_per_batch: int | None = None,
+    device: str, rebuild: Callable[[], None] | None = None, files_per_batch: int | None = None,
     session_of: Callable[[Column], Column] = parent_dir, every: str | None = None,
 ):
     """Start collecting landed files into the store.
 
-    Every micro-batch merges its events by key, so a replayed batch changes nothing, and
-    recomputes the hours and days it touched, so late lines are always counted. The query ends
-    when all landed files are read, unless ``every`` gives an interval.
+    Every micro-batch merges its events by key, so a replayed batch changes nothing. The query
+    ends when all landed files are read, unless ``every`` gives an interval; ``rebuild`` then
+    runs after each batch. Hours and days are recomputed for the dates touched, however late
+    their lines are.
     """
     def collect(batch: DataFrame, number: int) -> None:
         lines = segment_lines(batch, session_of)
         events = increment(lines, number).withColumn("device", F.lit(device))
-        store.collect(events.select("device", *EVENT_COLUMNS), tz, as_of, locked_at)
+        store.add_events(events.select("device", *EVENT_COLUMNS))
+        if rebuild is not None:
+            rebuild()
 
     writer = stream_lines(spark, path, files_per_batch=files_per_batch).writeStream.foreachBatch(collect)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def collect_landed(
+    spark: SparkSession, path: str, checkpoint: str, store: UsageStore, increment: Increment,
+    device: str, tz: str, as_of: date, locked_at: datetime, files_per_batch: int | None = None,
+    session_of: Callable[[Column], Column] = parent_dir,
+) -> None:
+    """Collect all files landed since the last call, then rebuild once."""
+    stream_events(spark, path, checkpoint, store, increment, device, None, files_per_batch,
+                  session_of).awaitTermination()
+    store.rebuild_pending(tz, as_of, locked_at)
+
+
 def stream_hours(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Hour buckets of a stream of priced events with bounded state: events later than the delay
     are not counted. ``stream_events`` has no such bound."""
@@ -129,7 +143,8 @@ def collect_changed_files(
     """Collect logs that grow in place: read every changed file whole and merge by key.
 
     Files are read in rounds of bounded number. A round's files enter the manifest only after
-    its events are merged, so a failed round is read again. Gives the number of files read.
+    its events are merged, so a failed round is read again; the rebuild follows the last round.
+    Gives the number of files read.
     """
     manifest = store.read("manifest").where(F.col("source") == source)
     listing = file_listing(spark, paths, glob)
@@ -138,13 +153,14 @@ def collect_changed_files(
     names, read = (r[0] for r in pending.select("file_path").toLocalIterator()), 0
     while names_now := list(islice(names, files_per_round)):
         events = parse(scan(spark, names_now)).withColumn("device", F.lit(device))
-        store.collect(events.select("device", *EVENT_COLUMNS), tz, as_of, now)
+        store.add_events(events.select("device", *EVENT_COLUMNS))
         done = pending.where(F.col("file_path").isin(names_now))
         rows = manifest_rows(done, source, now)
         keys = ["source", "file_path"]
         rules = {c: "replace" for c in SCHEMAS["manifest"].names if c not in keys}
         store.write(manifest=merge_upsert(store.read("manifest"), rows, keys, rules))
         read += len(names_now)
+    store.rebuild_pending(tz, as_of, now)
     return read
 
 
