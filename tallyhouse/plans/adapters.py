@@ -139,6 +139,7 @@ def unpriced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         day.alias("usage_date"),
         F.concat(F.lit("model-"), (F.col("l_partkey") % 40).cast("string")).alias("model"),
         F.concat(F.lit("s-"), text("l_orderkey")).alias("session_id"),
+        F.lit(None).cast("string").alias("project_path"),
         (whole(F.col("l_quantity")) * 100).alias("input_tokens"),
         whole(F.floor("l_extendedprice")).alias("output_tokens"),
         whole(F.floor(F.col("l_discount") * 1000)).alias("cache_creation_tokens"),

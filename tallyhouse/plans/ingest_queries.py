@@ -472,7 +472,7 @@ def read_opencode_messages(spark, sf):
     return shown(rows, "event_key", "event_time", "model", "session_id", *TOKENS, TOTAL)
 
 
-@query("next_cursor", "SELECT greatest(max(epoch_ms(ts)), 5)::BIGINT AS cursor FROM events")
+@query("next_cursor", "SELECT greatest(max(epoch_us(ts) // 1000), 5)::BIGINT AS cursor FROM events")
 def next_cursor(spark, sf):
     return opencode_messages(spark, sf).agg(tables.next_cursor("time_created", 5))
 
