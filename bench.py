@@ -25,7 +25,7 @@ def discard(rows) -> None:
 
 def stored(spark, rows, name: str):
     path = work_path(spark, name)
-    rows.write.parquet(path)
+    rows.repartition(int(CPUS)).write.parquet(path)
     return spark.read.parquet(path)
 
 

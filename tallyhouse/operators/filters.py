@@ -40,11 +40,13 @@ def filter_series(usage: DataFrame, sources=(), models=()) -> DataFrame:
 
 
 def filter_daily(
-    daily: DataFrame, start: date, end: date, sources=(), devices=(), models=()
+    daily: DataFrame, start: date | None, end: date | None, sources=(), devices=(), models=()
 ) -> DataFrame:
-    """Days from start to end with usage, optionally of some sources, devices and models."""
-    inside = F.col("usage_date").between(F.lit(start), F.lit(end))
-    rows = daily.where(inside & _among("device", devices) & (F.col(TOTAL) > 0))
+    """Days from start to end with usage, optionally of some sources, devices and models; an
+    absent bound does not restrict."""
+    after = F.lit(True) if start is None else F.col("usage_date") >= F.lit(start)
+    until = F.lit(True) if end is None else F.col("usage_date") <= F.lit(end)
+    rows = daily.where(after & until & _among("device", devices) & (F.col(TOTAL) > 0))
     return filter_series(rows, sources, models)
 
 

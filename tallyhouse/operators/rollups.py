@@ -13,7 +13,8 @@ from tallyhouse.operators.filters import drop_zero_buckets
 from tallyhouse.operators.lookup import lookup_join
 from tallyhouse.operators.pricing import price_usage
 from tallyhouse.schemas import COST, DAILY_KEYS, HOUR_KEYS, MEASURES, REQUESTS, SESSION_KEYS, TOTAL
-from tallyhouse.sources.tables import attributed
+from tallyhouse.session import cut_lineage
+from tallyhouse.sources.tables import attributed, read_ccswitch_requests
 
 
 def measure_sums(columns=MEASURES) -> list[Column]:
@@ -59,13 +60,19 @@ def rebucket_local_to_utc(hour: DataFrame, tz: str) -> DataFrame:
 
 
 def session_rollup(events: DataFrame) -> DataFrame:
-    """Sessions with their last activity, first project and the model with most tokens."""
-    per_model = (
-        events.where(F.col("session_id").isNotNull()).groupBy(*SESSION_KEYS, "model").agg(
-            *measure_sums(), F.max("event_time").alias("last_activity"),
-            F.min(F.when(F.col("project_path").isNotNull(), F.struct("event_time", "project_path")))
-            .alias("project"),
-        )
+    """Sessions with their last activity, first project and the model with most tokens.
+
+    The first step sums counters and times in a hash table, so a session of any size is small
+    before it is brought together; the other two steps share one partitioning by session.
+    """
+    parts = events.where(F.col("session_id").isNotNull()).groupBy(
+        *SESSION_KEYS, "model", "project_path"
+    ).agg(*measure_sums(), F.max("event_time").alias("last_activity"),
+          F.min("event_time").alias("first_activity"))
+    first = F.struct(F.col("first_activity").isNull(), "first_activity", "project_path")
+    per_model = parts.repartition(*SESSION_KEYS).groupBy(*SESSION_KEYS, "model").agg(
+        *measure_sums(), F.max("last_activity").alias("last_activity"),
+        F.min(F.when(F.col("project_path").isNotNull(), first)).alias("project"),
     )
     return per_model.groupBy(*SESSION_KEYS).agg(
         F.max("last_activity").alias("last_activity"),
@@ -87,6 +94,15 @@ def ccswitch_hours(requests: DataFrame, prices: DataFrame, device: str) -> DataF
     return drop_zero_buckets(price_usage(sums, prices))
 
 
+def requests_of_touched_hours(requests: DataFrame, cursor: int = 0) -> DataFrame:
+    """All successful requests of the hours that have requests after the cursor, so that an hour
+    split over two reads is summed whole."""
+    hour = F.floor(F.col("created_at") / 3600).alias("_hour")
+    touched = read_ccswitch_requests(requests, cursor).select(hour).distinct()
+    every = read_ccswitch_requests(requests).withColumn("_hour", hour)
+    return lookup_join(every, cut_lineage(touched), "_hour", "left_semi").drop("_hour")
+
+
 def dated_rollups(rollups: DataFrame) -> DataFrame:
     """Proxy day rollups under their own sources; rows without a readable date are left out."""
     dated = attributed(rollups).withColumn("usage_date", normalize_date(F.col("date")))
@@ -100,7 +116,7 @@ def rollups_before_local(rollups: DataFrame, daily: DataFrame) -> DataFrame:
         .groupBy("source").agg(F.min("usage_date").alias("first_local"))
     )
     kept = F.col("first_local").isNull() | (F.col("usage_date") < F.col("first_local"))
-    return lookup_join(rollups, first, "source").where(kept).drop("first_local")
+    return lookup_join(rollups, cut_lineage(first), "source").where(kept).drop("first_local")
 
 
 def ccswitch_rollup_daily(

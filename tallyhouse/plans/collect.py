@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import merge as mrg
-from tallyhouse.operators.merge import on_days
-from tallyhouse.operators.lookup import lookup_join
 from tallyhouse.operators.filters import drop_zero_usage
+from tallyhouse.operators.lookup import lookup_join
+from tallyhouse.operators.merge import on_days
 from tallyhouse.operators.pricing import price_usage
-from tallyhouse.operators.rollups import daily_rebuild, hour_rollup, session_rollup
+from tallyhouse.operators.rollups import (
+    ccswitch_hours, ccswitch_rollup_daily, daily_rebuild, hour_rollup, measure_sums,
+    requests_of_touched_hours, session_rollup,
+)
 from tallyhouse.schemas import (
     CURSORS, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST,
-    MODEL_PRICING, PENDING, SESSION_KEYS, SESSION_USAGE, USAGE_EVENT,
+    MODEL_PRICING, PENDING, REQUESTS, SESSION_KEYS, SESSION_USAGE, TOKENS, TOTAL, USAGE_EVENT,
 )
 from tallyhouse.session import cut_lineage
 
@@ -136,6 +139,31 @@ class UsageStore:
         self.add_events(events)
         self.rebuild_pending(tz, as_of, locked_at)
 
+    def collect_days(self, rows: DataFrame, as_of: date, locked_at: datetime) -> None:
+        """Merge day rows of sources that know no hours, priced per model."""
+        sums = rows.groupBy(*DAILY_KEYS).agg(*measure_sums([*TOKENS, TOTAL]))
+        priced = price_usage(cut_lineage(drop_zero_usage(sums)), self.read("prices"))
+        self.merge_daily(priced.withColumn(REQUESTS, F.lit(0)), as_of, locked_at)
+
+    def collect_proxy(
+        self, requests: DataFrame, rollups: DataFrame | None, device: str, tz: str, as_of: date,
+        locked_at: datetime,
+    ) -> None:
+        """Merge proxied requests after the stored cursor as hours, and older history as days."""
+        newest = requests.agg(F.max("created_at")).first()[0] or 0
+        cursor = self.cursor("proxy_requests")
+        prices = self.read("prices")
+        touched = requests_of_touched_hours(requests, cursor)
+        hours = cut_lineage(ccswitch_hours(touched, prices, device))
+        self.merge_hours(hours)
+        hours.select("device", "source", "usage_date").distinct().write.mode("append").parquet(
+            self.path("pending"))
+        if rollups is not None:
+            days = ccswitch_rollup_daily(rollups, self.read("daily"), prices, device)
+            self.merge_daily(days.withColumn(REQUESTS, F.lit(0)), as_of, locked_at)
+        self.rebuild_pending(tz, as_of, locked_at)
+        self.save_cursor("proxy_requests", newest)
+
     def import_usage(
         self, layers: dict[str, DataFrame], names: DataFrame, as_of: date, locked_at: datetime
     ) -> dict[str, int]:

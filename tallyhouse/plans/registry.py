@@ -1,6 +1,7 @@
 """Registry of the named queries and of the SQL that states the same result."""
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
-        QUERIES[name] = run
+        @wraps(run)
+        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return run(spark, sf_dir)
+
+        QUERIES[name] = in_utc
         if sql is not None:
             ORACLE_SQL[name] = sql
         return run

@@ -7,7 +7,7 @@ from tallyhouse.operators import pricing as prc
 from tallyhouse.plans import adapters as a
 from tallyhouse.plans import ingest_queries as ing
 from tallyhouse.plans.collect import UsageStore
-from tallyhouse.plans.oracle import EVENTS, HOURS, OUT_N, sums
+from tallyhouse.plans.oracle import COST, EVENTS, HOURS, OUT_N, sums
 from tallyhouse.plans.registry import ORACLE_SQL, query, shown
 from tallyhouse.schemas import HOUR_KEYS, MEASURES, REQUESTS, TOKENS, TOTAL
 from tallyhouse.session import work_path
@@ -150,3 +150,32 @@ def collect_table(spark, sf):
  FROM ue GROUP BY source""")
 def collect_summary(spark, sf):
     return shown(jobs.collect_summary(a.unpriced_events(spark, sf)))
+
+
+@query("collect_proxy", ORACLE_SQL["ccswitch_hours"].replace("SELECT source,", "SELECT 'dev-x' AS device, source,")
+       .replace("SELECT 'dev-x' AS device, source, usage_date, hour", "SELECT source, usage_date, hour", 1))
+def collect_proxy(spark, sf):
+    """Proxied requests read in two parts that split an hour between them."""
+    store, requests = _store(spark, "store"), ing.proxy_requests(spark, sf)
+    for rows in (requests.where(F.col("created_at") < 1705278600), requests):
+        store.collect_proxy(rows, None, "dev-x", a.TZ, a.AS_OF, a.LOCK_TIME)
+    return shown(store.read("hour"), *HOUR_KEYS, *MEASURES, REQUESTS)
+
+
+@query("collect_days", f"""{EVENTS}, h AS (SELECT usage_date, model, input_tokens, output_tokens,
+ least(cache_read_tokens, input_tokens) AS c FROM ue0),
+d AS (SELECT usage_date, model, sum(input_tokens - c)::BIGINT AS input_tokens, sum(c)::BIGINT AS cache_read_tokens,
+ sum(output_tokens)::BIGINT AS output_tokens, 0 AS cache_creation_tokens, 0 AS reasoning_output_tokens
+ FROM h GROUP BY ALL)
+SELECT 'dev-h' AS device, 'Hermes Agent' AS source, usage_date::VARCHAR AS usage_date, model, input_tokens,
+ cache_read_tokens, output_tokens, round({COST}, 9) AS cost_usd FROM d LEFT JOIN rates USING (model)""")
+def collect_days(spark, sf):
+    """Day rows of a tool that keeps no requests."""
+    rows = a.raw_events(spark, sf).select(
+        F.col("usage_date").cast("string").alias("date"), F.col("raw_model").alias("model"),
+        "input_tokens", "output_tokens", F.col("cache_read_tokens").alias("cached_tokens"))
+    store = _store(spark, "store")
+    days = tables.read_hermes_daily(rows).withColumn("device", F.lit("dev-h"))
+    store.collect_days(days, a.AS_OF, a.LOCK_TIME)
+    return shown(store.read("daily"), "device", "source", "usage_date", "model", "input_tokens",
+                 "cache_read_tokens", "output_tokens", "cost_usd")

@@ -67,7 +67,7 @@ def project_folders(docs: DataFrame) -> DataFrame:
 def with_session_cwd(events: DataFrame, folders: DataFrame) -> DataFrame:
     """Fill a missing project path from the session's known folder."""
     known = folders.groupBy("session_id").agg(F.max("project_cwd").alias("project_cwd"))
-    return lookup_join(events, known, "session_id").withColumn(
+    return lookup_join(events, cut_lineage(known), "session_id").withColumn(
         "project_path", F.coalesce("project_path", "project_cwd")
     ).drop("project_cwd")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.plans.collect import UsageStore
+from tallyhouse.plans.dashboard import Dashboard
 from tallyhouse.schemas import DEVICES, INPUT, MODEL_PRICING, TOTAL
 from tallyhouse.sources import codex, transfer
 from tallyhouse.sources.files import scan_jsonl_tree
@@ -165,3 +166,22 @@ def test_codex_batch_is_the_reference_of_the_stream(spark):
     frame = spark.createDataFrame([("/s", 0, 0, i, json.dumps(t)) for i, t in enumerate(CODEX)],
                                   "path string, block bigint, chunk bigint, pos bigint, value string")
     assert codex.parse_codex_log(frame).count() == 4
+
+
+def test_dashboard_views(spark, store):
+    bundle_source(spark, store)
+    board = Dashboard(store, AS_OF, TZ)
+    assert board.daily().count() == board.model_ranking().count() == 1
+    assert [(r.usage_date, r.hour) for r in board.hour_series().collect()] == [(date(2026, 8, 1), 9)]
+    assert board.today_events().count() == 0 and board.sessions().count() == 1
+    days, hours = board.model_series("gpt-5")
+    assert (days.first()[TOTAL], hours.first().hour) == (7, 9)
+    assert board.kpis("7d").first()[TOTAL] == board.kpis("all").first()[TOTAL] == 7
+    assert board.in_range("7d", models=["none"]).count() == 0
+    assert board.prices_in_use().first().has_price and board.heatmap().count() % 7 == 0
+    board.override_price(spark.createDataFrame([("gpt-5", 9.0, 9.0, 0.0, 0.0, None)], MODEL_PRICING))
+    assert [(r.model_key, r.input_rate, r.fetched_at) for r in board.prices("GPT").collect()] == [("gpt-5", 9.0, NOW)]
+    board.delete_price(spark.createDataFrame([("gpt-5",)], "model_key string"))
+    assert board.prices().count() == 0
+    board.rename_device("d", "Desk")
+    assert board.devices().first().display_name == "Desk"
