@@ -59,16 +59,21 @@ def rebucket_local_to_utc(hour: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def session_rollup(events: DataFrame) -> DataFrame:
-    """Sessions with their last activity, first project and the model with most tokens.
+def session_parts(events: DataFrame) -> DataFrame:
+    """Sums per session, day, model and project, with the first and last activity.
 
-    The first step sums counters and times in a hash table, so a session of any size is small
-    before it is brought together; the other two steps share one partitioning by session.
+    Counters and times are summed in a hash table, so a session of any size is small before it
+    is brought together.
     """
-    parts = events.where(F.col("session_id").isNotNull()).groupBy(
-        *SESSION_KEYS, "model", "project_path"
+    return events.where(F.col("session_id").isNotNull()).groupBy(
+        *SESSION_KEYS, "usage_date", "model", "project_path"
     ).agg(*measure_sums(), F.max("event_time").alias("last_activity"),
           F.min("event_time").alias("first_activity"))
+
+
+def sessions_of_parts(parts: DataFrame) -> DataFrame:
+    """Sessions with their last activity, first project and the model with most tokens; both
+    steps share one partitioning by session."""
     first = F.struct(F.col("first_activity").isNull(), "first_activity", "project_path")
     per_model = parts.repartition(*SESSION_KEYS).groupBy(*SESSION_KEYS, "model").agg(
         *measure_sums(), F.max("last_activity").alias("last_activity"),
@@ -82,6 +87,10 @@ def session_rollup(events: DataFrame) -> DataFrame:
     ).withColumn("project_path", F.col("project.project_path")).drop("project")
 
 
+def session_rollup(events: DataFrame) -> DataFrame:
+    return sessions_of_parts(session_parts(events))
+
+
 def ccswitch_hours(requests: DataFrame, prices: DataFrame, device: str) -> DataFrame:
     """Hour buckets of proxied requests under their own sources, priced per model."""
     instant = F.timestamp_seconds("created_at")

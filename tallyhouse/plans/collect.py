@@ -12,20 +12,22 @@ from tallyhouse.operators.merge import on_days
 from tallyhouse.operators.pricing import price_usage
 from tallyhouse.operators.rollups import (
     ccswitch_hours, ccswitch_rollup_daily, daily_rebuild, hour_rollup, measure_sums,
-    requests_of_touched_hours, session_rollup,
+    requests_of_touched_hours, session_parts, sessions_of_parts,
 )
 from tallyhouse.schemas import (
     CURSORS, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST,
-    MODEL_PRICING, PENDING, REQUESTS, SESSION_KEYS, SESSION_USAGE, TOKENS, TOTAL, USAGE_EVENT,
+    MODEL_PRICING, PENDING, REQUESTS, SESSION_KEYS, SESSION_PART, SESSION_USAGE, TOKENS, TOTAL,
+    USAGE_EVENT,
 )
 from tallyhouse.session import cut_lineage
 
 SCHEMAS = {
     "event": USAGE_EVENT, "hour": HOUR_USAGE, "daily": DAILY_USAGE, "session": SESSION_USAGE,
     "devices": DEVICES, "prices": MODEL_PRICING, "manifest": MANIFEST, "cursors": CURSORS,
-    "pending": PENDING,
+    "pending": PENDING, "session_part": SESSION_PART,
 }
-USAGE_LAYERS = ["event", "hour", "daily", "session"]
+USAGE_LAYERS = ["event", "hour", "daily", "session", "session_part"]
+SESSION_BUCKETS = 256
 
 
 class UsageStore:
@@ -38,7 +40,8 @@ class UsageStore:
         return f"{self.root}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        return mrg.read_table(self.spark, self.path(name), SCHEMAS[name])
+        stored = mrg.read_table(self.spark, self.path(name), SCHEMAS[name])
+        return stored.select(*SCHEMAS[name].names)
 
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
         return rows.select(*[
@@ -49,7 +52,9 @@ class UsageStore:
     def write(self, **tables: DataFrame) -> None:
         for name, rows in tables.items():
             shaped = self._shaped(name, rows)
-            if "usage_date" in shaped.columns:
+            if name == "session":
+                mrg.write_partitions(self._bucketed(shaped), self.path(name), "bucket")
+            elif "usage_date" in shaped.columns:
                 mrg.write_partitions(shaped, self.path(name))
             else:
                 self._replace(name, shaped)
@@ -112,9 +117,19 @@ class UsageStore:
             self.path("daily"), self._shaped("daily", daily), DAILY_KEYS,
             lambda old, new: self._shaped("daily", mrg.upsert_daily(old, new, as_of, locked_at)))
 
+    @staticmethod
+    def _bucketed(sessions: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.hash("session_id"), F.lit(SESSION_BUCKETS))
+        return sessions.withColumn("bucket", bucket)
+
     def merge_sessions(self, sessions: DataFrame) -> None:
-        merged = mrg.upsert_sessions(self.read("session"), self._shaped("session", sessions))
-        self._replace("session", self._shaped("session", merged))
+        """Merge sessions into a table of buckets, of which only the touched are rewritten."""
+        incoming = self._bucketed(cut_lineage(self._shaped("session", sessions)))
+        buckets = [r[0] for r in incoming.select("bucket").distinct().collect()]
+        stored = mrg.read_table(self.spark, self.path("session"), incoming.schema)
+        touched = stored.where(F.col("bucket").isin(buckets)).drop("bucket")
+        merged = self._shaped("session", mrg.upsert_sessions(touched, incoming.drop("bucket")))
+        mrg.write_partitions(cut_lineage(self._bucketed(merged)), self.path("session"), "bucket")
 
     def rebuild(self, stale: DataFrame, tz: str, as_of: date, locked_at: datetime) -> None:
         """Bring hours, local days and sessions up to the stored events of the stale dates.
@@ -130,9 +145,22 @@ class UsageStore:
         self.merge_hours(hour_rollup(touched))
         days = daily_rebuild(on_days(self.read("hour"), around(2)), tz)
         self.merge_daily(on_days(days, around(1)), as_of, locked_at)
-        sessions = cut_lineage(touched.select(*SESSION_KEYS).distinct())
-        whole = lookup_join(self.read("event"), sessions, SESSION_KEYS, "left_semi")
-        self.merge_sessions(session_rollup(whole))
+        self._rebuild_sessions(touched, stale)
+
+    def _rebuild_sessions(self, touched: DataFrame, stale: DataFrame) -> None:
+        """Recompute the session sums of stale dates, then the sessions they belong to.
+
+        Sessions are summed from their parts by day, so the events of other days are not read.
+        Events without a day are a part of their own.
+        """
+        undated = self.read("event").where("usage_date IS NULL")
+        parts = cut_lineage(self._shaped("session_part", session_parts(touched.unionByName(undated))))
+        others = lookup_join(on_days(self.read("session_part"), stale), stale,
+                             ["device", "source", "usage_date"], "left_anti")
+        mrg.write_partitions(cut_lineage(others.unionByName(parts)), self.path("session_part"))
+        sessions = cut_lineage(parts.select(*SESSION_KEYS).distinct())
+        whole = lookup_join(self.read("session_part"), sessions, SESSION_KEYS, "left_semi")
+        self.merge_sessions(sessions_of_parts(whole))
 
     def collect(self, events: DataFrame, tz: str, as_of: date, locked_at: datetime) -> None:
         """Merge collected events and rebuild what depends on them."""

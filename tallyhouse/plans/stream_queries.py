@@ -78,6 +78,7 @@ def dsh_increments(spark, sf):
 
 
 def _increments(lines, run):
+    lines = prc.cut_lineage(lines)
     parts = [run(lines.where(F.col("increment") == n).drop("increment"), n) for n in range(3)]
     replayed = run(lines.where("increment = 2").drop("increment"), 2)
     whole = parts[0].unionByName(parts[1]).unionByName(replayed)

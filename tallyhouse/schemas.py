@@ -43,6 +43,10 @@ DAILY_USAGE = _struct(
 SESSION_USAGE = _struct(
     device=_S, source=_S, session_id=_S, last_activity=_TS, project_path=_S, model=_S, **_MEASURES
 )
+SESSION_PART = _struct(
+    device=_S, source=_S, session_id=_S, usage_date=_DATE, model=_S, project_path=_S, **_MEASURES,
+    last_activity=_TS, first_activity=_TS,
+)
 MODEL_PRICING = _struct(model_key=_S, **dict.fromkeys(RATES, _D), fetched_at=_TS)
 DEVICES = _struct(device_id=_S, hostname=_S, display_name=_S, is_local=_B)
 MANIFEST = _struct(source=_S, file_path=_S, fingerprint=_S, last_offset=_L, updated_at=_TS)

@@ -185,3 +185,17 @@ def test_dashboard_views(spark, store):
     assert board.prices().count() == 0
     board.rename_device("d", "Desk")
     assert board.devices().first().display_name == "Desk"
+
+
+def test_sessions_over_several_days_and_runs(spark, tmp_path, store):
+    """A session that grows on another day is summed whole; other sessions stay."""
+    logs = tmp_path / "landing" / "s-1"
+    land(logs, "0.jsonl", [stamped(n, r) for n, r in enumerate(CODEX[:2])])
+    stream(spark, tmp_path, store)
+    later = [{**r, "timestamp": "2026-08-02T05:00:00Z"} for r in CODEX[2:]]
+    land(logs, "1.jsonl", later)
+    land(tmp_path / "landing" / "s-2", "0.jsonl", [stamped(n, r) for n, r in enumerate(CODEX[:2])])
+    stream(spark, tmp_path, store)
+    got = {r.project_path: (r[TOTAL], r.last_activity) for r in store.read("session").collect()}
+    assert sorted(v[0] for v in got.values()) == [110, sum(sum(e[:3]) for e in CODEX_EVENTS)]
+    assert max(v[1] for v in got.values()) == datetime(2026, 8, 2, 5)
