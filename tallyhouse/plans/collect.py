@@ -27,7 +27,7 @@ SCHEMAS = {
     "pending": PENDING, "session_part": SESSION_PART,
 }
 USAGE_LAYERS = ["event", "hour", "daily", "session", "session_part"]
-SESSION_BUCKETS = 256
+SESSION_BUCKETS = 64
 
 
 class UsageStore:
