@@ -204,15 +204,12 @@ def calendar_heatmap(daily: DataFrame, as_of: date) -> DataFrame:
     ).orderBy("usage_date")
 
 
-_LAYER_MEASURES = MEASURES
-
-
 def _layers(hour, events, daily, day: date, tz: str, fallback_hour: int) -> DataFrame:
     """Sums of one local day per source, hour, model and layer: 0 hours, 1 events, 2 days."""
     start, end = local_midnight(day, 0, tz), local_midnight(day, -1, tz)
     instant = F.col("event_time")
     local_hour = F.hour(F.from_utc_timestamp(instant, tz))
-    columns = ["source", "hour", "model", *_LAYER_MEASURES]
+    columns = ["source", "hour", "model", *MEASURES]
     on_day = F.col("usage_date") == F.lit(day)
     hours = localized_hours(near_day(hour, day), tz).where(on_day)
     seen = events.where((instant >= start) & (instant < end)).withColumn("hour", local_hour)
@@ -220,7 +217,7 @@ def _layers(hour, events, daily, day: date, tz: str, fallback_hour: int) -> Data
     rows = [r.select(*columns, F.lit(n).alias("layer")) for n, r in enumerate((hours, seen, days))]
     both = rows[0].unionByName(rows[1]).unionByName(rows[2])
     return both.groupBy("source", "hour", "model", "layer").agg(
-        *[F.sum(c).alias(c) for c in _LAYER_MEASURES]
+        *[F.sum(c).alias(c) for c in MEASURES]
     )
 
 
@@ -237,7 +234,7 @@ def hour_first_series(
     for sources that have neither."""
     layers = _layers(hour, events, daily, day, tz, fallback)
     sums = layers.groupBy("source", "hour", "layer").agg(
-        *[F.sum(c).alias(c) for c in _LAYER_MEASURES]
+        *[F.sum(c).alias(c) for c in MEASURES]
     )
     slot, source = Window.partitionBy("source", "hour"), Window.partitionBy("source")
     first = F.when(F.col("layer") == 2, F.min("layer").over(source)).otherwise(

@@ -11,7 +11,7 @@ from tallyhouse.operators import rollups as rol
 from tallyhouse.operators import series as ser
 from tallyhouse.plans import adapters as a
 from tallyhouse.plans.oracle import (
-    COLS, DAYS, EVENTS, HOURS, ORDER_DAYS, ORDERS, OUT, OUT_N, SUMS, SUMS_N, TOKENS, sums, text_time,
+    COLS, DAYS, EVENTS, HOURS, ORDER_DAYS, ORDERS, OUT, OUT_N, SUMS, TOKENS, sums, text_time,
 )
 from tallyhouse.plans.registry import query, shown
 from tallyhouse.schemas import DAILY_KEYS, HOUR_KEYS, MEASURES, REQUESTS, SESSION_KEYS, TOTAL

@@ -121,9 +121,6 @@ def fuzzy_score(spark, sf):
 
 # Instants and calendar
 
-_TIME = "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
-
-
 @query("to_utc_ts", f"""SELECT event_id, CASE event_id % 7
  WHEN 0 THEN {text_time("ts")} WHEN 1 THEN {text_time("ts - INTERVAL 330 MINUTES")}
  WHEN 2 THEN {text_time("ts - INTERVAL 8 HOURS")} WHEN 3 THEN {text_time("ts::DATE - INTERVAL 8 HOURS")}

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators import filters, lookup, manifest, merge, pricing, quota, ranking, rollups, series
 from tallyhouse.schemas import (
-    COST, DAILY_KEYS, DAILY_USAGE, DEVICES, HOUR_KEYS, HOUR_USAGE, INPUT, MEASURES, MODEL_PRICING, OUTPUT,
-    RATES, REQUESTS, SESSION_USAGE, TOKENS, TOTAL, USAGE_EVENT,
+    COST, DAILY_USAGE, DEVICES, HOUR_USAGE, INPUT, MODEL_PRICING, OUTPUT, RATES, REQUESTS, TOKENS, TOTAL, USAGE_EVENT,
 )
 
 
