@@ -2,6 +2,7 @@
 
 import pytest
 
+from tallyhouse.plans.registry import ORACLE_SQL, QUERIES
 from tests import compare
 
 SF = "/root/testdata/sf0.001"
@@ -13,10 +14,10 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(compare.entry.oracle_sql()) == set(compare.entry.queries())
+    assert set(ORACLE_SQL) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(compare.entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     assert compare.differences(spark, db, name, SF) is None
 
