@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import packing, token_counts
+from tallyhouse.llm import decontaminate, packing, token_counts
 from tallyhouse.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,43 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op5_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op4_decontamination, op5_token_counts)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+item_at AS (
+  SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+  FROM item WHERE len(w) > 0),
+phrase AS (SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM item_at),
+doc_at AS (
+  SELECT k, s.size, w, unnest(range(1, (len(w) - s.size + 2)::BIGINT)) AS i
+  FROM doc, (SELECT DISTINCT size FROM phrase) AS s WHERE len(w) >= s.size),
+found AS (
+  SELECT d.k, d.i, p.size, p.item_id
+  FROM (SELECT k, i, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM doc_at) AS d
+  JOIN phrase AS p USING (size, phrase)),
+word_hit AS (SELECT k, count(*) AS n_hit FROM (
+  SELECT DISTINCT k, unnest(range(i, i + size)) AS place FROM found) GROUP BY k),
+names AS (
+  SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT k, item_id::VARCHAR AS id FROM found) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word_hit USING (k) LEFT JOIN names USING (k)
+""",
+}

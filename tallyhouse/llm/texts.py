@@ -29,7 +29,7 @@ def bodies(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows with at most ``most`` bytes of text, or one row that has more.
     Bounds what a task holds beside its batch; no row is left out."""
     for batch in batches:
