@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import decontaminate, packing, token_counts
+from tallyhouse.llm import decontaminate, near_dedup, packing, token_counts
 from tallyhouse.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,7 +28,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op4_decontamination, op5_token_counts)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op2_near_dedup, op4_decontamination, op5_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
 WITH doc AS (

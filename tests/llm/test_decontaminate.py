@@ -49,7 +49,7 @@ def test_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "plain text"), (2, None)], "item_id bigint, text string")
     got = sorted(pairs(d.hits(odd, bench), "doc_id", "n_words", "n_hit"), key=str)
     assert (4, 6, 2) in got and got.count((4, 6, 2)) == 2 and (None, 3, 0) in got and len(got) == 8
-    assert d.remove(odd, bench).schema == odd.schema
+    assert d.remove(odd, bench).dtypes == odd.dtypes
     assert d.remove(odd, bench).count() == 8
     assert d.hits(odd.limit(0), bench).count() == 0
     assert d.hits(odd, bench.limit(0)).where("contaminated").count() == 0
