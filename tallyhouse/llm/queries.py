@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import decontaminate, near_dedup, packing, token_counts
+from tallyhouse.llm import decontaminate, line_dedup, near_dedup, packing, token_counts
 from tallyhouse.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op2_near_dedup, op4_decontamination, op5_token_counts)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op2_near_dedup, op4_decontamination, op5_token_counts, op9_line_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
 WITH doc AS (
