@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import decontaminate, line_dedup, near_dedup, packing, token_counts
+from tallyhouse.llm import decontaminate, line_dedup, near_dedup, packing, token_counts, toxicity
 from tallyhouse.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op2_near_dedup, op4_decontamination, op5_token_counts, op9_line_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op2_near_dedup, op4_decontamination, op5_token_counts, op9_line_dedup,
+                                               op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
 WITH doc AS (
