@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import decontaminate, line_dedup, near_dedup, packing, token_counts, toxicity
+from tallyhouse.llm import decontaminate, line_dedup, near_dedup, packing, repeats, token_counts, toxicity
 from tallyhouse.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,7 +40,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op2_near_dedup, op4_decontamination, op5_token_counts, op9_line_dedup,
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op2_near_dedup, op3_repeats, op4_decontamination, op5_token_counts, op9_line_dedup,
                                                op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
