@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import decontaminate, line_dedup, near_dedup, packing, repeats, spotsigs, token_counts, toxicity
+from tallyhouse.llm import decontaminate, line_dedup, near_dedup, packing, pii, repeats, secret_scan, spotsigs, token_counts, toxicity
 from tallyhouse.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +32,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find(table(spark, sf_dir, "documents")))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
 
@@ -44,8 +52,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op2_near_dedup, op3_repeats, op4_decontamination, op5_token_counts, op7_fingerprints, op9_line_dedup,
-                                               op10_toxicity)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op1_packing, op2_near_dedup, op3_repeats, op4_decontamination, op5_token_counts, op6_personal_data, op7_fingerprints,
+    op8_secrets, op9_line_dedup, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
 WITH doc AS (
