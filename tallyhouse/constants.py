@@ -95,9 +95,11 @@ OTHER_MODEL = "__other__"
 GRANULARITY_LIMITS = [(730, "yearly"), (365, "monthly"), (90, "weekly")]
 
 # Export bundle header.
-BUNDLE_FORMAT = "token-usage-export"
+BUNDLE_FORMAT = "tallyhouse-bundle"
 BUNDLE_VERSION = 1
 
 # Quota window codes of captured plan responses, in display order.
 QUOTA_WINDOWS = [(3, "5h"), (6, "week"), (5, "month")]
 QUOTA_SCRIPT_KEYS = [("rollingUsage", "5h"), ("weeklyUsage", "week"), ("monthlyUsage", "month")]
+# fixed value: where the harness keeps the folders of its sessions, below its home
+HARNESS_PROJECTS = "storages/session_projcache.json"

@@ -172,7 +172,7 @@ def rename_device(devices: DataFrame, device_id: str, display_name: str) -> Data
     return devices.withColumn("display_name", named)
 
 
-def prune_manifest(manifest: DataFrame, as_of: datetime, max_age_days=30, max_rows=1000) -> DataFrame:
+def prune_manifest(manifest: DataFrame, as_of: datetime, max_age_days: int, max_rows: int) -> DataFrame:
     """Manifest rows updated recently, the newest ``max_rows`` of them."""
     oldest = F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=F.lit(max_age_days))
     recent = manifest.where(F.col("updated_at") >= oldest)

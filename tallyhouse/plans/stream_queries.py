@@ -12,7 +12,6 @@ from tallyhouse.plans.registry import ORACLE_SQL, query, shown
 from tallyhouse.schemas import HOUR_KEYS, MEASURES, REQUESTS, TOKENS, TOTAL
 from tallyhouse.session import work_path
 from tallyhouse.sources import tables
-from tallyhouse.sources.files import scan_jsonl_tree
 from tallyhouse.sources.openclaw import parse_openclaw_log
 from tallyhouse.streaming import jobs
 from tallyhouse.streaming.state import SessionState
@@ -121,10 +120,10 @@ def collect_changed_files(spark, sf):
     """A tree of logs collected by manifest; a second run finds nothing to read."""
     root, store = work_path(spark, "tree"), _store(spark, "store")
     _landed_by_session(spark, sf, root)
-    arguments = (spark, store, K.OPENCLAW, [root], parse_openclaw_log, scan_jsonl_tree, "dev-0", a.TZ,
-                 a.AS_OF, a.LOCK_TIME)
-    jobs.collect_changed_files(*arguments)
-    if jobs.collect_changed_files(*arguments):
+    arguments = (spark, store, K.OPENCLAW, [root], parse_openclaw_log, "dev-0", a.TZ, a.AS_OF, a.LOCK_TIME)
+    if jobs.collect_changed_files(*arguments).failed:
+        raise AssertionError("a file was not read")
+    if jobs.collect_changed_files(*arguments).files:
         raise AssertionError("unchanged files were read again")
     return shown(_days(store))
 

@@ -17,9 +17,9 @@ class BundleRejected(ValueError):
     """The input is not an export bundle of the supported version."""
 
 
-def _check(header) -> None:
-    if header is None or header["format"] != K.BUNDLE_FORMAT:
-        raise BundleRejected(f"not a {K.BUNDLE_FORMAT} bundle")
+def _check(header, formats: tuple[str, ...]) -> None:
+    if header is None or header["format"] not in formats:
+        raise BundleRejected(f"not a bundle of the formats {', '.join(formats)}")
     if header["version"] != K.BUNDLE_VERSION:
         raise BundleRejected(f"unsupported version {header['version']}")
 
@@ -37,21 +37,24 @@ def _to_table(rows: DataFrame, layer: str) -> DataFrame:
     ])
 
 
-def load_export_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The layers and ``deviceNames`` of a bundle, rejected unless format and version fit.
+def load_export_bundle(
+    spark: SparkSession, path: str, formats: tuple[str, ...] = (K.BUNDLE_FORMAT,)
+) -> dict[str, DataFrame]:
+    """The layers and ``deviceNames`` of a bundle, rejected unless format and version fit. ``formats``
+    names the accepted formats, for instance that of the program a bundle was exported from.
 
     Reads the folder that ``write_export_bundle`` makes, or one JSON file with nested arrays.
     """
     folder = _folder_header(spark, path)
     if folder is not None:
-        _check(folder)
+        _check(folder, formats)
         layers = {
             layer: _to_table(spark.read.schema(_row_schema(layer)).json(f"{path}/{layer}"), layer)
             for layer in _LAYERS
         }
         return {**layers, "deviceNames": spark.read.schema(_NAMES).json(f"{path}/deviceNames")}
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", BUNDLE).alias("j"))
-    _check(whole.select("j.format", "j.version").first())
+    _check(whole.select("j.format", "j.version").first(), formats)
     layers = {
         layer: _to_table(whole.select(F.inline(f"j.{layer}")), layer) for layer in _LAYERS
     }

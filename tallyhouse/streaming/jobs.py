@@ -1,9 +1,12 @@
 """Incremental collection: landed segments as a stream, growing files by manifest."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from datetime import date, datetime
-from itertools import islice
+from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from tallyhouse.schemas import MEASURES, REQUESTS
 from tallyhouse.session import cut_lineage
 from tallyhouse.sources import codex, dsh
 from tallyhouse.sources.events import EVENT_COLUMNS
-from tallyhouse.sources.files import JSONL, file_listing
+from tallyhouse.sources.files import JSONL, file_listing, scan_log_files
 from tallyhouse.streaming.state import SessionState
 
 CODEX_STATE = {"model": "string", "cwd": "string", "previous_total": codex.USAGE}
@@ -105,7 +108,7 @@ def collect_landed(
     store.rebuild_pending(tz, as_of, locked_at)
 
 
-def stream_hours(events: DataFrame, delay: str = "1 day") -> DataFrame:
+def stream_hours(events: DataFrame, delay: str) -> DataFrame:
     """Hour buckets of a stream of priced events with bounded state: events later than the delay
     are not counted. ``stream_events`` has no such bound."""
     hour = F.window("event_time", "1 hour").alias("hour_window")
@@ -117,12 +120,18 @@ def stream_hours(events: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Stream of events without repeats of a key within the delay."""
+def deduplicated(events: DataFrame, delay: str) -> DataFrame:
+    """Stream of events without repeats of a key within the delay. Events later than the delay are dropped;
+    the query's progress counts them (``dropped_late``)."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(
         ["device", "source", "event_key"])
 
 
+def dropped_late(query) -> int:
+    """Rows that a stream has dropped so far because they came later than its delay."""
+    return sum(state["numRowsDroppedByWatermark"] for step in query.recentProgress for state in step["stateOperators"])
+
+
 def write_stream_hours(hours: DataFrame, checkpoint: str, store: UsageStore):
     """Start keeping the store's hours up to date with a stream of hour buckets."""
     def save(batch: DataFrame, number: int) -> None:
@@ -134,34 +143,76 @@ def write_stream_hours(hours: DataFrame, checkpoint: str, store: UsageStore):
     )
 
 
+class Collected(NamedTuple):
+    """Files read to their end, and (name, reason) of those that were not."""
+
+    files: int
+    failed: list[tuple[str, str]]
+
+
+def _rounds(files: DataFrame, most_bytes: int, most_files: int) -> Iterator[list[str]]:
+    """File names in rounds of bounded size and number, of which one at a time is held."""
+    names, size = [], 0
+    for row in files.select("file_path", "size").toLocalIterator():
+        if names and (size + row.size > most_bytes or len(names) >= most_files):
+            yield names
+            names, size = [], 0
+        names.append(row.file_path)
+        size += row.size
+    if names:
+        yield names
+
+
 def collect_changed_files(
     spark: SparkSession, store: UsageStore, source: str, paths: list[str],
-    parse: Callable[[DataFrame], DataFrame], scan: Callable[[SparkSession, list[str]], DataFrame],
-    device: str, tz: str, as_of: date, now: datetime, glob: str = JSONL,
-    files_per_round: int = 10_000,
-) -> int:
+    parse: Callable[[DataFrame], DataFrame], device: str, tz: str, as_of: date, now: datetime,
+    glob: str = JSONL, round_bytes: int = 1 << 40, round_files: int = 10_000,
+) -> Collected:
     """Collect logs that grow in place: read every changed file whole and merge by key.
 
-    Files are read in rounds of bounded number. A round's files enter the manifest only after
-    its events are merged, so a failed round is read again; the rebuild follows the last round.
-    Gives the number of files read.
+    Files are read in rounds, each by one reader. A round's files enter the manifest only after its
+    events are merged, so a failed round is read again; the rebuild follows the last round. A round
+    with a file that cannot be read to its end is halved until that file is alone. What comes before
+    the damage is merged, the file is reported, and it stays out of the manifest, so it is read again
+    in the next run.
     """
     manifest = store.read("manifest").where(F.col("source") == source)
-    listing = file_listing(spark, paths, glob)
-    states = changed_files(listing, manifest).where("state <> 'CACHED'")
+    states = changed_files(file_listing(spark, paths, glob), manifest).where("state <> 'CACHED'")
     pending = cut_lineage(states.select("file_path", "fingerprint", "size"))
-    names, read = (r[0] for r in pending.select("file_path").toLocalIterator()), 0
-    while names_now := list(islice(names, files_per_round)):
-        events = parse(scan(spark, names_now)).withColumn("device", F.lit(device))
+    failed: list[tuple[str, str]] = []
+
+    def merge(names: list[str], torn: bool) -> None:
+        events = parse(scan_log_files(spark, names, torn)).withColumn("device", F.lit(device))
         store.add_events(events.select("device", *EVENT_COLUMNS))
-        done = pending.where(F.col("file_path").isin(names_now))
+
+    def collect(names: list[str]) -> int:
+        try:
+            merge(names, torn=False)
+        except (PySparkException, Py4JJavaError) as error:
+            if not _unreadable(error):
+                raise
+            if len(names) > 1:
+                half = len(names) // 2
+                return collect(names[:half]) + collect(names[half:])
+            failed.append((names[0], str(error).split("\n", 1)[0][:300]))
+            with suppress(PySparkException, Py4JJavaError):
+                merge(names, torn=True)
+            return 0
+        done = pending.where(F.col("file_path").isin(names))
         rows = manifest_rows(done, source, now)
         keys = ["source", "file_path"]
         rules = {c: "replace" for c in SCHEMAS["manifest"].names if c not in keys}
         store.write(manifest=merge_upsert(store.read("manifest"), rows, keys, rules))
-        read += len(names_now)
+        return len(names)
+
+    read = sum(collect(names) for names in _rounds(pending, round_bytes, round_files))
     store.rebuild_pending(tz, as_of, now)
-    return read
+    return Collected(read, failed)
+
+
+def _unreadable(error: Exception) -> bool:
+    """Whether a file could not be read, as opposed to anything else that went wrong."""
+    return any(word in str(error) for word in ("FAILED_READ_FILE", "PATH_NOT_FOUND", "FileNotFoundException"))
 
 
 def collect_summary(events: DataFrame) -> DataFrame:

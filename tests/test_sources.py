@@ -166,6 +166,29 @@ def test_collect_logs_of_several_kinds(spark, tmp_path):
     assert got == {"Claude Code": 1, "Codex CLI": 4}
 
 
+def test_collect_logs_knows_projects_documents_and_folders(spark, tmp_path):
+    claude_root, gemini_root, home = (tmp_path / n for n in ("claude", "gemini", "harness"))
+    (claude_root / "proj-a" / "deep").mkdir(parents=True)
+    (claude_root / "proj-a" / "deep" / "s.jsonl").write_text("\n".join(CLAUDE))
+    message = {"type": "gemini", "model": "Gemini-X", "timestamp": "2026-08-01 07:00:00", "tokens": {"input": 10, "output": 2}}
+    (gemini_root / "p" / "chats").mkdir(parents=True)
+    (gemini_root / "p" / "chats" / "a.json").write_text(json.dumps({"sessionId": "s", "messages": [message]}))
+    (gemini_root / "session-1.json").write_text(json.dumps({"stats": {"input_tokens": 4, "output_tokens": 1}}))
+    (home / "storages").mkdir(parents=True)
+    (home / "storages" / "session_projcache.json").write_text(
+        json.dumps({"tables": {"sessions": {"sess-9": {"identity": {"cwd": "/code/nine"}}}}}))
+    (home / "logs" / "sess-9").mkdir(parents=True)
+    answer = {"type": "assistant/message", "seq": 1, "time": 1785542400000, "data": {"usage": {"inputTokens": 6, "outputTokens": 1}}}
+    (home / "logs" / "sess-9" / "log.jsonl.zstd").write_bytes(zstandard.compress((json.dumps(answer) + "\n").encode()))
+    events = registry.collect_logs(spark, {
+        "Claude Code": [str(claude_root)], "Gemini CLI": [str(gemini_root)],
+        "DeepSeek Harness": [str(home)]}, "dev", "+08:00")
+    got = sorted((r.source, r.project_path, r.session_id, r[TOTAL], str(r.event_time)) for r in events.collect())
+    assert [g[:4] for g in got] == [("Claude Code", "proj-a", "s", 118), ("DeepSeek Harness", "/code/nine", "sess-9", 7),
+                                    ("Gemini CLI", "s", "s", 12), ("Gemini CLI", "session-1", "session-1", 5)]
+    assert got[2][4] == "2026-07-31 23:00:00"
+
+
 def test_openclaw_keeps_repeats(spark):
     line = {"type": "assistant", "model": "x", "timestamp": "2026-08-01 01:00:00", "usage": {"input_tokens": "4"}}
     assert parse_openclaw_log(lines(spark, [line, line, {"type": "assistant"}])).count() == 2

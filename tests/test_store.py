@@ -4,13 +4,13 @@ import json
 from datetime import date, datetime
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tallyhouse.plans.collect import UsageStore
 from tallyhouse.plans.dashboard import Dashboard
 from tallyhouse.schemas import DEVICES, INPUT, MODEL_PRICING, TOTAL
 from tallyhouse.sources import codex, transfer
-from tallyhouse.sources.files import scan_jsonl_tree
 from tallyhouse.sources.openclaw import parse_openclaw_log
 from tallyhouse.streaming import jobs
 from tallyhouse.streaming.state import SessionState
@@ -80,11 +80,11 @@ def test_growing_files_are_read_again_whole(spark, tmp_path, store):
     logs = tmp_path / "logs"
     land(logs, "a.jsonl", [claw(1, 10)])
     land(logs, "b.jsonl", [claw(2, 20)])
-    arguments = (spark, store, "OpenClaw", [str(logs)], parse_openclaw_log, scan_jsonl_tree, "dev", TZ, AS_OF, NOW)
-    assert jobs.collect_changed_files(*arguments, files_per_round=1) == 2
-    assert jobs.collect_changed_files(*arguments) == 0
+    arguments = (spark, store, "OpenClaw", [str(logs)], parse_openclaw_log, "dev", TZ, AS_OF, NOW)
+    assert jobs.collect_changed_files(*arguments, round_bytes=1).files == 2
+    assert jobs.collect_changed_files(*arguments).files == 0
     land(logs, "a.jsonl", [claw(1, 10), claw(18, 5)])
-    assert jobs.collect_changed_files(*arguments) == 1
+    assert jobs.collect_changed_files(*arguments).files == 1
     days = {r.usage_date: (r[TOTAL], r.cost_usd) for r in store.read("daily").collect()}
     assert days == {date(2026, 8, 2): (30, 30.0), date(2026, 8, 3): (5, 5.0)}
     assert store.read("manifest").count() == 2
@@ -123,16 +123,16 @@ def test_import_twice_changes_nothing(spark, tmp_path, store):
 
 def test_single_file_bundle_and_rejection(spark, tmp_path):
     row = {"device": "d", "source": "s", "usageDate": "2026-08-01", "hour": 3, "model": "m", "totalTokens": 4}
-    good = {"format": "token-usage-export", "version": 1, "deviceNames": {"d": "Desk"}, "hourUsage": [row],
+    good = {"format": "other-format", "version": 1, "deviceNames": {"d": "Desk"}, "hourUsage": [row],
             "dailyUsage": [], "sessionUsage": []}
     path = tmp_path / "b.json"
     path.write_text(json.dumps(good, indent=2))
-    bundle = transfer.load_export_bundle(spark, str(path))
+    bundle = transfer.load_export_bundle(spark, str(path), ("other-format",))
     assert (bundle["hourUsage"].first().usage_date, bundle["deviceNames"].first().name) == (date(2026, 8, 1), "Desk")
     for text in (json.dumps({**good, "format": "x"}), json.dumps({**good, "version": 2}), "not json"):
         path.write_text(text)
         with pytest.raises(transfer.BundleRejected):
-            transfer.load_export_bundle(spark, str(path))
+            transfer.load_export_bundle(spark, str(path), ("other-format",))
 
 
 def test_csv_quoting(spark, tmp_path):
@@ -199,3 +199,36 @@ def test_sessions_over_several_days_and_runs(spark, tmp_path, store):
     got = {r.project_path: (r[TOTAL], r.last_activity) for r in store.read("session").collect()}
     assert sorted(v[0] for v in got.values()) == [110, sum(sum(e[:3]) for e in CODEX_EVENTS)]
     assert max(v[1] for v in got.values()) == datetime(2026, 8, 2, 5)
+
+
+def test_no_file_is_lost(spark, tmp_path, store):
+    """Names that look like patterns are read, a damaged file is reported and read again once repaired, and
+    a round that has one still collects the others."""
+    logs = tmp_path / "logs"
+    names = ["a[id].jsonl", "b{1,2}.jsonl", "c*.jsonl", "d?.jsonl", "e%20+ f.jsonl", "f\\g.jsonl"]
+    for n, name in enumerate(names):
+        land(logs, name, [claw(n, 1)])
+    pack = zstandard.ZstdCompressor()
+    frames = [pack.compress((json.dumps(claw(10 + n, 100)) + "\n").encode()) for n in range(3)]
+    whole, damaged = b"".join(frames), frames[0] + frames[1][:-6] + b"broken" + frames[2]
+    (logs / "z.jsonl.zstd").write_bytes(damaged)
+    arguments = (spark, store, "OpenClaw", [str(logs)], parse_openclaw_log, "dev", TZ, AS_OF, NOW, "*.jsonl*")
+    first = jobs.collect_changed_files(*arguments)
+    assert first.files == len(names) and [f.rsplit("/", 1)[-1] for f, _ in first.failed] == ["z.jsonl.zstd"]
+    assert store.read("manifest").count() == len(names)
+    assert store.read("event").where("total_tokens = 1").count() == len(names)
+    again = jobs.collect_changed_files(*arguments)
+    assert again.files == 0 and len(again.failed) == 1
+    (logs / "z.jsonl.zstd").write_bytes(whole)
+    assert jobs.collect_changed_files(*arguments) == jobs.Collected(1, [])
+    assert store.read("event").where("total_tokens = 100").count() == 3
+    assert jobs.collect_changed_files(*arguments) == jobs.Collected(0, [])
+
+
+def test_many_files_in_one_round(spark, tmp_path, store):
+    logs = tmp_path / "logs"
+    for n in range(600):
+        land(logs / str(n % 7), f"{n}.jsonl", [claw(n % 24, n + 1)])
+    arguments = (spark, store, "OpenClaw", [str(logs)], parse_openclaw_log, "dev", TZ, AS_OF, NOW)
+    assert jobs.collect_changed_files(*arguments) == jobs.Collected(600, [])
+    assert store.read("event").agg(F.sum(TOTAL)).first()[0] == 600 * 601 // 2
