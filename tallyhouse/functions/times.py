@@ -85,3 +85,11 @@ def default_granularity(days: int | None) -> str:
         if days is not None and days > limit:
             return granularity
     return "daily"
+
+
+def granularity_of(days: Column) -> Column:
+    """The default granularity of a range of so many days."""
+    chosen = F.lit("daily")
+    for limit, granularity in reversed(K.GRANULARITY_LIMITS):
+        chosen = F.when(days > limit, granularity).otherwise(chosen)
+    return chosen

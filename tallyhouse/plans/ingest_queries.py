@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from tallyhouse import constants as K
 from tallyhouse.functions.identity import event_key
+from tallyhouse.functions.models import normalize_model
+from tallyhouse.functions.times import normalize_date
 from tallyhouse.functions.tokens import split_cached
 from tallyhouse.operators import filters as flt
-from tallyhouse.operators import pricing as prc
 from tallyhouse.operators import rollups as rol
 from tallyhouse.plans import adapters as a
 from tallyhouse.plans.oracle import COLS, COST, DAYS, EVENTS, ORDERS, TOKENS, sums, text_time
@@ -156,17 +157,14 @@ def cumulative_delta(spark, sf):
     return shown(steps.select("path", "pos", "increase.*"))
 
 
-@query("ffill_model", f"""{_CODEX} SELECT '/codex/sessions/u-' || user_id || '.jsonl' AS path,
- event_id * 8 + 3 AS pos, coalesce(cm, '') AS model FROM p""")
+@query("ffill_model", f"""{_CODEX}, n AS (SELECT '/codex/sessions/u-' || user_id || '.jsonl' AS path,
+ event_id, coalesce(cm, 'unknown') AS model FROM p)
+SELECT path, event_id * 8 + 3 AS pos, model FROM n
+UNION ALL SELECT path, event_id * 8 + 4, model FROM n WHERE event_id % 7 = 0""")
 def ffill_model(spark, sf):
+    """The model in force at every token count, repeated counts included."""
     carried = codex.ffill_model(codex.codex_states(codex_lines(spark, sf)))
-    plain = prc.trimmed(F.lower(F.coalesce("model", F.lit(""))))
-    names = {"claude-sonnet-4-20250514 (high)": "claude-sonnet-4",
-             "claude-sonnet-4.5": "claude-sonnet-4-5"}
-    for long, short in names.items():
-        plain = F.when(plain == long, short).otherwise(plain)
-    first_count = F.col("counts") & (F.col("pos") % 8 == 3)
-    return shown(carried.where(first_count).select("path", "pos", plain.alias("model")))
+    return shown(carried.where("counts").select("path", "pos", normalize_model(F.col("model")).alias("model")))
 
 
 @query("split_cached", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -235,11 +233,15 @@ def parse_gemini_jsonl(spark, sf):
     return shown(gemini.parse_gemini_jsonl(gemini_lines(spark, sf)), *EVENT)
 
 
-@query("ffill_session_model", f"""{_GEMINI} SELECT '/gemini/u-' || user_id || '.jsonl' AS path,
- event_id * 8 + 2 AS pos, sid AS session FROM g""")
+@query("ffill_session_model", f"""{_GEMINI}, h AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN model ELSE
+ coalesce(lag(model) OVER (PARTITION BY user_id ORDER BY event_id), 'unknown') END AS early FROM g),
+k AS (SELECT unnest([[0, 9], [1, 1], [2, 1], [3, 13], [4, 17], [5, 19]]) AS k)
+SELECT '/gemini/u-' || user_id || '.jsonl' AS path, event_id * 8 + k[1] AS pos, sid AS session,
+ CASE WHEN k[1] < 2 THEN early ELSE model END AS model FROM h, k WHERE event_id % k[2] = 0""")
 def ffill_session_model(spark, sf):
+    """Session and model in force at every line."""
     carried = gemini.ffill_session_model(gemini_lines(spark, sf))
-    return shown(carried.where(F.col("pos") % 8 == 2), "path", "pos", "session")
+    return shown(carried.withColumn("model", normalize_model(F.col("model"))), "path", "pos", "session", "model")
 
 
 @query("replace_by_id", """SELECT '/d/' || (l_suppkey % 8) AS path, 'k' || l_orderkey AS id,
@@ -561,11 +563,10 @@ rk AS (SELECT ru.* FROM ru LEFT JOIN lm USING (source)
 
 
 @query("read_ccswitch_rollups", f"""{_ROLLUPS} SELECT usage_date::VARCHAR AS usage_date, count(*) AS n
- FROM ub0 WHERE l_partkey % 9 <> 0 AND l_partkey % 2 = 1 AND usage_date > '1998-06-30' GROUP BY ALL""")
+ FROM ub0 WHERE l_partkey % 9 <> 0 AND usage_date > '1998-06-30' GROUP BY ALL""")
 def read_ccswitch_rollups(spark, sf):
     rows = tables.read_ccswitch_rollups(proxy_rollups(spark, sf), "1998-06-30")
-    dated = rows.where(F.col("date").rlike("^[0-9]{4}-")).select(F.col("date").alias("usage_date"))
-    return dated.groupBy("usage_date").agg(F.count("*").alias("n"))
+    return shown(rows.groupBy(normalize_date(F.col("date")).alias("usage_date")).agg(F.count("*").alias("n")))
 
 
 @query("rollups_before_local", f"""{_ROLLUPS} SELECT source, usage_date::VARCHAR AS usage_date, model,

@@ -404,9 +404,17 @@ def changed_files(spark, sf):
     return states.select("file_path", "size", "state", "start_offset")
 
 
-@query("all_cached", "SELECT false AS all_cached FROM (SELECT count(*) FROM orders)")
+@query("all_cached", f"""WITH {_FILES}, st AS (SELECT l.n, coalesce(l.fingerprint = m.fingerprint, false) AS same
+ FROM l LEFT JOIN m USING (file_path))
+SELECT 'listed' AS files, bool_and(same) AS all_cached FROM st
+UNION ALL SELECT 'unchanged', bool_and(same) FROM st WHERE n % 4 = 0 AND n % 5 <> 0""")
 def all_cached(spark, sf):
-    return man.all_cached(man.changed_files(_listing(spark, sf), _manifest(spark, sf)))
+    """Over all files, of which some changed, and over those that did not."""
+    listing, known = _listing(spark, sf), _manifest(spark, sf)
+    parts = {"listed": listing, "unchanged": listing.where("n % 4 = 0 AND n % 5 <> 0")}
+    shown_parts = [man.all_cached(man.changed_files(rows, known)).select(F.lit(name).alias("files"), "all_cached")
+                   for name, rows in parts.items()]
+    return shown_parts[0].unionByName(shown_parts[1])
 
 
 @query("changed_dirs", f"""WITH {_FILES}, d AS (SELECT regexp_replace(file_path, '/[^/]*$', '') AS dir,

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import identity, models, times, tokens
-from tallyhouse.operators import filters as flt
 from tallyhouse.plans import adapters as a
 from tallyhouse.plans.oracle import EVENTS, ORDERS, text_time
 from tallyhouse.plans.registry import query, shown
@@ -290,10 +289,13 @@ def noon_localize(spark, sf):
         times.noon_localize(day, "+13:00").alias("far")))
 
 
-@query("default_granularity", f"""{EVENTS} SELECT 'weekly' AS granularity, count(*) AS events FROM ue""")
+@query("default_granularity", """WITH c AS (SELECT o_custkey,
+ date_diff('day', min(o_orderdate::DATE), max(o_orderdate::DATE)) + 1 AS days FROM orders GROUP BY ALL)
+SELECT o_custkey, days, CASE WHEN days > 730 THEN 'yearly' WHEN days > 365 THEN 'monthly'
+ WHEN days > 90 THEN 'weekly' ELSE 'daily' END AS granularity FROM c""")
 def default_granularity(spark, sf):
-    """Granularity chosen for the longest fixed range."""
-    span = flt.detail_range("all", a.AS_OF)
-    chosen = times.default_granularity((span[1] - span[0]).days + 1)
-    return a.unpriced_events(spark, sf).agg(
-        F.lit(chosen).alias("granularity"), F.count("*").alias("events"))
+    """Granularity of each customer's range of order dates."""
+    day = F.to_date("o_orderdate")
+    ranges = a.table(spark, sf, "orders").groupBy("o_custkey").agg(
+        (F.date_diff(F.max(day), F.min(day)) + 1).cast("bigint").alias("days"))
+    return ranges.withColumn("granularity", times.granularity_of(F.col("days")))

@@ -67,10 +67,11 @@ def read_ccswitch_requests(requests: DataFrame, cursor: int = 0) -> DataFrame:
 
 
 def read_ccswitch_rollups(rollups: DataFrame | None, cursor: str | None = None, spark=None):
-    """Day rollups after the cursor date; an absent table reads as empty."""
+    """Day rollups after the cursor date, however their dates are written; with a cursor, rows without a
+    readable date are left out. An absent table reads as empty."""
     if rollups is None:
         return spark.createDataFrame([], PROXY_ROLLUP)
-    return rollups.where(F.col("date") > cursor) if cursor else rollups
+    return rollups.where(normalize_date(F.col("date")) > F.lit(cursor).cast("date")) if cursor else rollups
 
 
 def attributed(rows: DataFrame) -> DataFrame:
