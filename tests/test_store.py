@@ -227,8 +227,8 @@ def test_no_file_is_lost(spark, tmp_path, store):
 
 def test_many_files_in_one_round(spark, tmp_path, store):
     logs = tmp_path / "logs"
-    for n in range(600):
+    for n in range(300):
         land(logs / str(n % 7), f"{n}.jsonl", [claw(n % 24, n + 1)])
     arguments = (spark, store, "OpenClaw", [str(logs)], parse_openclaw_log, "dev", TZ, AS_OF, NOW)
-    assert jobs.collect_changed_files(*arguments) == jobs.Collected(600, [])
-    assert store.read("event").agg(F.sum(TOTAL)).first()[0] == 600 * 601 // 2
+    assert jobs.collect_changed_files(*arguments) == jobs.Collected(300, [])
+    assert store.read("event").agg(F.sum(TOTAL)).first()[0] == 300 * 301 // 2
