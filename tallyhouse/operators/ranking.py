@@ -50,23 +50,21 @@ def _top(usage: DataFrame, k: int) -> DataFrame:
 
 
 def top_models(usage: DataFrame, all_daily: DataFrame, k: int = K.TOP_MODELS) -> DataFrame:
-    """Top models with their main source and the days they were active in all data."""
+    """Top models with their sources, the largest first, and the days they were active in all data."""
     top = F.broadcast(_top(usage, k))
     names = top.select("model")
-    per_source = usage.join(names, "model", "left_semi").groupBy("model", "source").agg(
-        F.sum(TOTAL).alias("t")
-    )
-    main = per_source.groupBy("model").agg(
-        F.min_by("source", F.struct((-F.col("t")).alias("t"), "source")).alias("top_source"),
-        F.count("*").alias("source_count"),
-    )
+    per_source = usage.join(names, "model", "left_semi").groupBy("model", "source").agg(F.sum(TOTAL).alias("t"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("t")).alias("t"), "source")))
+    sources = per_source.groupBy("model").agg(F.transform(
+        listed, lambda s: F.struct(s["source"].alias("source"), (-s["t"]).alias("total"))).alias("sources"))
     days = (
         all_daily.join(names, "model", "left_semi").where(F.col("usage_date").isNotNull())
         .select("model", "usage_date").distinct()
         .groupBy("model").agg(F.count("*").alias("active_days"))
     )
-    return top.join(main, "model", "left").join(days, "model", "left").select(
-        "model", TOTAL, COST, "top_source", "source_count",
+    return top.join(sources, "model", "left").join(days, "model", "left").select(
+        "model", TOTAL, COST, F.get("sources", F.lit(0))["source"].alias("top_source"),
+        F.size("sources").cast("bigint").alias("source_count"), "sources",
         F.coalesce("active_days", F.lit(0)).alias("active_days"),
     ).orderBy(F.desc(TOTAL), "model")
 

@@ -274,11 +274,14 @@ def day_drill(
     hour: DataFrame, events: DataFrame, daily: DataFrame, day: date, tz: str, fallback: int = 23,
     n: int = K.DRILL_MODELS,
 ) -> DataFrame:
-    """Tokens per hour and model of a day, models beyond the day's top n together."""
+    """Tokens per hour of a day and model in it, 0 where there are none; models beyond the day's top n
+    together."""
     day_rows = daily.where(F.col("usage_date") == F.lit(day))
     groups = top_n_other(day_rows, n).select("model", "model_group").distinct()
     drill = event_first_drill(hour, events, daily, day, tz, fallback)
     grouped = drill.join(groups, "model", "left").select(
         "hour", F.coalesce("model_group", F.lit(K.OTHER_MODEL)).alias("model"), TOTAL
     )
-    return grouped.groupBy("hour", "model").agg(F.sum(TOTAL).alias(TOTAL)).orderBy("hour", "model")
+    frame = grouped.select("model").distinct().select(
+        F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"), "model", F.lit(0).cast("bigint").alias(TOTAL))
+    return grouped.unionByName(frame).groupBy("hour", "model").agg(F.sum(TOTAL).alias(TOTAL)).orderBy("hour", "model")

@@ -265,10 +265,10 @@ _TOP = f"""{ORDER_DAYS}, f AS (SELECT * FROM bd WHERE usage_date BETWEEN '1998-0
  t AS (SELECT model, sum(total_tokens)::BIGINT AS total_tokens, sum(cost_usd) AS cost_usd FROM f
  GROUP BY model ORDER BY total_tokens DESC, model LIMIT 8),
  s AS (SELECT model, source, sum(total_tokens) AS n FROM f GROUP BY ALL),
- m AS (SELECT model, arg_min(source, (-n, source)) AS top_source, count(*) AS source_count FROM s
- GROUP BY model),
+ m AS (SELECT model, arg_min(source, (-n, source)) AS top_source, count(*) AS source_count,
+  string_agg(source || ':' || n::BIGINT, ',' ORDER BY n DESC, source) AS sources FROM s GROUP BY model),
  d AS (SELECT model, count(DISTINCT usage_date) AS active_days FROM bd GROUP BY model)
-SELECT model, total_tokens, round(cost_usd, 6) AS cost_usd, top_source, source_count, active_days
+SELECT model, total_tokens, round(cost_usd, 6) AS cost_usd, top_source, source_count, sources, active_days
 FROM t JOIN m USING (model) JOIN d USING (model)"""
 
 
@@ -276,7 +276,8 @@ FROM t JOIN m USING (model) JOIN d USING (model)"""
 def top_models(spark, sf):
     days = a.order_days(spark, sf)
     year = flt.filter_daily(days, date(1998, 1, 1), date(1998, 12, 31))
-    return shown(rnk.top_models(year, days), digits=6)
+    listed = F.transform("sources", lambda s: F.concat_ws(":", s["source"], s["total"].cast("string")))
+    return shown(rnk.top_models(year, days).withColumn("sources", F.array_join(listed, ",")), digits=6)
 
 
 @query("model_source_share", f"""{DAYS}, s AS (SELECT model, source,
@@ -564,9 +565,10 @@ def event_first_drill(spark, sf):
 
 
 @query("day_drill", f"""{_DRILL}, t AS (SELECT model FROM du WHERE usage_date = '2024-01-30'
- GROUP BY model ORDER BY sum(total_tokens) DESC, model LIMIT 4)
-SELECT hour, coalesce(t.model, '__other__') AS model, sum(total_tokens)::BIGINT AS total_tokens
-FROM l LEFT JOIN t USING (model) GROUP BY ALL""")
+ GROUP BY model ORDER BY sum(total_tokens) DESC, model LIMIT 4),
+n AS (SELECT hour, coalesce(t.model, '__other__') AS model, total_tokens FROM l LEFT JOIN t USING (model)),
+f AS (SELECT * FROM n UNION ALL SELECT unnest(range(24)), model, 0 FROM (SELECT DISTINCT model FROM n))
+SELECT hour, model, sum(total_tokens)::BIGINT AS total_tokens FROM f GROUP BY ALL""")
 def day_drill(spark, sf):
     return shown(ser.day_drill(*_layer_inputs(spark, sf), _DAY, a.TZ, 15, n=4))
 
