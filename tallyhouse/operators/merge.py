@@ -1,6 +1,7 @@
 """Merging incoming rows into the usage tables under each table's conflict rule."""
 
 from datetime import date, datetime
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -213,14 +214,31 @@ def on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
     return rows.join(days, "usage_date", "left_semi")
 
 
-def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) -> DataFrame:
-    """Merge incoming rows into a table partitioned by usage_date and rewrite only touched days.
+class Staged(NamedTuple):
+    """A merge that is computed and stored in the shared folder, and not yet in its table."""
+
+    path: str
+    incoming: DataFrame
+    result: DataFrame
+    partition: str
+    emptied: list[str]
+
+    def commit(self) -> DataFrame:
+        """Put the result into the table; gives the incoming rows, stored. Repeating it changes nothing."""
+        write_partitions(self.result, self.path, self.partition)
+        for folder in self.emptied:
+            remove_folder(self.result.sparkSession, f"{self.path}/{folder}")
+        return self.incoming
+
+
+def stage_merge(path: str, incoming: DataFrame, keys: list[str], merge) -> Staged:
+    """Merge incoming rows with a table partitioned by usage_date, of which only touched days change.
 
     ``merge(target, incoming)`` gives the merged rows. Touched are the incoming days and, where
     the key does not contain the day, the days on which an incoming key is stored; rows without
     a day form a partition of their own. The result is stored in the shared folder first,
     because a plan cannot overwrite what it reads; a run that fails in between is repeated from
-    the same inputs with the same result. Gives the incoming rows, stored.
+    the same inputs with the same result.
     """
     spark, day = incoming.sparkSession, "usage_date"
     incoming = cut_lineage(incoming)
@@ -237,11 +255,13 @@ def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) ->
     if left is not None:
         folder = F.coalesce(F.col(day).cast("string"), F.lit(NO_DAY_FOLDER)).alias("folder")
         kept = result.select(folder).distinct()
-        emptied = left.select(folder).join(kept, "folder", "left_anti").collect()
-    write_partitions(result, path)
-    for (gone,) in emptied:
-        remove_folder(spark, f"{path}/{day}={gone}")
-    return incoming
+        emptied = [f"{day}={r[0]}" for r in left.select(folder).join(kept, "folder", "left_anti").collect()]
+    return Staged(path, incoming, result, day, emptied)
+
+
+def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) -> DataFrame:
+    """Merge incoming rows into a table; gives the incoming rows, stored."""
+    return stage_merge(path, incoming, keys, merge).commit()
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

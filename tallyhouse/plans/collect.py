@@ -1,6 +1,8 @@
 """The stored usage tables and the jobs that keep them: collect, rebuild, import, reset."""
 
+import uuid
 from datetime import date, datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ SCHEMAS = {
 }
 USAGE_LAYERS = ["event", "hour", "daily", "session", "session_part"]
 SESSION_BUCKETS = 64
+#: Small tables that are replaced whole, by a new version beside the old one.
+VERSIONED = {"devices", "prices", "manifest", "cursors"}
 
 
 class UsageStore:
@@ -40,7 +44,10 @@ class UsageStore:
         return f"{self.root}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        stored = mrg.read_table(self.spark, self.path(name), SCHEMAS[name])
+        path = self.path(name)
+        if name in VERSIONED:
+            path = f"{path}/{self._versions(name)[0]}"
+        stored = mrg.read_table(self.spark, path, SCHEMAS[name])
         return stored.select(*SCHEMAS[name].names)
 
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
@@ -59,10 +66,40 @@ class UsageStore:
             else:
                 self._replace(name, shaped)
 
+    def _pointer(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/_current")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _versions(self, name: str) -> list[str]:
+        """The current version of a table and the one before it."""
+        files, path = self._pointer(name)
+        if not files.exists(path):
+            return ["none", "none"]
+        stream = files.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
+
+    def _new_version(self, name: str, rows: DataFrame) -> str:
+        """Store rows as a version that is not yet current."""
+        version = f"v-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path(name)}/{version}")
+        return version
+
+    def _switch(self, name: str, version: str) -> None:
+        """Make a version current. The one before it stays for plans that still read it."""
+        current, before = self._versions(name)
+        files, path = self._pointer(name)
+        stream = files.create(path, True)
+        stream.write(f"{version} {current}".encode())
+        stream.close()
+        if before != "none":
+            mrg.remove_folder(self.spark, f"{self.path(name)}/{before}")
+
     def _replace(self, name: str, rows: DataFrame) -> None:
-        """Overwrite a table that the rows may have been read from."""
-        cut_lineage(rows).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static").parquet(self.path(name))
+        """Replace a table that the rows may have been read from: a failure in between leaves it as it was."""
+        self._switch(name, self._new_version(name, rows))
 
     def add_events(self, events: DataFrame) -> None:
         """Price and merge events, and note the dates whose hours and days are now stale.
@@ -77,9 +114,13 @@ class UsageStore:
 
     def rebuild_pending(self, tz: str, as_of: date, locked_at: datetime) -> None:
         """Rebuild what noted dates made stale. One rebuild after all events of a run, because it
-        locks the cost of past days. The notes go last, so a failed rebuild is repeated."""
-        self.rebuild(cut_lineage(self.read("pending").distinct()), tz, as_of, locked_at)
-        mrg.remove_folder(self.spark, self.path("pending"))
+        locks the cost of past days. The notes that were read go last, so a failed rebuild is
+        repeated, and notes that another run adds meanwhile stay."""
+        notes = mrg.read_table(self.spark, self.path("pending"), SCHEMAS["pending"])
+        files = notes.inputFiles()
+        self.rebuild(cut_lineage(notes.distinct()), tz, as_of, locked_at)
+        for file in files:
+            mrg.remove_folder(self.spark, unquote(file))
 
     def cursor(self, name: str) -> int:
         """Where the last committed read of a source ended, 0 before the first."""
@@ -108,28 +149,37 @@ class UsageStore:
         self.save_cursor(name, max(cursor, newest))
         return max(cursor, newest)
 
-    def merge_hours(self, hours: DataFrame) -> None:
-        mrg.merge_into_table(
+    def _stage_hours(self, hours: DataFrame) -> mrg.Staged:
+        return mrg.stage_merge(
             self.path("hour"), self._shaped("hour", hours), HOUR_KEYS, mrg.upsert_hours)
 
-    def merge_daily(self, daily: DataFrame, as_of: date, locked_at: datetime) -> None:
-        mrg.merge_into_table(
+    def merge_hours(self, hours: DataFrame) -> None:
+        self._stage_hours(hours).commit()
+
+    def _stage_daily(self, daily: DataFrame, as_of: date, locked_at: datetime) -> mrg.Staged:
+        return mrg.stage_merge(
             self.path("daily"), self._shaped("daily", daily), DAILY_KEYS,
             lambda old, new: self._shaped("daily", mrg.upsert_daily(old, new, as_of, locked_at)))
 
+    def merge_daily(self, daily: DataFrame, as_of: date, locked_at: datetime) -> None:
+        self._stage_daily(daily, as_of, locked_at).commit()
+
     @staticmethod
     def _bucketed(sessions: DataFrame) -> DataFrame:
         bucket = F.pmod(F.hash("session_id"), F.lit(SESSION_BUCKETS))
         return sessions.withColumn("bucket", bucket)
 
-    def merge_sessions(self, sessions: DataFrame) -> None:
-        """Merge sessions into a table of buckets, of which only the touched are rewritten."""
+    def _stage_sessions(self, sessions: DataFrame) -> mrg.Staged:
+        """Sessions merged with a table of buckets, of which only the touched change."""
         incoming = self._bucketed(cut_lineage(self._shaped("session", sessions)))
         buckets = [r[0] for r in incoming.select("bucket").distinct().collect()]
         stored = mrg.read_table(self.spark, self.path("session"), incoming.schema)
         touched = stored.where(F.col("bucket").isin(buckets)).drop("bucket")
         merged = self._shaped("session", mrg.upsert_sessions(touched, incoming.drop("bucket")))
-        mrg.write_partitions(cut_lineage(self._bucketed(merged)), self.path("session"), "bucket")
+        return mrg.Staged(self.path("session"), incoming, cut_lineage(self._bucketed(merged)), "bucket", [])
+
+    def merge_sessions(self, sessions: DataFrame) -> None:
+        self._stage_sessions(sessions).commit()
 
     def rebuild(self, stale: DataFrame, tz: str, as_of: date, locked_at: datetime) -> None:
         """Bring hours, local days and sessions up to the stored events of the stale dates.
@@ -195,15 +245,21 @@ class UsageStore:
     def import_usage(
         self, layers: dict[str, DataFrame], names: DataFrame, as_of: date, locked_at: datetime
     ) -> dict[str, int]:
-        """Merge the layers of a bundle and register its devices; gives the rows per layer."""
+        """Merge the layers of a bundle and register its devices; gives the rows per layer.
+
+        Everything is computed and stored before the first table changes, so input that cannot be read
+        changes none of them.
+        """
         known = self.read("devices")
         fresh = cut_lineage(mrg.new_devices(names, known))
         counts = {name: layers[name].count() for name in ("hour", "daily", "session")}
         counts["devices"] = fresh.count()
-        self.merge_hours(layers["hour"])
-        self.merge_daily(layers["daily"], as_of, locked_at)
-        self.merge_sessions(layers["session"])
-        self._replace("devices", known.unionByName(fresh))
+        devices = self._new_version("devices", known.unionByName(fresh))
+        staged = [self._stage_hours(layers["hour"]), self._stage_daily(layers["daily"], as_of, locked_at),
+                  self._stage_sessions(layers["session"])]
+        for layer in staged:
+            layer.commit()
+        self._switch("devices", devices)
         return counts
 
     def reset(self) -> None:

@@ -232,3 +232,35 @@ def test_many_files_in_one_round(spark, tmp_path, store):
     arguments = (spark, store, "OpenClaw", [str(logs)], parse_openclaw_log, "dev", TZ, AS_OF, NOW)
     assert jobs.collect_changed_files(*arguments) == jobs.Collected(300, [])
     assert store.read("event").agg(F.sum(TOTAL)).first()[0] == 300 * 301 // 2
+
+
+@pytest.mark.parametrize("broken", ["daily", "names"])
+def test_a_failing_import_changes_nothing(spark, tmp_path, store, broken):
+    bundle_source(spark, store)
+    layers = {name: store.read(name) for name in ("hour", "daily", "session")}
+    names = spark.createDataFrame([("new", "Desk")], "device_id string, name string")
+    bad = {"daily": layers["daily"].withColumn("model", F.raise_error(F.lit("unreadable"))),
+           "names": names.withColumn("name", F.raise_error(F.lit("unreadable")))}
+    target = UsageStore(spark, str(tmp_path / "other"))
+    target.write(devices=store.read("devices"))
+    with pytest.raises(Exception, match="unreadable"):
+        target.import_usage({**layers, **{k: v for k, v in bad.items() if k == broken}}, bad["names"] if broken == "names" else names,
+                            AS_OF, NOW)
+    assert [target.read(n).count() for n in ("hour", "daily", "session", "devices")] == [0, 0, 0, 1]
+    assert target.import_usage(layers, names, AS_OF, NOW)["devices"] == 1
+    assert [target.read(n).count() for n in ("hour", "daily", "session", "devices")] == [1, 1, 1, 2]
+
+
+def test_notes_added_meanwhile_stay(spark, store, monkeypatch):
+    bundle_source(spark, store)
+    note = spark.createDataFrame([("d", "OpenClaw", date(2026, 8, 1))], "device string, source string, usage_date date")
+    note.write.mode("append").parquet(store.path("pending"))
+    rebuild = store.rebuild
+
+    def slow(*arguments):
+        note.write.mode("append").parquet(store.path("pending"))
+        rebuild(*arguments)
+
+    monkeypatch.setattr(store, "rebuild", slow)
+    store.rebuild_pending(TZ, AS_OF, NOW)
+    assert store.read("pending").count() == 1
