@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,25 +14,42 @@ from tallyhouse.llm.texts import work_table
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the smallest node of the component.
 
-    Alternating large and small stars (Kiveris et al. 2014): every node hangs the larger of its
-    neighbours, then the smaller, onto its smallest neighbour, until nothing moves; the number of
-    rounds grows with the logarithm of the longest path. Minima are combined before they are
-    shuffled, so a node with a third of all links costs no more than others. Each round is stored
-    in the shared folder.
+    Distributed union-find: each task first joins the links of its own partition, so a node is left with
+    one link per task however many it had. Then large and small stars (Kiveris et al. 2014) alternate,
+    which hang the larger of a node's neighbours, then the smaller, onto its smallest neighbour, until
+    every node has one link, to a root; the number of rounds grows with the logarithm of the longest
+    path. Minima are combined before they are shuffled. Each round is stored in the shared folder.
     """
-    star = work_table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                      .where("a <> b").distinct(), "links")
-    state = _state(star)
-    while state[0]:
-        star = work_table(_small_star(_large_star(star)), "links")
-        state, before = _state(star), state
-        if state == before:
-            break
+    star = work_table(_joined(links), "links")
+    while not _settled(star):
+        star = work_table(_joined(_small_star(_large_star(star))), "links")
+    star = star.distinct()
     roots = star.select(F.col("b").alias("node")).distinct()
     return star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root")))
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    """Per partition: each node with the smallest node that the partition's links connect it to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                up[max(a, b)] = min(a, b)
+        rows = [(x, find(x)) for x in up if find(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
 def _large_star(star: DataFrame) -> DataFrame:
     both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -39,8 +59,12 @@ def _large_star(star: DataFrame) -> DataFrame:
 def _small_star(star: DataFrame) -> DataFrame:
     least = star.groupBy("a").agg(F.min("b").alias("m"))
     moved = star.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
-def _state(star: DataFrame) -> tuple:
-    return tuple(star.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b"))).first())
+def _settled(star: DataFrame) -> bool:
+    """Whether every node has one link and no root has any."""
+    none = F.lit(None).cast("bigint")
+    ends = star.select(F.col("a").alias("node"), "b").unionByName(star.select(F.col("b").alias("node"), none.alias("b")))
+    seen = ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max(F.col("b").isNull()).alias("root"))
+    return seen.where("low <> high OR root AND low IS NOT NULL").isEmpty()

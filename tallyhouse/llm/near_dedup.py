@@ -6,13 +6,12 @@ ends as soon as its next arrival is later than every register. Two documents the
 register with their probability Jaccard.
 
 Equal texts are one node. Nodes that share a band are compared with the band's most connected node;
-those that differ from it are compared among themselves in the next round, until each is linked or
-alone. A link counts once the whole shingle sets confirm it. Classes are connected components.
+nodes that remain apart are compared with those whose signatures are closest. A link counts once the whole shingle sets confirm it. Classes are connected components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 BANDS, ROWS = 25, 5
+#: Agreement of signatures below which nothing is verified: five standard errors under the similarity.
+LOWEST = 0.62
+#: Closest nodes that are tried per band and round, and nodes of a band that are compared at a time.
+NEIGHBOURS, BLOCK = 4, 4096
 _LETTERS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -154,18 +157,20 @@ def _node():
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, elements, counts) of the wanted nodes, as bytes."""
+    """(node, elements, counts, sketch) of the wanted nodes, as bytes; the sketch is 16 bits of each register."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [shingles(t, size) for t in part["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part["node"], pa.array([s.tobytes() for s, _ in sets], pa.binary()),
-                 pa.array([c.astype(np.uint32).tobytes() for _, c in sets], pa.binary())],
-                names=["node", "elements", "counts"])
+                 pa.array([c.astype(np.uint32).tobytes() for _, c in sets], pa.binary()),
+                 pa.array([r.tobytes() for r in signatures(sets).astype(np.uint16)], pa.binary())],
+                names=["node", "elements", "counts", "sketch"])
 
-    texts = docs.select(_node(), whole_text().alias("text")).join(wanted, "node", "left_semi")
-    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(
-        run, "node bigint, elements binary, counts binary")
+    # copies of a text are combined before they are shuffled, however many there are
+    texts = docs.select(_node(), whole_text().alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    return texts.join(wanted, "node", "left_semi").mapInArrow(
+        run, "node bigint, elements binary, counts binary, sketch binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -191,33 +196,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between nodes that share a band, enough to connect every class."""
+    """Verified links (a, b) between nodes that share a band, enough to connect every class.
+
+    First every node is compared with the most central node of each of its bands. Then, as long as a round
+    finds links, each node outside the largest part of a band is compared with those of other parts
+    that its signature is closest to.
+    """
     rows = signed.select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    rows = work_table(rows.join(shared.select("key"), "key").distinct(), "bands")
-    weight = rows.groupBy("key").count()
-    degree = rows.join(weight, "key").groupBy("node").agg(F.sum("count").alias("degree"))
-    todo = work_table(rows.join(degree, "node"), "bands")
+    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members"))
+    # stored, so that the join reads both sides from plain shuffles, and a frequent key is split
+    shared = work_table(shared.where("low < high").select("key", "members"), "shared")
+    rows = work_table(rows.join(shared, "key").distinct(), "bands")
     sets = work_table(_sets(docs, rows.select("node").distinct(), size), "shingles")
+    banded = work_table(rows.join(sets.select("node", "sketch"), "node"), "sketches")
+    pairs = work_table(_compared(banded.withColumn("root", F.col("node")), _central), "pairs")
     tested = found = None
     while True:
-        lead = todo.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead"))
-        star = todo.join(lead, "key").where("node <> lead.node").select(
-            "key", "node", "degree", F.col("lead.node").alias("b"))
-        star = work_table(star, "bands")
-        pairs = star.select(F.col("node").alias("a"), "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = work_table(pairs, "pairs")
         good = work_table(_verified(pairs, sets, similarity), "links")
+        if found is not None and good.isEmpty():
+            return found
         found = good if found is None else found.unionByName(good)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        linked = found.select(F.col("a").alias("node"), "b").distinct()
-        rest = star.join(linked, ["node", "b"], "left_anti").drop("b")
-        crowded = rest.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-        todo = work_table(rest.join(crowded.select("key"), "key"), "bands")
-        if todo.isEmpty():
-            return found
+        parts = banded.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = work_table(_compared(parts, _closest).join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _central(root: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+    """Every node with the one that agrees most with all, of up to 64 that are tried."""
+    tried = np.unique(np.linspace(0, len(root) - 1, 64).astype(int))
+    agree = np.stack([(sketch == sketch[i]).mean(1) for i in tried])
+    best = agree.sum(1).argmax()
+    return [(i, int(tried[best])) for i in np.flatnonzero(agree[best] >= LOWEST).tolist()]
+
+
+def _closest(root: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+    """Every node outside the largest part with the nodes of other parts that agree with it most."""
+    names, part, counts = np.unique(root, return_inverse=True, return_counts=True)
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(part != counts.argmax()).tolist() if len(names) > 1 else ():
+        agree = (sketch == sketch[i]).mean(1)
+        agree[part == part[i]] = 0
+        best = np.argsort(-agree, kind="stable")[:NEIGHBOURS]
+        out.extend((i, j) for j in best.tolist() if agree[j] >= LOWEST)
+    return out
+
+
+def _compared(parts: DataFrame, choose: Callable[[np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """Pairs (a, b) that ``choose`` picks among the nodes of each band key, given their parts (roots) and
+    signatures. A key with more than ``BLOCK`` nodes is split by node hash, so no task holds a whole group."""
+    def pick(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(block)
+        node = whole["node"].to_numpy()
+        sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint16).reshape(len(node), -1)
+        chosen = np.array(choose(whole["root"].to_numpy(), sketch), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[chosen[:, k]]) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, block = batch["key"].to_numpy(), batch["block"].to_numpy()
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(key)], strict=True):
+                if held and last != (key[a], block[a]):
+                    yield pick(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = (key[a], block[a])
+        if held:
+            yield pick(held)
+
+    block = F.pmod(F.hash("node", "key"), F.ceil(F.col("members") / BLOCK).cast("int")).alias("block")
+    blocks = parts.select("key", block, "node", "root", "sketch").repartition("key", "block").sortWithinPartitions("key", "block")
+    return _ordered(blocks.mapInArrow(run, "a bigint, b bigint"))
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -233,7 +289,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     rooted = signed.select("doc_id", "node").join(roots, "node", "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root"))
     rooted = work_table(rooted, "classes")
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    first = work_table(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "first")
     return rooted.join(first, "root").select("doc_id", "class_id", "class_size", "node", "root")
 
 
