@@ -242,7 +242,8 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     keyed = bodies(docs, F.xxhash64(whole_text()).alias("t1"), F.xxhash64(F.lit(1), whole_text()).alias("t2"))
     rows = work_table(_anchors(keyed), "anchors")
     often = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
-    often = often.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
+    # stored, so that the join below reads both sides from plain shuffles, and a frequent anchor is split
+    often = work_table(often.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike")), "often")
     rows = work_table(rows.join(often, "anchor"), "repeated")
     alike = rows.where("alike").select("t1", "t2", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
 

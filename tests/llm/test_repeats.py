@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tallyhouse.llm import repeats as rp
@@ -70,3 +71,15 @@ def test_odd_rows(spark, odd):
     got = sorted((tuple(r)[:4] for r in rp.removed(odd).collect()), key=str)
     assert got.count((4, 30, 0, 0)) == 2 and (1, 0, 0, 0) in got and (3, 300_000, 300_000, 1) in got and len(got) == 8
     assert rp.removed(odd.limit(0)).count() == 0
+
+
+def test_stretches_cover_every_string_once_and_agree_between_copies():
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 101, 3000).astype(np.uint8)
+    data, begins = np.concatenate((text[:1000], text, text[500:2500])), np.array([0, 1000, 4000, 6000])
+    place, first, last, anchor = rp.stretches(data, begins)
+    starts = sorted(s for a, b in zip(first, last, strict=True) for s in range(a, b + 1))
+    assert starts == [p for a, b in zip(begins, begins[1:], strict=False) for p in range(a, b - rp.LENGTH + 1)]
+    at = {s: (p - s, h) for p, a, b, h in zip(place, first, last, anchor, strict=True) for s in range(a, b + 1)}
+    assert all(at[p] == at[1000 + p] for p in range(801))
+    assert all(at[4000 + p] == at[1500 + p] for p in range(1801))
