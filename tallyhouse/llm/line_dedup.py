@@ -183,7 +183,8 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = rows.join(roots, "node", "left").select(
         "doc_id", "text_hash", "line_no", F.coalesce("root", "node").alias("root"),
         F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash", "line_no").alias("place"))
-    first = rows.groupBy("root").agg(F.min("place").alias("first"))
+    # stored, so that the join below reads both sides from plain shuffles, and a frequent line is split
+    first = work_table(rows.groupBy("root").agg(F.min("place").alias("first")), "first")
     return rows.join(first, "root").select(
         "doc_id", "text_hash", "line_no", F.col("place").eqNullSafe(F.col("first")).alias("kept"))
 
