@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import crf
-from tallyhouse.llm.texts import bodies, flat_bytes, slices
+from tallyhouse.llm.texts import bodies, flat_bytes, slices, smallest, work_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted on at most, those with the smallest text hashes, and their characters.
@@ -146,9 +146,9 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> crf.Weights:
     first = F.regexp_instr("text", F.lit("[0-9@]"))
     part = F.substring("text", F.greatest(F.lit(1), first - FIT_CHARS // 2), F.lit(FIT_CHARS))
     texts = (bodies(docs).where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), part.alias("text"))
-             .distinct().orderBy("h", "text").limit(fit_docs))
+             .groupBy("h").agg(F.min("text").alias("text")))
     sequences = []
-    for row in texts.collect():
+    for row in smallest(work_table(texts, "sample"), "h", fit_docs).collect():
         places, rows, chain, skips = stretch(row.text)
         ys = agreed(labels_of(places, base_spans(row.text)), skips.tolist())
         ends = set(range(1, len(places))) - {b for _, b in chain.tolist()}

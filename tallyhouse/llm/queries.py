@@ -56,6 +56,25 @@ QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_packing, op2_near_dedup, op3_repeats, op4_decontamination, op5_token_counts, op6_personal_data, op7_fingerprints,
     op8_secrets, op9_line_dedup, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
+    "op3_repeats": """
+WITH doc AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS (SELECT k, b, substr(h, 2000 * b + 1, 2400) AS s
+  FROM (SELECT k, h, unnest(range(0, length(h) // 2000 + 1)) AS b FROM doc)),
+string AS (SELECT k, 1000 * b + q AS p, substr(s, 2 * q + 1, 400) AS s
+  FROM (SELECT k, b, s, unnest(range(0, least(1000, greatest(length(s) // 2 - 199, 0)))) AS q FROM block)),
+often AS (SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY s) AS n FROM string) WHERE n > 1),
+run AS (SELECT k, p, sum(jump) OVER (PARTITION BY k ORDER BY p) AS r FROM (
+  SELECT k, p, CASE WHEN p - lag(p) OVER (PARTITION BY k ORDER BY p) <= 200 THEN 0 ELSE 1 END AS jump FROM often)),
+span AS (SELECT k, min(p) AS a, max(p) + 200 AS b FROM run GROUP BY k, r),
+gap AS (SELECT k, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS a, a AS b, b - a AS gone, 1 AS spans FROM span
+  UNION ALL SELECT k, max(b), NULL, 0, 0 FROM span GROUP BY k),
+kept AS (SELECT k, sum(gone) AS n_removed, sum(spans) AS n_spans, string_agg(
+  substr(h, 2 * gap.a + 1, 2 * (coalesce(gap.b, length(h) // 2) - gap.a)), '' ORDER BY gap.a, gap.b NULLS LAST) AS left_over
+  FROM gap JOIN doc USING (k) GROUP BY k)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM doc LEFT JOIN kept USING (k)
+""",
     "op4_decontamination": r"""
 WITH doc AS (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),

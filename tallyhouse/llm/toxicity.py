@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.texts import bodies, slices, work_table
+from tallyhouse.llm.texts import bodies, slices, smallest, work_table
 
 #: Labelled rows that the model is fitted on, at most so many of each label.
 FIT_ROWS = 2_500
@@ -227,8 +227,9 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
-    wanted = parts[0].unionByName(parts[1])  # at most 2 * fit_rows ids
+    known = work_table(known.withColumn("h", F.xxhash64("doc_id")), "labels")
+    parts = [smallest(known.where(F.col("toxic") == y), "h", fit_rows) for y in (0, 1)]
+    wanted = parts[0].unionByName(parts[1]).drop("h")  # at most 2 * fit_rows ids
     return work_table(bodies(docs).join(F.broadcast(wanted), "doc_id").select("toxic", "text"), "labelled")
 
 
