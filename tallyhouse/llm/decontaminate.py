@@ -136,9 +136,10 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, spans: str, items: str, n_words: str, window: int = WINDOW,
-         block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
+         block_words: int = BLOCK_WORDS, text: str = "text", cut: bool = False) -> DataFrame:
     """The documents with three more columns: words of the text, merged ranges of words that occurrences
-    of benchmark windows cover, and the ids of the items that occur (as strings).
+    of benchmark windows cover, and the ids of the items that occur (as strings). With ``cut`` the
+    ranges are cut from the texts instead, and the columns are those of the documents.
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter one. Null texts have
     no words. Items of equal id count as one; items without words never occur.
@@ -146,30 +147,60 @@ def mark(docs: DataFrame, benchmark: DataFrame, spans: str, items: str, n_words:
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out = docs.withColumns({n_words: F.lit(0).cast("bigint"), spans: F.array().cast(kind),
                             items: F.array().cast("array<string>")})
-    for block in blocks(benchmark, window, block_words):
-        out = _searched(out, docs.sparkSession.sparkContext.broadcast(block), spans, items, n_words, text)
+    found = blocks(benchmark, window, block_words)
+    block, after = next(found, None), next(found, None)
+    if block is None:
+        return docs if cut else out
+    while block is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        out = _searched(out, shared, spans, items, n_words, text, docs.schema if cut and after is None else None)
+        block, after = after, next(found, None)
     return out
 
 
-def _searched(docs: DataFrame, shared, spans: str, items: str, n_words: str, text: str) -> DataFrame:
-    where_all = docs.columns
-    where = {name: docs.columns.index(name) for name in (spans, items, n_words, text)}
+def _searched(docs: DataFrame, shared, spans: str, items: str, n_words: str, text: str, cut: T.StructType | None) -> DataFrame:
+    """The documents after one more block. After the last one the texts are cut if the schema of the cut
+    documents is given; both happen in one pass, so a task has one Python worker."""
+    names = docs.columns
+    where = {name: names.index(name) for name in (spans, items, n_words, text)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         filled = (_with_text(b, where[text]) for b in batches)
-        for part in slices(filled, len(where_all), SHARD_BYTES):
-            sizes, ranges, names = block.search(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist())
+        for part in slices(filled, len(names), SHARD_BYTES):
+            sizes, ranges, found = block.search(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist())
             columns = part.columns[:-1]
             old_spans, old_items = columns[where[spans]].to_pylist(), columns[where[items]].to_pylist()
-            all_spans = [[{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for s in old] + new)]
-                         for old, new in zip(old_spans, ranges, strict=True)]
+            ranges = [merged([(s["start"], s["end"]) for s in old] + new) for old, new in zip(old_spans, ranges, strict=True)]
+            if cut is not None:
+                yield _cut(part.column(part.num_columns - 1), columns, ranges, cut, where[text])
+                continue
+            all_spans = [[{"start": a, "end": b} for a, b in r] for r in ranges]
             columns[where[spans]] = pa.array(all_spans, _SPANS)
-            columns[where[items]] = pa.array([a + b for a, b in zip(old_items, names, strict=True)], _ITEMS)
+            columns[where[items]] = pa.array([a + b for a, b in zip(old_items, found, strict=True)], _ITEMS)
             columns[where[n_words]] = pa.array(sizes, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, cut or docs.schema)
+
+
+def _cut(texts: pa.Array, columns: list[pa.Array], ranges: list[list[tuple[int, int]]], schema: T.StructType, text: int) -> pa.RecordBatch:
+    """The columns of the documents without the given ranges of words of the texts; ``n_chars`` follows."""
+    rows = [i for i, r in enumerate(ranges) if r]
+    if rows:
+        new = {i: without(texts[i].as_py(), ranges[i]) for i in rows}
+        columns[text] = _with_values(columns[text], new)
+        if "n_chars" in schema.names:
+            at = schema.names.index("n_chars")
+            columns[at] = _with_values(columns[at], {i: len(t) for i, t in new.items()})
+    return pa.RecordBatch.from_arrays(columns[: len(schema.names)], names=schema.names)
+
+
+def _with_values(column: pa.Array, new: dict) -> pa.Array:
+    values = column.to_pylist()
+    for i, value in new.items():
+        values[i] = value
+    return pa.array(values, column.type)
 
 
 def _with_text(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
@@ -195,29 +226,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     character of its first word to the last of its last one, and ``n_chars`` follows. Texts without a
     span stay as they are, also null ones; every document stays, and so do all columns."""
     spans, items, n_words = (f"{name}_{uuid.uuid4().hex}" for name in ("spans", "items", "words"))
-    found = mark(docs, benchmark, spans, items, n_words, window).drop(items, n_words)
-    text_at, spans_at = found.columns.index("text"), found.columns.index(spans)
-    n_chars_at = found.columns.index("n_chars") if "n_chars" in found.columns else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.columns
-            ranges = columns[spans_at].to_pylist()
-            rows = [i for i, r in enumerate(ranges) if r]
-            if rows:
-                texts = columns[text_at].to_pylist()
-                for i in rows:
-                    texts[i] = without(texts[i], [(r["start"], r["end"]) for r in ranges[i]])
-                columns[text_at] = pa.array(texts, columns[text_at].type)
-                if n_chars_at is not None:
-                    lengths = columns[n_chars_at].to_pylist()
-                    for i in rows:
-                        lengths[i] = len(texts[i])
-                    columns[n_chars_at] = pa.array(lengths, columns[n_chars_at].type)
-            del columns[spans_at]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != spans])
-
-    return found.mapInArrow(run, docs.schema)
+    return mark(docs, benchmark, spans, items, n_words, window, cut=True)
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> str:

@@ -26,7 +26,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 #: Band rows that a task holds before it joins what it has and starts afresh.
-HELD = 4_000_000
+HELD = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(2**64 - 1)
 SPARK_SEED = 42
@@ -112,7 +112,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of lines, by hash, that share a band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
-        for part in slices(batches):
+        for part in slices(batches, most=1 << 20):
             lines, least = line_signatures(part["text"].to_pylist())
             found = np.array([xxhash.xxh64_intdigest(x, SPARK_SEED) for x in lines], np.uint64).view(np.int64)
             found, one = np.unique(found, return_index=True)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.graph import components
+from tallyhouse.llm.pretokens import KEPT
 from tallyhouse.llm.texts import bodies, slices, whole_text, work_table
 
 SHINGLE = 5
@@ -46,7 +47,7 @@ class _Words(dict):
     """64-bit hash by word, found when first asked for."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KEPT:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -140,7 +141,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     schema = "doc_id bigint, node bigint, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=2 << 20):
             sets = [shingles(t, size) for t in part["text"].to_pylist()]
             n = np.array([len(s) for s, _ in sets], np.int64)
             keys = band_keys(signatures(sets))
@@ -148,6 +149,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], part["node"], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[n > 0].ravel()))],
                 names=["doc_id", "node", "keys"])
+        _WORDS.clear()  # the worker may serve other stages
 
     return bodies(docs, _node()).mapInArrow(run, schema)
 
@@ -166,6 +168,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                  pa.array([c.astype(np.uint32).tobytes() for _, c in sets], pa.binary()),
                  pa.array([r.tobytes() for r in signatures(sets).astype(np.uint16)], pa.binary())],
                 names=["node", "elements", "counts", "sketch"])
+        _WORDS.clear()
 
     # copies of a text are combined before they are shuffled, however many there are
     texts = docs.select(_node(), whole_text().alias("text")).groupBy("node").agg(F.first("text").alias("text"))

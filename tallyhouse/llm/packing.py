@@ -59,10 +59,13 @@ class Encoder:
 
         self.first, self.rest = _Chunks(encode, ""), _Chunks(encode, " ")
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.rest.clear()
+
     def ids(self, text: str) -> bytes:
         if len(self.first) + len(self.rest) > KEPT:
-            self.first.clear()
-            self.rest.clear()
+            self.forget()
         head, *rest = cut(text)
         return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
 
@@ -101,6 +104,7 @@ def pack(docs: DataFrame, longest: int = SEQUENCE, end_id: int = END_ID, tokeniz
                     start += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        encoder.forget()  # the worker may serve other stages
 
     if longest & (longest - 1):
         raise ValueError("the sequence length must be a power of two")

@@ -12,8 +12,8 @@ from collections.abc import Callable
 _ODD = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Chunks whose result a worker keeps; beyond that it starts afresh. Results do not depend on it.
-KEPT = 1_000_000
+#: Chunks, or words, whose result a task keeps; beyond that it starts afresh. Results do not depend on it.
+KEPT = 250_000
 
 
 def byte_letters() -> list[str]:

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.pretokens import KEPT
 from tallyhouse.llm.texts import bodies, slices, smallest, work_table
 
 #: Labelled rows that the model is fitted on, at most so many of each label.
@@ -86,7 +87,7 @@ class _Known(dict):
         self.find = find
 
     def __missing__(self, word: bytes) -> tuple[int, str, float] | None:
-        if len(self) > 1_000_000:
+        if len(self) > KEPT:
             self.clear()
         found = self[word] = self.find(word.decode())
         return found
@@ -302,6 +303,7 @@ def scored(docs: DataFrame, model: Model, score: str = "score", text: str = "tex
             found = [mine.score(part["text"].to_pylist()) for part in slices(iter((texts,)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found or [np.empty(0)]))],
                                              names=[*batch.schema.names, score])
+        mine.lexicon.known.clear()  # the worker may serve other stages
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(score)).schema)
 
