@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,3 +69,55 @@ def _settled(star: DataFrame) -> bool:
     ends = star.select(F.col("a").alias("node"), "b").unionByName(star.select(F.col("b").alias("node"), none.alias("b")))
     seen = ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max(F.col("b").isNull()).alias("root"))
     return seen.where("low <> high OR root AND low IS NOT NULL").isEmpty()
+
+
+def met(rows: DataFrame, most: int) -> DataFrame:
+    """Distinct rows (key, node, root, ...) dealt to blocks (key, u, v), so that any two nodes of a key that have
+    different roots meet in a block where one is ``left`` and the other ``right``.
+
+    Only nodes outside the largest part of a key are left. Keys whose nodes have one root are left out; a key
+    with more than ``most`` nodes is compared block against block, with about ``most`` nodes of each side.
+    """
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("every"), F.max("n").alias("n"), F.max_by("root", "n").alias("main")).where("every > n")
+    blocks = {"us": F.ceil((F.col("every") - F.col("n")) / most).cast("int"), "vs": F.ceil(F.col("every") / most).cast("int")}
+    # stored, so that the join reads both sides from plain shuffles, and a frequent key is split
+    sizes = work_table(sizes.select("key", "main", *(b.alias(x) for x, b in blocks.items())), "parts")
+    outside = F.col("root") != F.col("main")
+
+    def place(u, v, left, right):
+        return F.struct(u.alias("u"), v.alias("v"), left.alias("left"), right.alias("right"))
+
+    def own(n):
+        return F.pmod(F.hash("node", "key"), F.col(n))
+
+    def every(n):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    yes, no = F.lit(True), F.lit(False)
+    rights = F.transform(every("us"), lambda u: place(u, own("vs"), no, yes))
+    lefts = F.transform(every("vs"), lambda v: place(own("us"), v, yes, no))
+    places = F.when(F.col("vs") == 1, F.array(place(F.lit(0), F.lit(0), outside, yes))).when(
+        outside, F.concat(rights, lefts)).otherwise(rights)
+    kept = [c for c in rows.columns if c != "key"]
+    return (rows.join(sizes, "key").select("key", *kept, F.explode(places).alias("at")).select("key", "at.*", *kept)
+            .repartition("key", "u", "v").sortWithinPartitions("key", "u", "v"))
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the numbers ``by``."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = [batch[c].to_numpy() for c in by]
+        edges = np.flatnonzero(np.any([n[1:] != n[:-1] for n in names], axis=0)) + 1
+        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            name = tuple(n[a] for n in names)
+            if held and last != name:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = name
+    if held:
+        yield pa.Table.from_batches(held)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.graph import components
+from tallyhouse.llm.graph import components, groups, met
 from tallyhouse.llm.pretokens import KEPT
 from tallyhouse.llm.texts import bodies, slices, whole_text, work_table
 
@@ -31,6 +31,8 @@ BANDS, ROWS = 25, 5
 LOWEST = 0.62
 #: Closest nodes that are tried per band and round, and nodes of a band that are compared at a time.
 NEIGHBOURS, BLOCK = 4, 4096
+#: Nodes whose pairs a task holds before it hands them on.
+HELD = 64
 _LETTERS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -205,14 +207,18 @@ def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, similarity: f
     finds links, each node outside the largest part of a band is compared with those of other parts
     that its signature is closest to.
     """
-    rows = signed.select("node", F.explode("keys").alias("key"))
+    # copies of a text are one node before the nodes of a key are counted
+    rows = signed.select("node", "keys").distinct().select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members"))
     # stored, so that the join reads both sides from plain shuffles, and a frequent key is split
     shared = work_table(shared.where("low < high").select("key", "members"), "shared")
-    rows = work_table(rows.join(shared, "key").distinct(), "bands")
+    rows = work_table(rows.join(shared, "key"), "bands")
     sets = work_table(_sets(docs, rows.select("node").distinct(), size), "shingles")
     banded = work_table(rows.join(sets.select("node", "sketch"), "node"), "sketches")
-    pairs = work_table(_compared(banded.withColumn("root", F.col("node")), _central), "pairs")
+    # a key with more nodes than a block is split by node hash here; later rounds compare block against block
+    block = F.pmod(F.hash("node", "key"), F.ceil(F.col("members") / BLOCK).cast("int")).alias("block")
+    blocks = banded.select("key", block, "node", "sketch").repartition("key", "block").sortWithinPartitions("key", "block")
+    pairs = work_table(_compared(blocks, ["key", "block"], _central), "pairs")
     tested = found = None
     while True:
         good = work_table(_verified(pairs, sets, similarity), "links")
@@ -220,62 +226,60 @@ def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, similarity: f
             return found
         found = good if found is None else found.unionByName(good)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        parts = banded.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = work_table(_compared(parts, _closest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        parts = banded.drop("members").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        closest = _compared(met(parts, BLOCK), ["key", "u", "v"], _closest)
+        pairs = work_table(closest.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _central(root: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+def _agreement(sketch: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return (sketch == one).mean(1)
+
+
+def _central(whole: pa.Table, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Every node with the one that agrees most with all, of up to 64 that are tried."""
-    tried = np.unique(np.linspace(0, len(root) - 1, 64).astype(int))
-    agree = np.stack([(sketch == sketch[i]).mean(1) for i in tried])
+    tried = np.unique(np.linspace(0, len(sketch) - 1, 64).astype(int))
+    agree = np.stack([_agreement(sketch, sketch[i]) for i in tried])
     best = agree.sum(1).argmax()
-    return [(i, int(tried[best])) for i in np.flatnonzero(agree[best] >= LOWEST).tolist()]
-
-
-def _closest(root: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
-    """Every node outside the largest part with the nodes of other parts that agree with it most."""
-    names, part, counts = np.unique(root, return_inverse=True, return_counts=True)
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(part != counts.argmax()).tolist() if len(names) > 1 else ():
-        agree = (sketch == sketch[i]).mean(1)
-        agree[part == part[i]] = 0
-        best = np.argsort(-agree, kind="stable")[:NEIGHBOURS]
-        out.extend((i, j) for j in best.tolist() if agree[j] >= LOWEST)
-    return out
-
-
-def _compared(parts: DataFrame, choose: Callable[[np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
-    """Pairs (a, b) that ``choose`` picks among the nodes of each band key, given their parts (roots) and
-    signatures. A key with more than ``BLOCK`` nodes is split by node hash, so no task holds a whole group."""
-    def pick(block: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(block)
-        node = whole["node"].to_numpy()
-        sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint16).reshape(len(node), -1)
-        chosen = np.array(choose(whole["root"].to_numpy(), sketch), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(node[chosen[:, k]]) for k in (0, 1)], names=["a", "b"])
-
+    near = np.flatnonzero(agree[best] >= LOWEST)
+    yield near, np.full(len(near), tried[best])
+
+
+def _closest(whole: pa.Table, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every left node with the right nodes of other parts that agree with it most."""
+    root = whole["root"].to_numpy()
+    right = np.flatnonzero(whole["right"].to_numpy())
+    others, parts = sketch[right], root[right]
+    for i in np.flatnonzero(whole["left"].to_numpy()).tolist():
+        agree = _agreement(others, sketch[i])
+        near = np.flatnonzero((agree >= LOWEST) & (parts != root[i]))
+        near = near[np.argsort(-agree[near], kind="stable")[:NEIGHBOURS]]
+        yield np.full(len(near), i), right[near]
+
+
+def _compared(blocks: DataFrame, by: list[str], choose: Callable[[pa.Table, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
+              ) -> DataFrame:
+    """Pairs (a, b) that ``choose`` picks among the nodes of each block, given their rows and signatures.
+    Blocks are bounded, so no task holds a whole group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, block = batch["key"].to_numpy(), batch["block"].to_numpy()
-            edges = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            for a, b in zip([0, *edges], [*edges, len(key)], strict=True):
-                if held and last != (key[a], block[a]):
-                    yield pick(held)
+        for whole in groups(batches, by):
+            node = whole["node"].to_numpy()
+            sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint16).reshape(len(node), -1)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in choose(whole, sketch):
+                held.append((node[a], node[b]))
+                if len(held) == HELD:
+                    yield batch(held)
                     held = []
-                held.append(batch.slice(a, b - a))
-                last = (key[a], block[a])
-        if held:
-            yield pick(held)
+            if held:
+                yield batch(held)
+
+    def batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["a", "b"])
 
-    block = F.pmod(F.hash("node", "key"), F.ceil(F.col("members") / BLOCK).cast("int")).alias("block")
-    blocks = parts.select("key", block, "node", "root", "sketch").repartition("key", "block").sortWithinPartitions("key", "block")
     return _ordered(blocks.mapInArrow(run, "a bigint, b bigint"))
 
 

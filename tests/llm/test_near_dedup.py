@@ -88,6 +88,32 @@ def test_large_group_of_variants_is_one_class(spark):
     assert all(r.class_id == r.doc_id for r in got if r.doc_id >= 1000)
 
 
+@pytest.mark.parametrize("block", [3, nd.BLOCK])
+def test_pairs_of_different_blocks_are_met(spark, block):
+    rng = random.Random(6)
+    rows = {(key, node, rng.randrange(1 + key)) for key in range(5) for node in range(40)}
+    rows |= {(9, node, 100 + node) for node in range(2)}
+    found = graph.met(spark.createDataFrame(sorted(rows), "key bigint, node bigint, root bigint"), block).collect()
+    tasks = {}
+    for r in found:
+        tasks.setdefault((r.key, r.u, r.v), []).append(r)
+    met = {(k[0], frozenset((x.node, y.node))) for k, t in tasks.items() for x in t for y in t if x.left and y.right and x.root != y.root}
+    assert met == {(k, frozenset((x, y))) for k, x, p in rows for q, y, s in rows if k == q and p != s}
+    assert block > 3 or max(map(len, tasks.values())) < 40
+
+
+def test_near_copies_in_different_blocks_are_linked(spark, monkeypatch):
+    """Copies count once, and pairs that the hash deals to different blocks of every band are still compared."""
+    monkeypatch.setattr(nd, "BLOCK", 1)
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join([*words[:-1], "end"]))] + [(10 * i + 2, " ".join(words))] * 60
+    got = nd.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id // 10 * 10, r.class_size) for r in got} == {(r.class_id, 62) for r in got} and len({r.class_id for r in got}) == 30
+
+
 def test_odd_rows(spark, odd):
     got = [(r.doc_id, r.class_id, r.class_size) for r in nd.classes(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (4, 4, 2), (None, None, 1), (5, 5, 1), (6, 6, 1)], key=str)
