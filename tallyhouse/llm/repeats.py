@@ -259,7 +259,8 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     else:
         few = held.join(crowds, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "whole")
         found = _searched(few).unionByName(_counted(held.join(crowds, "anchor", "left_semi")))
-    found = found.join(kinds, ["anchor", "whole"])
+    # a stretch that occurs more than once repeats whole, also if it shares no string with another one
+    found = kinds.join(found, ["anchor", "whole"], "left")
     full = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))
     ranges = F.explode(F.when(F.col("times") > 1, full).otherwise(F.col("ranges"))).alias("r")
     partly = mixed_rows.join(found, ["anchor", "whole"]).select("t1", "t2", "start", ranges).select(

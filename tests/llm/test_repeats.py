@@ -51,6 +51,18 @@ def test_planted_passages_against_brute_force(spark, crowd):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("crowd", [rp.CROWD, 3])
+def test_copies_of_one_stretch_under_a_crowded_anchor(spark, crowd):
+    rng = random.Random(12)
+    blob = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    grams = blob(200_000)
+    at = int(rp.gram_hashes(np.frombuffer(grams.encode(), np.uint8)).argmin())  # the anchor wherever it stands
+    rows = [(i, blob(90) + grams[at : at + rp.GRAM] + blob(90)) for i in range(8)]
+    rows += [(20, rows[3][1]), (21, rows[5][1]), (22, rows[5][1])]
+    got = sorted((tuple(r)[:5] for r in rp.removed(spark.createDataFrame(rows, "doc_id bigint, text string"), crowd).collect()), key=str)
+    assert got == brute(rows) and sum(r[2] for r in got) == 5 * 220
+
+
 def test_every_document_against_brute_force(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     got = sorted((tuple(r)[:5] for r in rp.removed(documents).collect()), key=str)
