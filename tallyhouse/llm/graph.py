@@ -71,15 +71,16 @@ def _settled(star: DataFrame) -> bool:
     return seen.where("low <> high OR root AND low IS NOT NULL").isEmpty()
 
 
-def met(rows: DataFrame, most: int) -> DataFrame:
-    """Distinct rows (key, node, root, ...) dealt to blocks (key, u, v), so that any two nodes of a key that have
+def met(rows: DataFrame, most: int, more: DataFrame, least: int = 2) -> DataFrame:
+    """Distinct rows (key, node, root), with the columns of ``more`` by node, dealt to blocks (key, u, v), so that any two nodes of a key that have
     different roots meet in a block where one is ``left`` and the other ``right``.
 
-    Only nodes outside the largest part of a key are left. Keys whose nodes have one root are left out; a key
-    with more than ``most`` nodes is compared block against block, with about ``most`` nodes of each side.
+    Only nodes outside the largest part of a key are left. Keys whose nodes have one root are left out, and
+    those with fewer than ``least`` nodes; a key with more than ``most`` nodes is compared block against block, with about ``most`` nodes of each side.
     """
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.sum("n").alias("every"), F.max("n").alias("n"), F.max_by("root", "n").alias("main")).where("every > n")
+        F.sum("n").alias("every"), F.max("n").alias("n"), F.max_by("root", "n").alias("main")).where(
+            (F.col("every") > F.col("n")) & (F.col("every") >= least))
     blocks = {"us": F.ceil((F.col("every") - F.col("n")) / most).cast("int"), "vs": F.ceil(F.col("every") / most).cast("int")}
     # stored, so that the join reads both sides from plain shuffles, and a frequent key is split
     sizes = work_table(sizes.select("key", "main", *(b.alias(x) for x, b in blocks.items())), "parts")
@@ -99,9 +100,9 @@ def met(rows: DataFrame, most: int) -> DataFrame:
     lefts = F.transform(every("vs"), lambda v: place(own("us"), v, yes, no))
     places = F.when(F.col("vs") == 1, F.array(place(F.lit(0), F.lit(0), outside, yes))).when(
         outside, F.concat(rights, lefts)).otherwise(rights)
-    kept = [c for c in rows.columns if c != "key"]
-    return (rows.join(sizes, "key").select("key", *kept, F.explode(places).alias("at")).select("key", "at.*", *kept)
-            .repartition("key", "u", "v").sortWithinPartitions("key", "u", "v"))
+    dealt = rows.join(sizes, "key").select("key", "node", "root", F.explode(places).alias("at"))
+    dealt = dealt.select("key", "at.*", "node", "root").join(more, "node")
+    return dealt.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:

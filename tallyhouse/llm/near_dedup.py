@@ -6,7 +6,8 @@ ends as soon as its next arrival is later than every register. Two documents the
 register with their probability Jaccard.
 
 Equal texts are one node. Nodes that share a band are compared with the band's most connected node;
-nodes that remain apart are compared with those whose signatures are closest. A link counts once the whole shingle sets confirm it. Classes are connected components.
+nodes that remain apart are compared with those whose signatures are closest, and then with all others of
+the band. A link counts once the whole shingle sets confirm it. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ REGISTERS = 128
 BANDS, ROWS = 25, 5
 #: Agreement of signatures below which nothing is verified: five standard errors under the similarity.
 LOWEST = 0.62
-#: Closest nodes that are tried per band and round, and nodes of a band that are compared at a time.
+#: Closest nodes that are tried per band before all others are, and nodes of a band that are compared at a time.
 NEIGHBOURS, BLOCK = 4, 4096
 #: Nodes whose pairs a task holds before it hands them on.
 HELD = 64
@@ -203,9 +204,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between nodes that share a band, enough to connect every class.
 
-    First every node is compared with the most central node of each of its bands. Then, as long as a round
-    finds links, each node outside the largest part of a band is compared with those of other parts
-    that its signature is closest to.
+    First every node is compared with the most central node of each of its bands. Then each node outside
+    the largest part of a band is compared with the few nodes of other parts that its signature is
+    closest to, and last with every node of other parts whose signature agrees enough, so that no pair
+    stays untested that shares a band and has not come into one part.
     """
     # copies of a text are one node before the nodes of a key are counted
     rows = signed.select("node", "keys").distinct().select("node", F.explode("keys").alias("key"))
@@ -214,21 +216,19 @@ def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, similarity: f
     shared = work_table(shared.where("low < high").select("key", "members"), "shared")
     rows = work_table(rows.join(shared, "key"), "bands")
     sets = work_table(_sets(docs, rows.select("node").distinct(), size), "shingles")
-    banded = work_table(rows.join(sets.select("node", "sketch"), "node"), "sketches")
+    banded = rows.join(sets.select("node", "sketch"), "node")
     # a key with more nodes than a block is split by node hash here; later rounds compare block against block
     block = F.pmod(F.hash("node", "key"), F.ceil(F.col("members") / BLOCK).cast("int")).alias("block")
     blocks = banded.select("key", block, "node", "sketch").repartition("key", "block").sortWithinPartitions("key", "block")
-    pairs = work_table(_compared(blocks, ["key", "block"], _central), "pairs")
-    tested = found = None
-    while True:
-        good = work_table(_verified(pairs, sets, similarity), "links")
-        if found is not None and good.isEmpty():
-            return found
-        found = good if found is None else found.unionByName(good)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        parts = banded.drop("members").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        closest = _compared(met(parts, BLOCK), ["key", "u", "v"], _closest)
-        pairs = work_table(closest.join(tested, ["a", "b"], "left_anti"), "pairs")
+    tested = work_table(_compared(blocks, ["key", "block"], _central), "pairs")
+    found = work_table(_verified(tested, sets, similarity), "links")
+    for most in (NEIGHBOURS, None):
+        parts = rows.drop("members").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        near = _compared(met(parts, BLOCK, sets.select("node", "sketch")), ["key", "u", "v"], _closest(most))
+        pairs = work_table(near.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = found.unionByName(work_table(_verified(pairs, sets, similarity), "links"))
+        tested = tested.unionByName(pairs)
+    return found
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -248,16 +248,20 @@ def _central(whole: pa.Table, sketch: np.ndarray) -> Iterator[tuple[np.ndarray,
     yield near, np.full(len(near), tried[best])
 
 
-def _closest(whole: pa.Table, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every left node with the right nodes of other parts that agree with it most."""
-    root = whole["root"].to_numpy()
-    right = np.flatnonzero(whole["right"].to_numpy())
-    others, parts = sketch[right], root[right]
-    for i in np.flatnonzero(whole["left"].to_numpy()).tolist():
-        agree = _agreement(others, sketch[i])
-        near = np.flatnonzero((agree >= LOWEST) & (parts != root[i]))
-        near = near[np.argsort(-agree[near], kind="stable")[:NEIGHBOURS]]
-        yield np.full(len(near), i), right[near]
+def _closest(most: int | None) -> Callable[[pa.Table, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Every left node with the ``most`` right nodes of other parts that agree with it most, or with all."""
+    def choose(whole: pa.Table, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        root = whole["root"].to_numpy()
+        right = np.flatnonzero(whole["right"].to_numpy())
+        others, parts = sketch[right], root[right]
+        for i in np.flatnonzero(whole["left"].to_numpy()).tolist():
+            agree = _agreement(others, sketch[i])
+            near = np.flatnonzero((agree >= LOWEST) & (parts != root[i]))
+            if most:
+                near = near[np.argsort(-agree[near], kind="stable")[:most]]
+            yield np.full(len(near), i), right[near]
+
+    return choose
 
 
 def _compared(blocks: DataFrame, by: list[str], choose: Callable[[pa.Table, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]

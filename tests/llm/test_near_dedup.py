@@ -93,7 +93,9 @@ def test_pairs_of_different_blocks_are_met(spark, block):
     rng = random.Random(6)
     rows = {(key, node, rng.randrange(1 + key)) for key in range(5) for node in range(40)}
     rows |= {(9, node, 100 + node) for node in range(2)}
-    found = graph.met(spark.createDataFrame(sorted(rows), "key bigint, node bigint, root bigint"), block).collect()
+    names = spark.range(40).selectExpr("id AS node", "'n' || id AS name")
+    found = graph.met(spark.createDataFrame(sorted(rows), "key bigint, node bigint, root bigint"), block, names).collect()
+    assert all(r.name == f"n{r.node}" for r in found)
     tasks = {}
     for r in found:
         tasks.setdefault((r.key, r.u, r.v), []).append(r)
@@ -114,6 +116,25 @@ def test_near_copies_in_different_blocks_are_linked(spark, monkeypatch):
     assert {(r.doc_id // 10 * 10, r.class_size) for r in got} == {(r.class_id, 62) for r in got} and len({r.class_id for r in got}) == 30
 
 
+def test_links_beyond_the_closest_nodes(spark, monkeypatch):
+    """Two texts at 0.805 that each have eight others at 0.794, which the signatures cannot tell from them."""
+    monkeypatch.setattr(nd, "_central", lambda whole, sketch: [])
+    rng = random.Random(4)
+    rows = []
+
+    def changed(words, at, n):
+        return [*words[:at], *(f"w{rng.randrange(10**9)}" for _ in range(n)), *words[at + n :]]
+
+    for i in range(12):
+        one = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        two = changed(one, 268, 32)
+        rows += [(100 * i, " ".join(one)), (100 * i + 1, " ".join(two))]
+        for k in range(8):
+            rows += [(100 * i + 10 + k, " ".join(changed(one, 5 + 30 * k, 30))), (100 * i + 20 + k, " ".join(changed(two, 5 + 30 * k, 30)))]
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {d: d - 1 if d % 100 == 1 else d for d in got}
+
+
 def test_odd_rows(spark, odd):
     got = [(r.doc_id, r.class_id, r.class_size) for r in nd.classes(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (4, 4, 2), (None, None, 1), (5, 5, 1), (6, 6, 1)], key=str)
