@@ -3,7 +3,8 @@
 Every word shingle of a document is a Poisson process whose rate is its count; its arrivals fall on
 the registers of the signature, each register keeps the shingle that arrives first, and a shingle
 ends as soon as its next arrival is later than every register. Two documents then agree in a
-register with their probability Jaccard.
+register with their probability Jaccard. A second signature, of every shingle once, agrees with the Jaccard
+of the distinct shingles; both are banded.
 
 Equal texts are one node. Nodes that share a band are compared with the band's most connected node;
 nodes that remain apart are compared with those whose signatures are closest, and then with all others of
@@ -106,6 +107,17 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
     return out.reshape(len(sets), registers)
 
 
+def both_signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Per set the signature of its counted elements and that of the distinct ones, which is the same where
+    all counts are equal."""
+    counted = signatures(sets)
+    uneven = [i for i, (_, c) in enumerate(sets) if len(c) and c.min() < c.max()]
+    plain = counted.copy()
+    if uneven:
+        plain[uneven] = signatures([(sets[i][0], np.ones(len(sets[i][0]), np.int64)) for i in uneven])
+    return np.stack((counted, plain), 1)
+
+
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key per document and band."""
     keys = np.empty((len(signature), bands), np.uint64)
@@ -140,17 +152,21 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, keys): the text's hash and its band keys, none for a text without words."""
+    """(doc_id, node, keys): the text's hash and the distinct band keys of both signatures, none for a text
+    without words."""
     schema = "doc_id bigint, node bigint, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=2 << 20):
             sets = [shingles(t, size) for t in part["text"].to_pylist()]
             n = np.array([len(s) for s, _ in sets], np.int64)
-            keys = band_keys(signatures(sets))
-            ends = np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)
+            both = both_signatures(sets)
+            counted, plain = band_keys(both[:, 0]), band_keys(both[:, 1])
+            keys = np.concatenate((counted, plain), 1)
+            own = np.concatenate((np.ones_like(counted, bool), plain != counted), 1) & (n > 0)[:, None]
+            ends = np.r_[0, np.cumsum(own.sum(1))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], part["node"], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[n > 0].ravel()))],
+                [part["doc_id"], part["node"], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[own]))],
                 names=["doc_id", "node", "keys"])
         _WORDS.clear()  # the worker may serve other stages
 
@@ -162,14 +178,15 @@ def _node():
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, elements, counts, sketch) of the wanted nodes, as bytes; the sketch is 16 bits of each register."""
+    """(node, elements, counts, sketch) of the wanted nodes, as bytes; the sketch is 16 bits of each register
+    of both signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [shingles(t, size) for t in part["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part["node"], pa.array([s.tobytes() for s, _ in sets], pa.binary()),
                  pa.array([c.astype(np.uint32).tobytes() for _, c in sets], pa.binary()),
-                 pa.array([r.tobytes() for r in signatures(sets).astype(np.uint16)], pa.binary())],
+                 pa.array([r.tobytes() for r in both_signatures(sets).astype(np.uint16)], pa.binary())],
                 names=["node", "elements", "counts", "sketch"])
         _WORDS.clear()
 
@@ -236,7 +253,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _agreement(sketch: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (sketch == one).mean(1)
+    """Share of equal registers, of the counted or of the distinct elements, whichever is more."""
+    return (sketch == one).mean(2).max(1)
 
 
 def _central(whole: pa.Table, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -271,7 +289,7 @@ def _compared(blocks: DataFrame, by: list[str], choose: Callable[[pa.Table, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, by):
             node = whole["node"].to_numpy()
-            sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint16).reshape(len(node), -1)
+            sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint16).reshape(len(node), 2, REGISTERS)
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in choose(whole, sketch):
                 held.append((node[a], node[b]))

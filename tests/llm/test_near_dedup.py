@@ -135,6 +135,20 @@ def test_links_beyond_the_closest_nodes(spark, monkeypatch):
     assert got == {d: d - 1 if d % 100 == 1 else d for d in got}
 
 
+def test_near_copies_with_other_counts(spark):
+    """A passage that is repeated often changes the counted shingles much and the distinct ones hardly."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(8):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(604)]
+        longer = [*words[:200], *words[100:200] * 20, *words[200:]]
+        weighted, plain = nd.probability_jaccard(nd.shingles(" ".join(words)), nd.shingles(" ".join(longer)))
+        assert weighted < 0.5 < 0.95 < plain
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(longer))]
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {d: d // 2 * 2 for d in range(16)}
+
+
 def test_odd_rows(spark, odd):
     got = [(r.doc_id, r.class_id, r.class_size) for r in nd.classes(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (4, 4, 2), (None, None, 1), (5, 5, 1), (6, 6, 1)], key=str)
