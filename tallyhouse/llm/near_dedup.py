@@ -239,13 +239,52 @@ def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, similarity: f
     blocks = banded.select("key", block, "node", "sketch").repartition("key", "block").sortWithinPartitions("key", "block")
     tested = work_table(_compared(blocks, ["key", "block"], _central), "pairs")
     found = work_table(_verified(tested, sets, similarity), "links")
-    for most in (NEIGHBOURS, None):
-        parts = rows.drop("members").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        near = _compared(met(parts, BLOCK, sets.select("node", "sketch")), ["key", "u", "v"], _closest(most))
-        pairs = work_table(near.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = found.unionByName(work_table(_verified(pairs, sets, similarity), "links"))
-        tested = tested.unionByName(pairs)
-    return found
+    near = _compared(_met(rows, found, sets.select("node", "sketch")), ["key", "u", "v"], _closest)
+    pairs = work_table(near.join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = found.unionByName(work_table(_verified(pairs, sets, similarity), "links"))
+    keys = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    last = _met(rows, found, sets.join(keys, "node")).mapInArrow(_linked(similarity), "a bigint, b bigint")
+    return found.select("a", "b").unionByName(work_table(last, "links"))
+
+
+def _met(rows: DataFrame, found: DataFrame, more: DataFrame) -> DataFrame:
+    parts = rows.drop("members").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return met(parts, BLOCK, more)
+
+
+def _linked(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Verified links of all pairs of different parts that meet in a block and whose signatures agree enough. A
+    pair is tested under the least key that it shares, and not once links of the block connect it, so only
+    links leave the task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in groups(batches, ["key", "u", "v"]):
+            key, node, part = whole["key"][0].as_py(), whole["node"].to_numpy(), whole["root"].to_numpy().copy()
+            left, right = whole["left"].to_numpy(), whole["right"].to_numpy()
+            keys = [set(k) for k in whole["keys"].to_pylist()]
+            elements, counts = whole["elements"].to_pylist(), whole["counts"].to_pylist()
+            sketch = _sketches(whole)
+
+            def weighted(i, elements=elements, counts=counts):
+                return np.frombuffer(elements[i], np.uint64), np.frombuffer(counts[i], np.uint32)
+
+            links: list[tuple[int, int]] = []
+            for i in np.flatnonzero(left).tolist():
+                # of two nodes that are both left and right, the earlier tests the pair
+                other = np.flatnonzero(right & (part != part[i]) & ~(left & right[i] & (np.arange(len(node)) < i)))
+                agree = _agreement(sketch[other], sketch[i])
+                order = np.argsort(-agree, kind="stable")
+                for j in other[order[agree[order] >= LOWEST]].tolist():
+                    if part[i] != part[j] and min(keys[i] & keys[j]) == key and max(
+                            probability_jaccard(weighted(i), weighted(j))) >= similarity:
+                        links.append((node[i], node[j]))
+                        part[part == part[j]] = part[i]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _sketches(whole: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint16).reshape(whole.num_rows, 2, REGISTERS)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -266,20 +305,16 @@ def _central(whole: pa.Table, sketch: np.ndarray) -> Iterator[tuple[np.ndarray,
     yield near, np.full(len(near), tried[best])
 
 
-def _closest(most: int | None) -> Callable[[pa.Table, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """Every left node with the ``most`` right nodes of other parts that agree with it most, or with all."""
-    def choose(whole: pa.Table, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        root = whole["root"].to_numpy()
-        right = np.flatnonzero(whole["right"].to_numpy())
-        others, parts = sketch[right], root[right]
-        for i in np.flatnonzero(whole["left"].to_numpy()).tolist():
-            agree = _agreement(others, sketch[i])
-            near = np.flatnonzero((agree >= LOWEST) & (parts != root[i]))
-            if most:
-                near = near[np.argsort(-agree[near], kind="stable")[:most]]
-            yield np.full(len(near), i), right[near]
-
-    return choose
+def _closest(whole: pa.Table, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every left node with the right nodes of other parts that agree with it most."""
+    root = whole["root"].to_numpy()
+    right = np.flatnonzero(whole["right"].to_numpy())
+    others, parts = sketch[right], root[right]
+    for i in np.flatnonzero(whole["left"].to_numpy()).tolist():
+        agree = _agreement(others, sketch[i])
+        near = np.flatnonzero((agree >= LOWEST) & (parts != root[i]))
+        near = near[np.argsort(-agree[near], kind="stable")[:NEIGHBOURS]]
+        yield np.full(len(near), i), right[near]
 
 
 def _compared(blocks: DataFrame, by: list[str], choose: Callable[[pa.Table, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
@@ -289,7 +324,7 @@ def _compared(blocks: DataFrame, by: list[str], choose: Callable[[pa.Table, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, by):
             node = whole["node"].to_numpy()
-            sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint16).reshape(len(node), 2, REGISTERS)
+            sketch = _sketches(whole)
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in choose(whole, sketch):
                 held.append((node[a], node[b]))
