@@ -3,8 +3,10 @@
 A line's shingles fall into bins by hash, and the least hash of each bin is its signature; an empty bin
 borrows from the next one. Lines that agree in all bins of a band are candidates. A task first joins
 the candidates among its own lines, so of each band key only one line per task is shuffled however
-many lines share it. Candidates are verified on their whole shingle sets, links are closed by a
-distributed union-find, and of each component the first line stays.
+many lines share it. Candidates are verified on their whole shingle sets, and links are closed by a
+distributed union-find. Then all lines of a band key that are still in different parts are compared in
+blocks, block against block, so every pair that shares a band is verified or connected. Of each
+component the first line stays.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.graph import components
+from tallyhouse.llm.graph import components, groups, met
 from tallyhouse.llm.near_dedup import mixed
 from tallyhouse.llm.texts import slices, whole_text, work_table
 
@@ -27,6 +29,9 @@ BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 #: Band rows that a task holds before it joins what it has and starts afresh.
 HELD = 2_000_000
+#: Lines of a band key that are compared at a time, and bytes of them that are indexed at a time.
+BLOCK, INDEXED = 4096, 1 << 20
+_SPACE = " \t\n\x0b\f\r"
 _BASE = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(2**64 - 1)
 SPARK_SEED = 42
@@ -116,6 +121,8 @@ def _candidates(docs: DataFrame) -> DataFrame:
             lines, least = line_signatures(part["text"].to_pylist())
             found = np.array([xxhash.xxh64_intdigest(x, SPARK_SEED) for x in lines], np.uint64).view(np.int64)
             found, one = np.unique(found, return_index=True)
+            used = np.array([lines[i].strip(_SPACE) != "" for i in one.tolist()], bool)  # blank lines are kept
+            found, one = found[used], one[used]
             keys.append(band_keys(least[one]).ravel())
             nodes.append(np.repeat(found, BANDS))
             held += len(nodes[-1])
@@ -136,9 +143,13 @@ def _candidates(docs: DataFrame) -> DataFrame:
             .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def _grams(line: str, size: int = SHINGLE) -> set[str]:
+    return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
+
+
 def jaccard(x: str, y: str, size: int = SHINGLE) -> float:
     """Jaccard of the sets of runs of ``size`` characters; a shorter line is one run."""
-    a, b = ({t[i : i + size] for i in range(max(1, len(t) - size + 1))} for t in (x, y))
+    a, b = _grams(x, size), _grams(y, size)
     common = len(a & b)
     return common / (len(a) + len(b) - common)
 
@@ -156,6 +167,54 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
         run, "a bigint, b bigint")
 
 
+def _split(lines: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between lines (node, line) of different parts that share a band, enough to connect all."""
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "line", most=1 << 20):
+            least = line_signatures(part["line"].to_pylist())[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(band_keys(least).ravel()), pa.array(np.repeat(part["node"].to_numpy(), BANDS))], names=["key", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in groups(batches, ["key", "u", "v"]):
+            links = linked(whole, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = lines.mapInArrow(keyed, "key bigint, node bigint").join(roots, "node", "left")
+    rows = work_table(rows.select("key", "node", F.coalesce("root", "node").alias("root")), "bands")
+    # two lines of a key have been compared
+    return met(rows, BLOCK, lines, least=3).mapInArrow(run, "a bigint, b bigint")
+
+
+def linked(whole: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between lines of different parts of a block that are alike, enough to connect them. All left lines
+    are counted against an index of the shingles of some right lines at a time."""
+    node, part = whole["node"].to_numpy(), whole["root"].to_numpy().copy()
+    lines = whole["line"].to_pylist()
+    left, right = (np.flatnonzero(whole[c].to_numpy()) for c in ("left", "right"))
+    ends = np.cumsum([len(lines[j]) for j in right.tolist()]) // INDEXED
+    links: list[tuple[int, int]] = []
+    for some in np.split(right, np.flatnonzero(ends[1:] != ends[:-1]) + 1):
+        index: dict[str, list[int]] = {}
+        sizes = np.empty(len(some), np.int64)
+        for k, j in enumerate(some.tolist()):
+            grams = _grams(lines[j])
+            sizes[k] = len(grams)
+            for g in grams:
+                index.setdefault(g, []).append(k)
+        for i in left.tolist():
+            if (part[some] == part[i]).all():
+                continue
+            grams = _grams(lines[i])
+            at = [k for g in grams for k in index.get(g, ())]
+            common = np.bincount(np.array(at, np.int64), minlength=len(some))
+            for j in some[common / (len(grams) + sizes - common) >= similarity].tolist():
+                if part[j] != part[i]:
+                    links.append((node[i], node[j]))
+                    part[part == part[j]] = part[i]
+    return links
+
+
 def _document() -> tuple[Column, Column]:
     """What tells documents apart: the id, and the text's hash where ids repeat or are null."""
     return F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash")
@@ -178,7 +237,11 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = occurrences(docs).select("node", "line").join(ends, "node", "left_semi")
     texts = work_table(texts.groupBy("node").agg(F.first("line").alias("line")), "lines")
-    roots = components(work_table(_verified(pairs, texts, similarity), "links"))
+    links = work_table(_verified(pairs, texts, similarity), "links")
+    roots = work_table(components(links), "roots")
+    more = work_table(_split(texts, roots, similarity), "links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     rows = work_table(occurrences(docs).select("doc_id", "text_hash", "line_no", "node"), "occurrences")
     rows = rows.join(roots, "node", "left").select(
         "doc_id", "text_hash", "line_no", F.coalesce("root", "node").alias("root"),

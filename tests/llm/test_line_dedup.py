@@ -1,3 +1,6 @@
+import random
+
+import pytest
 import xxhash
 
 from tallyhouse.llm import line_dedup as ld
@@ -57,6 +60,22 @@ def test_all_lines_against_brute_force(spark, documents):
             assert d not in kept
 
 
+@pytest.mark.parametrize("block", [20, ld.BLOCK])
+def test_pairs_within_a_family_of_templated_lines(spark, monkeypatch, block):
+    """All lines of the family share bands; only planted pairs are alike."""
+    monkeypatch.setattr(ld, "BLOCK", block)
+    rng = random.Random(7)
+    blob = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template, rows = blob(95), []
+    for i in range(150):
+        tail = blob(25)
+        rows += [(2 * i, f"{template}{tail}\n \n{blob(40)}"), (2 * i + 1, f"{template}{tail[:14]}{blob(11)}\n\t\n")]
+    want = brute(rows)
+    got = ld.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: list(r.removed) for r in got if r.n_removed} == want
+    assert len(want) == 150
+
+
 def test_odd_rows(spark, odd):
     got = sorted(((r.doc_id, r.n_lines, list(r.removed)) for r in ld.removed_lines(odd).collect()), key=str)
     assert got == sorted([(1, 0, []), (2, 0, []), (3, 1, []), (4, 1, []), (4, 1, []), (None, 1, []), (5, 5, [3]), (6, 2, [])], key=str)
