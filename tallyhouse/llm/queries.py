@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tallyhouse.llm import decontaminate, line_dedup, near_dedup, packing, pii, repeats, secret_scan, spotsigs, token_counts, toxicity
+from pyspark.sql import functions as F
+
+from tallyhouse.llm import (
+    decontaminate,
+    fill_middle,
+    line_dedup,
+    near_dedup,
+    nearest,
+    packing,
+    pii,
+    repeats,
+    runs,
+    secret_scan,
+    spotsigs,
+    token_counts,
+    toxicity,
+)
 from tallyhouse.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +67,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.repeating(table(spark, sf_dir, "documents"))))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_packing, op2_near_dedup, op3_repeats, op4_decontamination, op5_token_counts, op6_personal_data, op7_fingerprints,
-    op8_secrets, op9_line_dedup, op10_toxicity)}
+    op8_secrets, op9_line_dedup, op10_toxicity, op11_nearest, op12_runs, op13_fill_middle)}
 ORACLE_SQL: dict[str, str] = {
     "op3_repeats": """
 WITH doc AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -103,5 +130,19 @@ names AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN word_hit USING (k) LEFT JOIN names USING (k)
+""",
+    "op13_fill_middle": """
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+drawn AS (SELECT doc_id, t, length(t) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2,
+  ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM doc),
+cut AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE
+    WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+part AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars, sha256(CASE form
+    WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END)
+    AS output_sha256, sha256(t) AS restored_sha256
+FROM part
 """,
 }

@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9_line_dedup": "doc_id n_lines n_removed removed",
     "op10_toxicity": "doc_id held_out score predicted",
+    "op11_nearest": "query_id rank vec_id score",
+    "op12_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13_fill_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 
@@ -29,7 +32,8 @@ def test_all_operators_are_registered():
 def test_columns_and_rows(spark, name):
     frame = QUERIES[name](spark, SF)
     assert frame.columns == COLUMNS[name].split()
-    assert frame.select("doc_id").distinct().count() == 200
+    of, n = ("query_id", 25) if name == "op11_nearest" else ("doc_id", 200)
+    assert frame.select(of).distinct().count() == n
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
