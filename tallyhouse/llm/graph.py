@@ -71,12 +71,13 @@ def _settled(star: DataFrame) -> bool:
     return seen.where("low <> high OR root AND low IS NOT NULL").isEmpty()
 
 
-def met(rows: DataFrame, most: int, more: DataFrame, least: int = 2) -> DataFrame:
+def met(rows: DataFrame, most: int, more: DataFrame, least: int = 2, tasks: int | None = None) -> DataFrame:
     """Distinct rows (key, node, root), with the columns of ``more`` by node, dealt to blocks (key, u, v), so that any two nodes of a key that have
     different roots meet in a block where one is ``left`` and the other ``right``.
 
     Only nodes outside the largest part of a key are left. Keys whose nodes have one root are left out, and
     those with fewer than ``least`` nodes; a key with more than ``most`` nodes is compared block against block, with about ``most`` nodes of each side.
+    With ``tasks`` the blocks are dealt to so many, where their work does not follow their bytes.
     """
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.sum("n").alias("every"), F.max("n").alias("n"), F.max_by("root", "n").alias("main")).where(
@@ -102,7 +103,8 @@ def met(rows: DataFrame, most: int, more: DataFrame, least: int = 2) -> DataFram
         outside, F.concat(rights, lefts)).otherwise(rights)
     dealt = rows.join(sizes, "key").select("key", "node", "root", F.explode(places).alias("at"))
     dealt = dealt.select("key", "at.*", "node", "root").join(more, "node")
-    return dealt.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
+    dealt = dealt.repartition(tasks, "key", "u", "v") if tasks else dealt.repartition("key", "u", "v")
+    return dealt.sortWithinPartitions("key", "u", "v")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:

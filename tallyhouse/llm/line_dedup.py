@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.graph import components, groups, met
 from tallyhouse.llm.near_dedup import mixed
-from tallyhouse.llm.texts import slices, whole_text, work_table
+from tallyhouse.llm.texts import byte_lengths, slices, whole_text, work_table
 
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -31,6 +31,8 @@ BINS = BANDS * ROWS
 HELD = 2_000_000
 #: Lines of a band key that are compared at a time, and bytes of them that are indexed at a time.
 BLOCK, INDEXED = 4096, 1 << 20
+#: Pairs of lines with a rare shingle in common that are looked at a time.
+PAIRS = 2_000_000
 _SPACE = " \t\n\x0b\f\r"
 _BASE = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(2**64 - 1)
@@ -96,7 +98,9 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def _joined(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
     """One row (key, node) per distinct key, and a row (key, node, other) for every pair of a line with the
-    first and with the previous line of its key."""
+    first and with the previous line of its key; no rows for no keys."""
+    if not len(keys):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["key", "node", "other"])
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]
@@ -106,7 +110,7 @@ def _joined(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
     member = np.flatnonzero(~head)
     pairs = np.unique(np.concatenate((np.stack((nodes[member], lead[member]), 1),
                                       np.stack((nodes[member], nodes[member - 1]), 1))), axis=0)
-    spread = mixed(pairs[:, 0].astype(np.uint64) if len(pairs) else np.empty(0, np.uint64)).view(np.int64)
+    spread = mixed(pairs[:, 0].astype(np.uint64)).view(np.int64)
     other = pa.concat_arrays([pa.nulls(int(head.sum()), pa.int64()), pa.array(pairs[:, 1], pa.int64())])
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate((keys[head], spread))), pa.array(np.concatenate((nodes[head], pairs[:, 0]))), other],
@@ -176,45 +180,158 @@ def _split(lines: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
                 [pa.array(band_keys(least).ravel()), pa.array(np.repeat(part["node"].to_numpy(), BANDS))], names=["key", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in groups(batches, ["key", "u", "v"]):
-            links = linked(whole, similarity)
+        for some in _gathered(groups(batches, ["key", "u", "v"])):
+            links = linked(some, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     rows = lines.mapInArrow(keyed, "key bigint, node bigint").join(roots, "node", "left")
     rows = work_table(rows.select("key", "node", F.coalesce("root", "node").alias("root")), "bands")
     # two lines of a key have been compared
-    return met(rows, BLOCK, lines, least=3).mapInArrow(run, "a bigint, b bigint")
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met(rows, BLOCK, lines, least=3, tasks=tasks).mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(whole: pa.Table, similarity: float) -> list[tuple[int, int]]:
-    """Links between lines of different parts of a block that are alike, enough to connect them. All left lines
-    are counted against an index of the shingles of some right lines at a time."""
-    node, part = whole["node"].to_numpy(), whole["root"].to_numpy().copy()
-    lines = whole["line"].to_pylist()
-    left, right = (np.flatnonzero(whole[c].to_numpy()) for c in ("left", "right"))
-    ends = np.cumsum([len(lines[j]) for j in right.tolist()]) // INDEXED
+def _gathered(blocks: Iterator[pa.Table]) -> Iterator[list[pa.Table]]:
+    """Blocks in lists of about INDEXED bytes."""
+    held: list[pa.Table] = []
+    for block in blocks:
+        held.append(block)
+        if sum(b["line"].nbytes for b in held) > INDEXED:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all lines, line by line, and where each line's begin, with the end appended."""
+    whole = "\n".join(lines)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    long = np.flatnonzero(sizes >= SHINGLE)
+    value, owner = [], []
+    if len(long):
+        counts = sizes[long] - SHINGLE + 1
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts[long], counts)
+        value.append(shingle_hashes(np.frombuffer(whole.encode("utf-32-le"), np.uint32))[at])
+        owner.append(np.repeat(long, counts))
+    short = np.flatnonzero(sizes < SHINGLE)  # a shorter line is one shingle
+    value.append(np.array([xxhash.xxh3_64_intdigest(lines[i].encode()) for i in short.tolist()], np.uint64))
+    owner.append(short)
+    value, owner = np.concatenate(value), np.concatenate(owner)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    new = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]
+    value, owner = value[new], owner[new]
+    return value, np.searchsorted(owner, np.arange(len(lines) + 1))
+
+
+class _Parts:
+    """Parts that links have joined."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def of(self, part: int) -> int:
+        while (above := self.up.get(part, part)) != part:
+            self.up[part] = part = self.up.get(above, above)
+        return part
+
+
+def linked(blocks: list[pa.Table], similarity: float) -> list[tuple[int, int]]:
+    """Links between lines of different parts of a block that are alike, enough to connect them. Blocks of more than INDEXED
+    bytes are compared piece against piece."""
+    whole = pa.concat_tables(blocks)
+    block = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+    nbytes = np.concatenate([byte_lengths(b["line"].combine_chunks()) for b in blocks])
+    piece = (np.cumsum(nbytes) - nbytes) // INDEXED if len(blocks) == 1 else np.zeros(len(block), np.int64)
+    node, part = whole["node"].to_numpy(), whole["root"].to_numpy()
+    left, right = (whole[c].to_numpy() for c in ("left", "right"))
+    lines = whole["line"].combine_chunks()
     links: list[tuple[int, int]] = []
-    for some in np.split(right, np.flatnonzero(ends[1:] != ends[:-1]) + 1):
-        index: dict[str, list[int]] = {}
-        sizes = np.empty(len(some), np.int64)
-        for k, j in enumerate(some.tolist()):
-            grams = _grams(lines[j])
-            sizes[k] = len(grams)
-            for g in grams:
-                index.setdefault(g, []).append(k)
-        for i in left.tolist():
-            if (part[some] == part[i]).all():
-                continue
-            grams = _grams(lines[i])
-            at = [k for g in grams for k in index.get(g, ())]
-            common = np.bincount(np.array(at, np.int64), minlength=len(some))
-            for j in some[common / (len(grams) + sizes - common) >= similarity].tolist():
-                if part[j] != part[i]:
-                    links.append((node[i], node[j]))
-                    part[part == part[j]] = part[i]
+    joined = _Parts()
+    pieces = np.unique(piece).tolist()
+    for k, x in enumerate(pieces):
+        for y in pieces[k:]:
+            at = np.flatnonzero((piece == x) | (piece == y))
+            one, mine = np.unique(node[at], return_index=True)[1], np.unique(node[at], return_inverse=True)[1]
+            sets, starts = shingle_sets(lines.take(pa.array(at[one])).to_pylist())
+            side = piece[at] if x != y else None
+            for a, b in _alike(sets, starts, mine, block[at], part[at], left[at], right[at], side, joined, similarity):
+                links.append((int(node[at[a]]), int(node[at[b]])))
     return links
 
 
+def _ragged(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all elements of the sets ``which``, and their sizes."""
+    sizes = starts[which + 1] - starts[which]
+    return np.arange(sizes.sum()) + np.repeat(starts[which] - (np.cumsum(sizes) - sizes), sizes), sizes
+
+
+def _alike(sets, starts, mine, block, part, left, right, side, joined: _Parts, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of one block and different parts, a left and a right one, whose sets are alike; those that earlier ones connect
+    are left out. Row i has the set ``mine[i]``; with sides, only rows of different sides are compared.
+
+    Two sets that are alike share one of their rarest elements: of n elements, one of the n - ceil(similarity n) + 1 that are rarest
+    in their block. Only rows that share one of these are compared, on the whole sets.
+    """
+    at, sizes = _ragged(starts, mine)
+    row = np.repeat(np.arange(len(mine)), sizes)
+    value = sets[at] + mixed(block[row].astype(np.uint64) + np.uint64(1)) * _powers(3)  # an element of a block
+    _, group, often = np.unique(value, return_inverse=True, return_counts=True)
+    order = np.lexsort((group, often[group], row))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rare = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    first = order[place < np.repeat(rare, sizes)]
+    first = first[often[group[first]] > 1]
+    # rows by shared rare element
+    first = first[np.argsort(group[first], kind="stable")]
+    name, who = group[first], row[first]
+    end = np.searchsorted(name, name, "right")
+    more = end - np.arange(len(name)) - 1
+    seen = np.empty(0, np.int64)
+    ends = np.cumsum(more)
+    a = 0
+    while a < len(name):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+        n = more[a:b]
+        x = np.repeat(who[a:b], n)
+        y = who[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.arange(a + 1, b + 1), n)]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        fit = (part[x] != part[y]) & ((left[x] & right[y]) | (left[y] & right[x]))
+        fit &= np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
+        if side is not None:
+            fit &= side[x] != side[y]
+        codes = np.setdiff1d(x[fit] * len(mine) + y[fit], seen)
+        if b < len(name):
+            seen = np.union1d(seen, codes)
+        yield from _confirmed(sets, starts, mine, part, codes, joined, similarity)
+        a = b
+
+
+def _confirmed(sets, starts, mine, part, codes, joined: _Parts, similarity: float) -> Iterator[tuple[int, int]]:
+    if not len(codes):
+        return
+    x, y = codes // len(mine), codes % len(mine)
+    heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True):
+        i, others = int(x[s]), y[s:e]
+        mine_now = joined.of(int(part[i]))
+        others = others[[joined.of(p) != mine_now for p in part[others].tolist()]]
+        if not len(others):
+            continue
+        own = sets[starts[mine[i]] : starts[mine[i] + 1]]
+        at, sizes = _ragged(starts, mine[others])
+        found = sets[at]
+        near = np.minimum(np.searchsorted(own, found), len(own) - 1)
+        common = np.add.reduceat(own[near] == found, np.cumsum(sizes) - sizes, dtype=np.int64)
+        for j in others[common / (len(own) + sizes - common) >= similarity].tolist():
+            p, q = joined.of(int(part[i])), joined.of(int(part[j]))
+            if p != q:
+                joined.up[max(p, q)] = min(p, q)
+                yield i, j
+
+
 def _document() -> tuple[Column, Column]:
     """What tells documents apart: the id, and the text's hash where ids repeat or are null."""
     return F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -76,6 +78,51 @@ def test_pairs_within_a_family_of_templated_lines(spark, monkeypatch, block):
     assert len(want) == 150
 
 
+@pytest.mark.parametrize("indexed,pairs", [(200, 5), (5_000, 50), (ld.INDEXED, ld.PAIRS)])
+def test_links_of_blocks(monkeypatch, indexed, pairs):
+    """Every pair of a left and a right line of a block that is alike is connected, and no other."""
+    monkeypatch.setattr(ld, "INDEXED", indexed)
+    monkeypatch.setattr(ld, "PAIRS", pairs)
+    rng = random.Random(3)
+    for _ in range(20):
+        blocks, n = [], 0
+        for _ in range(rng.randrange(1, 4)):
+            base = "".join(rng.choice("abcdef ") for _ in range(rng.randrange(1, 90)))
+            lines = []
+            for _ in range(rng.randrange(1, 30)):
+                x = list(base)
+                for _ in range(rng.randrange(0, 4)):
+                    x[rng.randrange(len(x))] = rng.choice("xyzé")
+                lines.append("".join(x))
+            lines = sorted(set(lines))
+            left = [rng.random() < 0.7 for _ in lines]
+            right = [not x or rng.random() < 0.7 for x in left]
+            nodes = list(range(n, n + len(lines)))
+            n += len(lines)
+            blocks.append(pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(nodes, pa.int64()), "line": lines,
+                                    "left": left, "right": right}))
+        want = []
+        for b in blocks:
+            r = b.to_pylist()
+            want += [(x["node"], y["node"]) for x in r for y in r if x["node"] < y["node"] and (
+                x["left"] and y["right"] or y["left"] and x["right"]) and ld.jaccard(x["line"], y["line"]) >= 0.8]
+        got = [link for some in ld._gathered(iter(blocks)) for link in ld.linked(some, 0.8)]
+        assert roots(got) == roots(want)
+        assert {tuple(sorted(x)) for x in got} <= set(want)
+
+
+def test_tasks_that_hold_blank_texts_only(spark):
+    rows = [(1, ""), (2, " \n\t"), (3, "a line that is here twice"), (4, None), (5, "a line that is here twice")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    alone = docs.repartitionByRange(5, "doc_id")
+    assert {r.doc_id: r.n_removed for r in ld.removed_lines(alone).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+    blank = docs.where("doc_id IN (1, 2, 4)")
+    assert {(r.doc_id, r.n_removed) for r in ld.removed_lines(blank).collect()} == {(1, 0), (2, 0), (4, 0)}
+    assert ld.dedup(blank).count() == 3
+    empty = ld._joined(np.empty(0, np.int64), np.empty(0, np.int64))
+    assert empty.num_rows == 0 and empty.schema.names == ["key", "node", "other"]
+
+
 def test_odd_rows(spark, odd):
     got = sorted(((r.doc_id, r.n_lines, list(r.removed)) for r in ld.removed_lines(odd).collect()), key=str)
     assert got == sorted([(1, 0, []), (2, 0, []), (3, 1, []), (4, 1, []), (4, 1, []), (None, 1, []), (5, 5, [3]), (6, 2, [])], key=str)
