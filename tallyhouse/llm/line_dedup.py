@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.graph import components, groups, met
 from tallyhouse.llm.near_dedup import mixed
-from tallyhouse.llm.texts import byte_lengths, slices, whole_text, work_table
+from tallyhouse.llm.texts import slices, whole_text, work_table
 
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -29,10 +29,10 @@ BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 #: Band rows that a task holds before it joins what it has and starts afresh.
 HELD = 2_000_000
-#: Lines of a band key that are compared at a time, and bytes of them that are indexed at a time.
-BLOCK, INDEXED = 4096, 1 << 20
-#: Pairs of lines with a rare shingle in common that are looked at a time.
-PAIRS = 2_000_000
+#: Lines of a band key that are compared at a time, and shingles that a task holds while it compares them.
+BLOCK, HELD_SHINGLES = 4096, 4_000_000
+#: 64-bit words of an outline.
+WORDS = 32
 _SPACE = " \t\n\x0b\f\r"
 _BASE = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(2**64 - 1)
@@ -45,11 +45,26 @@ def _powers(n: int) -> np.uint64:
 
 def shingle_hashes(codes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """A 64-bit hash of the ``size`` (a power of two) code points that begin at each place."""
-    value, width = codes.astype(np.uint64) + np.uint64(1), 1
+    value, width = codes.astype(np.uint64), 1
+    value += np.uint64(1)
     while width < size:
-        value = value[:-width] * _powers(width) + value[width:]
-        width *= 2
-    return mixed(value)
+        longer = value[:-width] * _powers(width)
+        longer += value[width:]
+        value, width = longer, 2 * width
+    return _mixed_here(value)
+
+
+def _mixed_here(value: np.ndarray) -> np.ndarray:
+    """``mixed`` in place: one array beside the values and not one a step."""
+    moved = value >> np.uint64(30)
+    value ^= moved
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(value, np.uint64(27), out=moved)
+    value ^= moved
+    value *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(value, np.uint64(31), out=moved)
+    value ^= moved
+    return value
 
 
 def line_signatures(texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -158,21 +173,64 @@ def jaccard(x: str, y: str, size: int = SHINGLE) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def outlines(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per set of hashes a row of bits, each element at one of them."""
+    bits = np.zeros((len(starts) - 1, 64 * WORDS), bool)
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    bits[owner, (sets >> np.uint64(64 - (64 * WORDS).bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def may_be_alike(bits_a, sizes_a, bits_b, sizes_b, similarity: float) -> np.ndarray:
+    """Whether sets with these outlines can be alike. A bit of one that the other has not is an element that the other has
+    not, so this rules out pairs that are not alike and no others."""
+    only_a = np.bitwise_count(bits_a & ~bits_b).sum(-1, dtype=np.int64)
+    only_b = np.bitwise_count(bits_b & ~bits_a).sum(-1, dtype=np.int64)
+    common = np.minimum(sizes_a - only_a, sizes_b - only_b)
+    return common >= similarity * (sizes_a + sizes_b - common) - 1e-9
+
+
+def _outline_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def _outlined(lines: DataFrame) -> DataFrame:
+    """Lines (node, line) with the number of their shingles and their outline."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "line", most=1 << 20):
+            sets, starts = shingle_sets(part["line"].to_pylist())
+            bits = [row.tobytes() for row in outlines(sets, starts)]
+            yield pa.RecordBatch.from_arrays([part["node"], part["line"], pa.array(np.diff(starts)), pa.array(bits, pa.binary())],
+                                             names=["node", "line", "size", "outline"])
+
+    return lines.select("node", "line").mapInArrow(run, "node bigint, line string, size bigint, outline binary")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of lines that are alike: first those whose outlines allow it, then those whose shingles confirm it."""
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_outline_of(batch[c]) for c in ("ox", "oy"))
+                m, n = (batch[c].to_numpy() for c in ("sx", "sy"))
+                yield batch.select(["a", "b"]).filter(pa.array(may_be_alike(x, m, y, n, similarity)))
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = [jaccard(x, y) >= similarity for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    def side(node, line):
-        return lines.select(F.col("node").alias(node), F.col("line").alias(line))
+    def side(node, **names):
+        return lines.select(F.col("node").alias(node), *[F.col(c).alias(x) for c, x in names.items()])
 
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(
-        run, "a bigint, b bigint")
+    some = pairs.join(side("a", size="sx", outline="ox"), "a").join(side("b", size="sy", outline="oy"), "b")
+    some = some.select("a", "b", "sx", "sy", "ox", "oy").mapInArrow(allowed, "a bigint, b bigint")
+    return some.join(side("a", line="x"), "a").join(side("b", line="y"), "b").select("a", "b", "x", "y").mapInArrow(
+        confirmed, "a bigint, b bigint")
 
 
 def _split(lines: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between lines (node, line) of different parts that share a band, enough to connect all."""
+    """Links (a, b) between outlined lines of different parts that share a band, enough to connect all."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "line", most=1 << 20):
             least = line_signatures(part["line"].to_pylist())[1]
@@ -180,29 +238,17 @@ def _split(lines: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
                 [pa.array(band_keys(least).ravel()), pa.array(np.repeat(part["node"].to_numpy(), BANDS))], names=["key", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _gathered(groups(batches, ["key", "u", "v"])):
-            links = linked(some, similarity)
+        for block in groups(batches, ["key", "u", "v"]):
+            links = linked(block, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = lines.mapInArrow(keyed, "key bigint, node bigint").join(roots, "node", "left")
+    rows = lines.select("node", "line").mapInArrow(keyed, "key bigint, node bigint").join(roots, "node", "left")
     rows = work_table(rows.select("key", "node", F.coalesce("root", "node").alias("root")), "bands")
     # two lines of a key have been compared
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return met(rows, BLOCK, lines, least=3, tasks=tasks).mapInArrow(run, "a bigint, b bigint")
 
 
-def _gathered(blocks: Iterator[pa.Table]) -> Iterator[list[pa.Table]]:
-    """Blocks in lists of about INDEXED bytes."""
-    held: list[pa.Table] = []
-    for block in blocks:
-        held.append(block)
-        if sum(b["line"].nbytes for b in held) > INDEXED:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all lines, line by line, and where each line's begin, with the end appended."""
     whole = "\n".join(lines)
@@ -226,110 +272,41 @@ def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(len(lines) + 1))
 
 
-class _Parts:
-    """Parts that links have joined."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+def linked(block: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between lines of different parts of a block, a left and a right one, that are alike, enough to connect them. Shingles are
+    made only of lines with an outline that allows it, and held up to HELD_SHINGLES."""
+    node, part = block["node"].to_numpy(), block["root"].to_numpy().copy()
+    left, right = (block[c].to_numpy() for c in ("left", "right"))
+    bits, sizes, lines = _outline_of(block["outline"]), block["size"].to_numpy(), block["line"]
+    sets: dict[int, np.ndarray] = {}
+    held = 0
+
+    def shingles(k: int) -> np.ndarray:
+        nonlocal held
+        if k not in sets:
+            if held > HELD_SHINGLES:
+                sets.clear()
+                held = 0
+            sets[k] = shingle_sets([lines[k].as_py()])[0]
+            held += len(sets[k])
+        return sets[k]
 
-    def of(self, part: int) -> int:
-        while (above := self.up.get(part, part)) != part:
-            self.up[part] = part = self.up.get(above, above)
-        return part
-
-
-def linked(blocks: list[pa.Table], similarity: float) -> list[tuple[int, int]]:
-    """Links between lines of different parts of a block that are alike, enough to connect them. Blocks of more than INDEXED
-    bytes are compared piece against piece."""
-    whole = pa.concat_tables(blocks)
-    block = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
-    nbytes = np.concatenate([byte_lengths(b["line"].combine_chunks()) for b in blocks])
-    piece = (np.cumsum(nbytes) - nbytes) // INDEXED if len(blocks) == 1 else np.zeros(len(block), np.int64)
-    node, part = whole["node"].to_numpy(), whole["root"].to_numpy()
-    left, right = (whole[c].to_numpy() for c in ("left", "right"))
-    lines = whole["line"].combine_chunks()
     links: list[tuple[int, int]] = []
-    joined = _Parts()
-    pieces = np.unique(piece).tolist()
-    for k, x in enumerate(pieces):
-        for y in pieces[k:]:
-            at = np.flatnonzero((piece == x) | (piece == y))
-            one, mine = np.unique(node[at], return_index=True)[1], np.unique(node[at], return_inverse=True)[1]
-            sets, starts = shingle_sets(lines.take(pa.array(at[one])).to_pylist())
-            side = piece[at] if x != y else None
-            for a, b in _alike(sets, starts, mine, block[at], part[at], left[at], right[at], side, joined, similarity):
-                links.append((int(node[at[a]]), int(node[at[b]])))
-    return links
-
-
-def _ragged(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all elements of the sets ``which``, and their sizes."""
-    sizes = starts[which + 1] - starts[which]
-    return np.arange(sizes.sum()) + np.repeat(starts[which] - (np.cumsum(sizes) - sizes), sizes), sizes
-
-
-def _alike(sets, starts, mine, block, part, left, right, side, joined: _Parts, similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of one block and different parts, a left and a right one, whose sets are alike; those that earlier ones connect
-    are left out. Row i has the set ``mine[i]``; with sides, only rows of different sides are compared.
-
-    Two sets that are alike share one of their rarest elements: of n elements, one of the n - ceil(similarity n) + 1 that are rarest
-    in their block. Only rows that share one of these are compared, on the whole sets.
-    """
-    at, sizes = _ragged(starts, mine)
-    row = np.repeat(np.arange(len(mine)), sizes)
-    value = sets[at] + mixed(block[row].astype(np.uint64) + np.uint64(1)) * _powers(3)  # an element of a block
-    _, group, often = np.unique(value, return_inverse=True, return_counts=True)
-    order = np.lexsort((group, often[group], row))
-    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rare = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-    first = order[place < np.repeat(rare, sizes)]
-    first = first[often[group[first]] > 1]
-    # rows by shared rare element
-    first = first[np.argsort(group[first], kind="stable")]
-    name, who = group[first], row[first]
-    end = np.searchsorted(name, name, "right")
-    more = end - np.arange(len(name)) - 1
-    seen = np.empty(0, np.int64)
-    ends = np.cumsum(more)
-    a = 0
-    while a < len(name):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
-        n = more[a:b]
-        x = np.repeat(who[a:b], n)
-        y = who[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.arange(a + 1, b + 1), n)]
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        fit = (part[x] != part[y]) & ((left[x] & right[y]) | (left[y] & right[x]))
-        fit &= np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
-        if side is not None:
-            fit &= side[x] != side[y]
-        codes = np.setdiff1d(x[fit] * len(mine) + y[fit], seen)
-        if b < len(name):
-            seen = np.union1d(seen, codes)
-        yield from _confirmed(sets, starts, mine, part, codes, joined, similarity)
-        a = b
-
-
-def _confirmed(sets, starts, mine, part, codes, joined: _Parts, similarity: float) -> Iterator[tuple[int, int]]:
-    if not len(codes):
-        return
-    x, y = codes // len(mine), codes % len(mine)
-    heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True):
-        i, others = int(x[s]), y[s:e]
-        mine_now = joined.of(int(part[i]))
-        others = others[[joined.of(p) != mine_now for p in part[others].tolist()]]
-        if not len(others):
+    order = np.arange(len(node))
+    for i in np.flatnonzero(left).tolist():
+        # of two lines that are both left and right, the earlier tests the pair
+        other = np.flatnonzero(right & (part != part[i]) & ~(left & right[i] & (order < i)))
+        if not len(other):
             continue
-        own = sets[starts[mine[i]] : starts[mine[i] + 1]]
-        at, sizes = _ragged(starts, mine[others])
-        found = sets[at]
-        near = np.minimum(np.searchsorted(own, found), len(own) - 1)
-        common = np.add.reduceat(own[near] == found, np.cumsum(sizes) - sizes, dtype=np.int64)
-        for j in others[common / (len(own) + sizes - common) >= similarity].tolist():
-            p, q = joined.of(int(part[i])), joined.of(int(part[j]))
-            if p != q:
-                joined.up[max(p, q)] = min(p, q)
-                yield i, j
+        near = other[may_be_alike(bits[i], sizes[i], bits[other], sizes[other], similarity)]
+        for j in near.tolist():
+            if part[i] != part[j]:
+                a, b = shingles(i), shingles(j)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if common / (len(a) + len(b) - common) >= similarity:
+                    links.append((int(node[i]), int(node[j])))
+                    part[part == part[j]] = part[i]
+    return links
 
 
 def _document() -> tuple[Column, Column]:
@@ -353,7 +330,7 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = work_table(_candidates(docs), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = occurrences(docs).select("node", "line").join(ends, "node", "left_semi")
-    texts = work_table(texts.groupBy("node").agg(F.first("line").alias("line")), "lines")
+    texts = work_table(_outlined(texts.groupBy("node").agg(F.first("line").alias("line"))), "lines")
     links = work_table(_verified(pairs, texts, similarity), "links")
     roots = work_table(components(links), "roots")
     more = work_table(_split(texts, roots, similarity), "links")

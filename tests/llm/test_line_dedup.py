@@ -78,37 +78,37 @@ def test_pairs_within_a_family_of_templated_lines(spark, monkeypatch, block):
     assert len(want) == 150
 
 
-@pytest.mark.parametrize("indexed,pairs", [(200, 5), (5_000, 50), (ld.INDEXED, ld.PAIRS)])
-def test_links_of_blocks(monkeypatch, indexed, pairs):
+@pytest.mark.parametrize("words,held", [(1, 50), (32, ld.HELD_SHINGLES)])
+def test_links_of_blocks(monkeypatch, words, held):
     """Every pair of a left and a right line of a block that is alike is connected, and no other."""
-    monkeypatch.setattr(ld, "INDEXED", indexed)
-    monkeypatch.setattr(ld, "PAIRS", pairs)
+    monkeypatch.setattr(ld, "WORDS", words)
+    monkeypatch.setattr(ld, "HELD_SHINGLES", held)
     rng = random.Random(3)
-    for _ in range(20):
-        blocks, n = [], 0
-        for _ in range(rng.randrange(1, 4)):
-            base = "".join(rng.choice("abcdef ") for _ in range(rng.randrange(1, 90)))
-            lines = []
-            for _ in range(rng.randrange(1, 30)):
-                x = list(base)
-                for _ in range(rng.randrange(0, 4)):
-                    x[rng.randrange(len(x))] = rng.choice("xyzé")
-                lines.append("".join(x))
-            lines = sorted(set(lines))
-            left = [rng.random() < 0.7 for _ in lines]
-            right = [not x or rng.random() < 0.7 for x in left]
-            nodes = list(range(n, n + len(lines)))
-            n += len(lines)
-            blocks.append(pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(nodes, pa.int64()), "line": lines,
-                                    "left": left, "right": right}))
-        want = []
-        for b in blocks:
-            r = b.to_pylist()
-            want += [(x["node"], y["node"]) for x in r for y in r if x["node"] < y["node"] and (
-                x["left"] and y["right"] or y["left"] and x["right"]) and ld.jaccard(x["line"], y["line"]) >= 0.8]
-        got = [link for some in ld._gathered(iter(blocks)) for link in ld.linked(some, 0.8)]
+    found = 0
+    for _ in range(60):
+        base = "".join(rng.choice("abcdef ") for _ in range(rng.randrange(1, 90)))
+        lines = []
+        for _ in range(rng.randrange(1, 30)):
+            x = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                x[rng.randrange(len(x))] = rng.choice("xyzé")
+            lines.append("".join(x))
+        lines = sorted(set(lines))
+        left = [rng.random() < 0.7 for _ in lines]
+        right = [not x or rng.random() < 0.7 for x in left]
+        nodes = pa.array(range(len(lines)), pa.int64())
+        sets, starts = ld.shingle_sets(lines)
+        assert [b - a for a, b in zip(starts, starts[1:])] == [len(ld._grams(x)) for x in lines]
+        block = pa.table({"node": nodes, "root": nodes, "line": lines, "left": left, "right": right, "size": np.diff(starts),
+                          "outline": pa.array([r.tobytes() for r in ld.outlines(sets, starts)], pa.binary())})
+        r = block.to_pylist()
+        want = [(x["node"], y["node"]) for x in r for y in r if x["node"] < y["node"] and (
+            x["left"] and y["right"] or y["left"] and x["right"]) and ld.jaccard(x["line"], y["line"]) >= 0.8]
+        got = ld.linked(block, 0.8)
         assert roots(got) == roots(want)
         assert {tuple(sorted(x)) for x in got} <= set(want)
+        found += len(want)
+    assert found > 20
 
 
 def test_tasks_that_hold_blank_texts_only(spark):
