@@ -58,6 +58,42 @@ def upsert_hours(target: DataFrame, incoming: DataFrame) -> DataFrame:
     return merge_upsert(target, incoming, HOUR_KEYS, dict.fromkeys([*MEASURES, REQUESTS], GREATEST))
 
 
+def retract_merge(
+    target: DataFrame, before: DataFrame, after: DataFrame, keys: list[str], measures: list[str],
+    replaced: list[str] | None = None,
+) -> DataFrame:
+    """Target after rows summed from events were summed again, one row per key.
+
+    ``before`` and ``after`` hold what the events of a key summed to and sum to now; a key that no event belongs to
+    any more is in ``before`` alone. A counter that stands at its former sum, or below, came from the events and
+    follows them, also down. One above it came from elsewhere (a proxy, an import) and keeps its highest value.
+    ``replaced`` columns take the value of ``after`` where there is one. Rows left without any usage go. Doing it
+    again changes nothing, also if the target already has the new values.
+    """
+    columns, replaced = target.columns, replaced or []
+    sides = [target.select(*keys, F.struct(*[c for c in columns if c not in keys]).alias("_t"))]
+    sides += [rows.select(*keys, F.struct(*measures, *(replaced if name == "_a" else [])).alias(name))
+              for name, rows in (("_b", before), ("_a", after))]
+    rows = sides[0].unionByName(sides[1], True).unionByName(sides[2], True)
+    rows = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("_t", "_b", "_a")])
+    touched = F.col("_b").isNotNull() | F.col("_a").isNotNull()
+
+    def counter(name: str) -> Column:
+        zero = F.lit(0).cast(target.schema[name].dataType)
+        stored, was, now = (F.coalesce(F.col(f"{side}.{name}"), zero) for side in ("_t", "_b", "_a"))
+        slack = F.abs(was) * 1e-9 if name == COST else zero
+        return F.when(~touched, F.col(f"_t.{name}")).when(stored <= was + slack, now).otherwise(F.greatest(stored, now))
+
+    values = {c: counter(c) for c in measures}
+    for c in columns:
+        if c not in keys and c not in values:
+            now = F.when(F.col("_a").isNotNull(), F.col(f"_a.{c}")) if c in replaced else F.lit(None)
+            values[c] = F.coalesce(now, F.col(f"_t.{c}"))
+    rows = rows.select(*keys, touched.alias("_touched"), *[v.alias(c) for c, v in values.items()])
+    used = F.greatest(*[F.col(c).cast("double") for c in measures]) > 0
+    return rows.where(~F.col("_touched") | used).select(*columns)
+
+
 def upsert_sessions(
     target: DataFrame, incoming: DataFrame, arrival: list[str] | None = None
 ) -> DataFrame:
@@ -222,6 +258,8 @@ class Staged(NamedTuple):
     result: DataFrame
     partition: str
     emptied: list[str]
+    #: (keys beside the day, day) of stored rows that the incoming ones replace, if the day is no key.
+    replaced: DataFrame | None = None
 
     def commit(self) -> DataFrame:
         """Put the result into the table; gives the incoming rows, stored. Repeating it changes nothing."""
@@ -231,6 +269,13 @@ class Staged(NamedTuple):
         return self.incoming
 
 
+def emptied_folders(touched: DataFrame, result: DataFrame, partition: str = "usage_date") -> list[str]:
+    """Partition folders of touched rows that the result has no row for; at most one per touched partition."""
+    folder = F.coalesce(F.col(partition).cast("string"), F.lit(NO_DAY_FOLDER)).alias("folder")
+    gone = touched.select(folder).distinct().join(result.select(folder).distinct(), "folder", "left_anti")
+    return [f"{partition}={r[0]}" for r in gone.collect()]
+
+
 def stage_merge(path: str, incoming: DataFrame, keys: list[str], merge) -> Staged:
     """Merge incoming rows with a table partitioned by usage_date, of which only touched days change.
 
@@ -247,16 +292,11 @@ def stage_merge(path: str, incoming: DataFrame, keys: list[str], merge) -> Stage
     if day not in keys:
         again = sized_for_broadcast(incoming.select(*keys))
         left = cut_lineage(
-            stored.select(*keys, day).join(again, keys, "left_semi").select(day).distinct())
-        days = days.unionByName(left)
+            stored.select(*keys, day).join(again, keys, "left_semi").select(*keys[:-1], day).distinct())
+        days = days.unionByName(left.select(day))
     touched = on_days(stored, days).unionByName(stored.where(F.col(day).isNull()))
     result = cut_lineage(merge(touched, incoming))
-    emptied = []
-    if left is not None:
-        folder = F.coalesce(F.col(day).cast("string"), F.lit(NO_DAY_FOLDER)).alias("folder")
-        kept = result.select(folder).distinct()
-        emptied = [f"{day}={r[0]}" for r in left.select(folder).join(kept, "folder", "left_anti").collect()]
-    return Staged(path, incoming, result, day, emptied)
+    return Staged(path, incoming, result, day, [] if left is None else emptied_folders(left, result), left)
 
 
 def merge_into_table(path: str, incoming: DataFrame, keys: list[str], merge) -> DataFrame:

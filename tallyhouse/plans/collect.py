@@ -17,7 +17,7 @@ from tallyhouse.operators.rollups import (
     requests_of_touched_hours, session_parts, sessions_of_parts,
 )
 from tallyhouse.schemas import (
-    CURSORS, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST,
+    CURSORS, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST, MEASURES,
     MODEL_PRICING, PENDING, REQUESTS, SESSION_KEYS, SESSION_PART, SESSION_USAGE, TOKENS, TOTAL,
     USAGE_EVENT,
 )
@@ -26,9 +26,10 @@ from tallyhouse.session import cut_lineage
 SCHEMAS = {
     "event": USAGE_EVENT, "hour": HOUR_USAGE, "daily": DAILY_USAGE, "session": SESSION_USAGE,
     "devices": DEVICES, "prices": MODEL_PRICING, "manifest": MANIFEST, "cursors": CURSORS,
-    "pending": PENDING, "session_part": SESSION_PART,
+    "pending": PENDING, "session_part": SESSION_PART, "event_hour": HOUR_USAGE,
 }
-USAGE_LAYERS = ["event", "hour", "daily", "session", "session_part"]
+#: event_hour and session_part hold what the events summed to at the last rebuild, by hour and by session and day.
+USAGE_LAYERS = ["event", "hour", "daily", "session", "session_part", "event_hour"]
 SESSION_BUCKETS = 64
 #: Small tables that are replaced whole, by a new version beside the old one.
 VERSIONED = {"devices", "prices", "manifest", "cursors"}
@@ -102,15 +103,19 @@ class UsageStore:
         self._switch(name, self._new_version(name, rows))
 
     def add_events(self, events: DataFrame) -> None:
-        """Price and merge events, and note the dates whose hours and days are now stale.
+        """Price and merge events, and note the dates whose hours, days and sessions are now stale: those that events
+        come to, and those that they are moved from.
 
-        Prices are those stored now; a later price change affects later events only.
+        Prices are those stored now; a later price change affects later events only. The notes are written first: one too
+        many costs a rebuild, one too few would leave sums that no event stands for.
         """
         unpriced = cut_lineage(drop_zero_usage(events))
         priced = self._shaped("event", price_usage(unpriced, self.read("prices")))
-        merged = mrg.merge_into_table(self.path("event"), priced, EVENT_KEYS, mrg.upsert_events)
-        stale = merged.select("device", "source", "usage_date").where("usage_date IS NOT NULL")
+        staged = mrg.stage_merge(self.path("event"), priced, EVENT_KEYS, mrg.upsert_events)
+        dates = ["device", "source", "usage_date"]
+        stale = staged.incoming.select(*dates).unionByName(staged.replaced.select(*dates))
         stale.distinct().write.mode("append").parquet(self.path("pending"))
+        staged.commit()
 
     def rebuild_pending(self, tz: str, as_of: date, locked_at: datetime) -> None:
         """Rebuild what noted dates made stale. One rebuild after all events of a run, because it
@@ -156,10 +161,21 @@ class UsageStore:
     def merge_hours(self, hours: DataFrame) -> None:
         self._stage_hours(hours).commit()
 
-    def _stage_daily(self, daily: DataFrame, as_of: date, locked_at: datetime) -> mrg.Staged:
-        return mrg.stage_merge(
-            self.path("daily"), self._shaped("daily", daily), DAILY_KEYS,
-            lambda old, new: self._shaped("daily", mrg.upsert_daily(old, new, as_of, locked_at)))
+    def _stage_daily(
+        self, daily: DataFrame, as_of: date, locked_at: datetime, gone: DataFrame | None = None
+    ) -> mrg.Staged:
+        """Days merged with the table, without those that are ``gone``: their hours have no usage left."""
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            merged = mrg.upsert_daily(old, new, as_of, locked_at)
+            return self._shaped("daily", merged if gone is None else merged.join(gone, DAILY_KEYS, "left_anti"))
+
+        if gone is None:
+            return mrg.stage_merge(self.path("daily"), self._shaped("daily", daily), DAILY_KEYS, merge)
+        gone = cut_lineage(gone)
+        incoming = cut_lineage(self._shaped("daily", daily))
+        touched = on_days(self.read("daily"), incoming.select("usage_date").union(gone.select("usage_date")))
+        result = cut_lineage(merge(touched, incoming))
+        return mrg.Staged(self.path("daily"), incoming, result, "usage_date", mrg.emptied_folders(touched, result))
 
     def merge_daily(self, daily: DataFrame, as_of: date, locked_at: datetime) -> None:
         self._stage_daily(daily, as_of, locked_at).commit()
@@ -169,12 +185,16 @@ class UsageStore:
         bucket = F.pmod(F.hash("session_id"), F.lit(SESSION_BUCKETS))
         return sessions.withColumn("bucket", bucket)
 
+    def _session_buckets(self, incoming: DataFrame) -> DataFrame:
+        """Stored sessions in the buckets of the incoming ones."""
+        buckets = [r[0] for r in incoming.select("bucket").distinct().collect()]
+        schema = self._bucketed(self.read("session")).schema
+        return mrg.read_table(self.spark, self.path("session"), schema).where(F.col("bucket").isin(buckets))
+
     def _stage_sessions(self, sessions: DataFrame) -> mrg.Staged:
         """Sessions merged with a table of buckets, of which only the touched change."""
         incoming = self._bucketed(cut_lineage(self._shaped("session", sessions)))
-        buckets = [r[0] for r in incoming.select("bucket").distinct().collect()]
-        stored = mrg.read_table(self.spark, self.path("session"), incoming.schema)
-        touched = stored.where(F.col("bucket").isin(buckets)).drop("bucket")
+        touched = self._session_buckets(incoming).drop("bucket")
         merged = self._shaped("session", mrg.upsert_sessions(touched, incoming.drop("bucket")))
         return mrg.Staged(self.path("session"), incoming, cut_lineage(self._bucketed(merged)), "bucket", [])
 
@@ -184,33 +204,72 @@ class UsageStore:
     def rebuild(self, stale: DataFrame, tz: str, as_of: date, locked_at: datetime) -> None:
         """Bring hours, local days and sessions up to the stored events of the stale dates.
 
-        A UTC date reaches the local days beside it, and those read the dates beside them.
+        What the events of those dates summed to at the last rebuild is taken back, and what they sum to now put in its
+        place (``retract_merge``), so an event that was moved or changed counts where it is and nowhere else. A UTC date
+        reaches the local days beside it, and those read the dates beside them. The former sums are replaced last: a
+        rebuild that fails is repeated with the same result. The locked cost of a past day that keeps other usage stays.
         """
         def around(reach: int) -> DataFrame:
             shifted = [F.date_add("usage_date", n) for n in range(-reach, reach + 1)]
             return stale.select(F.explode(F.array(*shifted)).alias("usage_date"))
 
-        events = on_days(self.read("event"), stale)
-        touched = lookup_join(events, stale, ["device", "source", "usage_date"], "left_semi")
-        self.merge_hours(hour_rollup(touched))
-        days = daily_rebuild(on_days(self.read("hour"), around(2)), tz)
-        self.merge_daily(on_days(days, around(1)), as_of, locked_at)
-        self._rebuild_sessions(touched, stale)
-
-    def _rebuild_sessions(self, touched: DataFrame, stale: DataFrame) -> None:
-        """Recompute the session sums of stale dates, then the sessions they belong to.
+        events = self._of_dates("event", stale)
+        before = cut_lineage(self._of_dates("event_hour", stale))
+        after = cut_lineage(self._shaped("event_hour", hour_rollup(events)))
+        self._stage_retracted_hours(before, after, stale).commit()
+        days = cut_lineage(daily_rebuild(on_days(self.read("hour"), around(2)), tz))
+        gone = daily_rebuild(before, tz).join(days, DAILY_KEYS, "left_anti").select(*DAILY_KEYS)
+        self._stage_daily(on_days(days, around(1)), as_of, locked_at, gone).commit()
+        self._rebuild_sessions(events, stale)
+        self._replace_dates("event_hour", after, stale)
+
+    def _of_dates(self, name: str, stale: DataFrame) -> DataFrame:
+        """Stored rows of the stale (device, source, date); of rows without a date only if some of them are stale."""
+        stored = self.read(name)
+        dates = lookup_join(on_days(stored, stale), stale, ["device", "source", "usage_date"], "left_semi")
+        undated = stale.where("usage_date IS NULL").select("device", "source").distinct()
+        if undated.isEmpty():
+            return dates
+        return dates.unionByName(
+            lookup_join(stored.where("usage_date IS NULL"), undated, ["device", "source"], "left_semi"))
+
+    def _replace_dates(self, name: str, rows: DataFrame, stale: DataFrame) -> None:
+        """Put stored rows in the place of those of the stale (device, source, date)."""
+        keys = ["device", "source", "usage_date"]
+        touched = on_days(self.read(name), stale)
+        if not stale.where("usage_date IS NULL").isEmpty():
+            touched = touched.unionByName(self.read(name).where("usage_date IS NULL"))
+        same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
+        others = touched.alias("x").join(stale.alias("y"), same, "left_anti")
+        result = cut_lineage(others.unionByName(rows))
+        emptied = mrg.emptied_folders(touched, result)
+        mrg.Staged(self.path(name), rows, result, "usage_date", emptied).commit()
+
+    def _stage_retracted_hours(self, before: DataFrame, after: DataFrame, stale: DataFrame) -> mrg.Staged:
+        touched = on_days(self.read("hour"), stale)
+        result = cut_lineage(mrg.retract_merge(touched, before, after, HOUR_KEYS, [*MEASURES, REQUESTS]))
+        return mrg.Staged(self.path("hour"), after, result, "usage_date", mrg.emptied_folders(touched, result))
+
+    def _rebuild_sessions(self, events: DataFrame, stale: DataFrame) -> None:
+        """Sum the parts of stale dates again, and the sessions that have or had one of them.
 
         Sessions are summed from their parts by day, so the events of other days are not read.
         Events without a day are a part of their own.
         """
-        undated = self.read("event").where("usage_date IS NULL")
-        parts = cut_lineage(self._shaped("session_part", session_parts(touched.unionByName(undated))))
-        others = lookup_join(on_days(self.read("session_part"), stale), stale,
-                             ["device", "source", "usage_date"], "left_anti")
-        mrg.write_partitions(cut_lineage(others.unionByName(parts)), self.path("session_part"))
-        sessions = cut_lineage(parts.select(*SESSION_KEYS).distinct())
-        whole = lookup_join(self.read("session_part"), sessions, SESSION_KEYS, "left_semi")
-        self.merge_sessions(sessions_of_parts(whole))
+        parts = cut_lineage(self._shaped("session_part", session_parts(events)))
+        former = cut_lineage(self._of_dates("session_part", stale))
+        sessions = cut_lineage(parts.select(*SESSION_KEYS).union(former.select(*SESSION_KEYS)).distinct())
+        whole = cut_lineage(lookup_join(self.read("session_part"), sessions, SESSION_KEYS, "left_semi"))
+        same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in ("device", "source", "usage_date")]
+        kept = whole.alias("x").join(stale.alias("y"), same, "left_anti")
+        before, after = (self._shaped("session", sessions_of_parts(p)) for p in (whole, kept.unionByName(parts)))
+        incoming = self._bucketed(sessions)
+        touched = self._session_buckets(incoming)
+        merged = mrg.retract_merge(touched.drop("bucket"), before, after, SESSION_KEYS, MEASURES,
+                                   ["last_activity", "project_path", "model"])
+        result = cut_lineage(self._bucketed(merged))
+        mrg.Staged(self.path("session"), incoming, result, "bucket", mrg.emptied_folders(touched, result, "bucket")).commit()
+        self._replace_dates("session_part", parts, stale)
 
     def collect(self, events: DataFrame, tz: str, as_of: date, locked_at: datetime) -> None:
         """Merge collected events and rebuild what depends on them."""

@@ -1,5 +1,8 @@
 """Named queries: incremental collection gives what one pass over all data gives."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse import constants as K
@@ -145,6 +148,36 @@ def collect_table(spark, sf):
     return shown(_days(store))
 
 
+_MOVED = f"""{EVENTS}, mv AS (SELECT event_id, device, source, session_id, model, total_tokens, cost_usd,
+ event_time + CASE event_id % 3 WHEN 0 THEN INTERVAL 29 HOURS ELSE INTERVAL 0 HOURS END AS t FROM ue
+ WHERE input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens + reasoning_output_tokens > 0),
+layer AS (SELECT 'event' AS layer, source, t::DATE AS d, * EXCLUDE (source) FROM mv
+ UNION ALL SELECT 'hour', source, t::DATE, * EXCLUDE (source) FROM mv
+ UNION ALL SELECT 'daily', source, (t + INTERVAL 8 HOURS)::DATE, * EXCLUDE (source) FROM mv
+ UNION ALL SELECT 'session', source, NULL, * EXCLUDE (source) FROM mv)
+SELECT layer, source, d::VARCHAR AS usage_date, sum(total_tokens)::BIGINT AS total_tokens, round(sum(cost_usd), 9) AS cost_usd,
+ count(DISTINCT CASE layer WHEN 'session' THEN device || session_id ELSE event_id::VARCHAR END) AS n
+FROM layer GROUP BY ALL"""
+
+
+@query("moved_events", _MOVED)
+def moved_events(spark, sf):
+    """All events collected, then a third of them again a day and five hours later: every layer counts them there alone."""
+    store, events = _store(spark, "store"), prc.cut_lineage(a.unpriced_events(spark, sf))
+    first_day = a.FIRST_DAY  # no past day, whose cost would be locked
+    store.collect(events, a.TZ, first_day, a.LOCK_TIME)
+    moved = events.where("CAST(substr(event_key, 4) AS BIGINT) % 3 = 0").withColumn(
+        "event_time", F.col("event_time") + F.expr("INTERVAL 29 HOURS"))
+    store.collect(moved.withColumn("usage_date", F.to_date("event_time")), a.TZ, first_day, a.LOCK_TIME)
+    parts = []
+    for layer, n in (("event", F.count("*")), ("hour", F.sum(REQUESTS)), ("daily", F.sum(REQUESTS)), ("session", F.count("*"))):
+        rows = store.read(layer)
+        day = F.col("usage_date") if layer != "session" else F.lit(None).cast("date")
+        parts.append(rows.groupBy(F.lit(layer).alias("layer"), "source", day.alias("usage_date")).agg(
+            F.sum(TOTAL).alias(TOTAL), F.sum("cost_usd").alias("cost_usd"), n.alias("n")))
+    return shown(reduce(DataFrame.unionByName, parts))
+
+
 @query("collect_summary", f"""{EVENTS} SELECT source, count(*) AS events,
  count(DISTINCT (usage_date, model)) AS daily, count(DISTINCT (session_id, model)) AS session_model
  FROM ue GROUP BY source""")

@@ -7,9 +7,11 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from tallyhouse.operators import merge as mrg
 from tallyhouse.plans.collect import UsageStore
 from tallyhouse.plans.dashboard import Dashboard
 from tallyhouse.schemas import DEVICES, INPUT, MODEL_PRICING, TOTAL
+from tallyhouse.session import cut_lineage
 from tallyhouse.sources import codex, transfer
 from tallyhouse.sources.openclaw import parse_openclaw_log
 from tallyhouse.streaming import jobs
@@ -201,6 +203,83 @@ def test_sessions_over_several_days_and_runs(spark, tmp_path, store):
     assert max(v[1] for v in got.values()) == datetime(2026, 8, 2, 5)
 
 
+def usage(rows):
+    """Events of (key, time, model, session, tokens)."""
+    out = []
+    for key, time, model, session, n in rows:
+        out.append(("d", "Codex CLI", key, time, time and time.date(), model, None, session, n, 0, 0, 0, 0, n))
+    return out
+
+
+USAGE = ("device string, source string, event_key string, event_time timestamp, usage_date date, model string, project_path string, "
+         "session_id string, input_tokens bigint, output_tokens bigint, cache_creation_tokens bigint, cache_read_tokens bigint, "
+         "reasoning_output_tokens bigint, total_tokens bigint")
+
+
+def sums_of_layers(store):
+    """Per layer what a key's tokens sum to."""
+    def of(name, *keys):
+        return {tuple(r)[:-1]: r[TOTAL] for r in store.read(name).groupBy(*keys).agg(F.sum(TOTAL).alias(TOTAL)).collect()}
+
+    return of("hour", "usage_date", "hour", "model"), of("daily", "usage_date", "model"), of("session", "session_id")
+
+
+@pytest.mark.parametrize("broken", [None, "session", "session_part"])
+def test_moved_events_count_where_they_are(spark, store, monkeypatch, broken):
+    """Events that change day, model, session or size, and one that loses its time; also after a rebuild that failed
+    halfway and was repeated."""
+    def at(day, hour):
+        return datetime(2026, 8, day, hour)
+
+    first = [("a", at(1, 1), "gpt-5", "s", 10), ("b", at(1, 1), "gpt-5", "s", 20), ("c", at(2, 2), "gpt-5", "s", 30),
+             ("e", at(1, 5), "gpt-5", "r", 5), ("f", at(4, 5), "gpt-5", "q", 7)]
+    store.collect(spark.createDataFrame(usage(first), USAGE), TZ, date(2026, 8, 1), NOW)
+    again = [("a", at(3, 20), "gpt-5", "s", 10), ("b", at(1, 1), "gpt-5-mini", "s", 4), ("e", at(1, 5), "gpt-5", "t", 5),
+             ("f", None, "gpt-5", "q", 7)]
+    write = mrg.write_partitions
+
+    def failing(rows, path, partition="usage_date"):
+        if broken and path.endswith(f"/{broken}"):
+            raise RuntimeError("lost")
+        write(rows, path, partition)
+
+    monkeypatch.setattr(mrg, "write_partitions", failing)
+    moved = spark.createDataFrame(usage(again), USAGE)
+    if broken:
+        with pytest.raises(RuntimeError):
+            store.collect(moved, TZ, date(2026, 8, 1), NOW)
+        broken = None
+        store.rebuild_pending(TZ, date(2026, 8, 1), NOW)
+    else:
+        store.collect(moved, TZ, date(2026, 8, 1), NOW)
+    hours, days, sessions = sums_of_layers(store)
+    d = date
+    assert hours == {(d(2026, 8, 1), 1, "gpt-5-mini"): 4, (d(2026, 8, 1), 5, "gpt-5"): 5, (d(2026, 8, 2), 2, "gpt-5"): 30,
+                     (d(2026, 8, 3), 20, "gpt-5"): 10}
+    assert days == {(d(2026, 8, 1), "gpt-5-mini"): 4, (d(2026, 8, 1), "gpt-5"): 5, (d(2026, 8, 2), "gpt-5"): 30,
+                    (d(2026, 8, 4), "gpt-5"): 10}
+    assert sessions == {("s",): 44, ("t",): 5, ("q",): 7}
+    assert store.read("pending").count() == 0
+    back = [("f", at(4, 6), "gpt-5", "q", 7)]
+    store.collect(spark.createDataFrame(usage(back), USAGE), TZ, date(2026, 8, 1), NOW)
+    hours, days, sessions = sums_of_layers(store)
+    assert hours[d(2026, 8, 4), 6, "gpt-5"] == 7 and days[d(2026, 8, 4), "gpt-5"] == 17 and sessions[("q",)] == 7
+
+
+def test_usage_from_elsewhere_is_not_taken_back(spark, store):
+    """An hour that a proxy counted higher keeps that value; days of sources without hours stay."""
+    time = datetime(2026, 8, 1, 1)
+    store.collect(spark.createDataFrame(usage([("a", time, "gpt-5", "s", 10), ("b", time, "gpt-5", "s", 1)]), USAGE), TZ, AS_OF, NOW)
+    hours = store.read("hour").withColumn(INPUT, F.lit(50).cast("bigint")).withColumn(TOTAL, F.lit(50).cast("bigint"))
+    store.merge_hours(cut_lineage(hours))
+    days = store.read("daily").withColumn("source", F.lit("Hermes Agent"))
+    store.merge_daily(cut_lineage(days), AS_OF, NOW)
+    store.collect(spark.createDataFrame(usage([("a", datetime(2026, 8, 2, 1), "gpt-5", "s", 10)]), USAGE), TZ, AS_OF, NOW)
+    hour = {r.usage_date: (r[TOTAL], r.request_count) for r in store.read("hour").collect()}
+    assert hour == {date(2026, 8, 1): (50, 1), date(2026, 8, 2): (10, 1)}
+    assert store.read("daily").where("source = 'Hermes Agent'").count() == 1
+
+
 def test_no_file_is_lost(spark, tmp_path, store):
     """Names that look like patterns are read, a damaged file is reported and read again once repaired, and
     a round that has one still collects the others."""
