@@ -77,20 +77,3 @@ def chunk_entry(lines: DataFrame, followed: dict[str, str]) -> DataFrame:
         *CHUNK_KEYS,
         *[F.last(f"_out_{new}", True).over(earlier).alias(f"_entry_{new}") for new in followed],
     )
-
-
-def closing_state(
-    lines: DataFrame, columns: dict[str, str], initial: DataFrame | None = None
-) -> DataFrame:
-    """One row per file: the last non-null value of each column, else the initial one."""
-    order = line_order()
-    last = lines.groupBy("path").agg(*[
-        F.max_by(col, F.when(F.col(col).isNotNull(), order)).alias(new)
-        for new, col in columns.items()
-    ])
-    if initial is None:
-        return last
-    old = initial.withColumnsRenamed({new: f"_initial_{new}" for new in columns})
-    return last.join(old, "path", "full").select(
-        "path", *[F.coalesce(F.col(n), F.col(f"_initial_{n}")).alias(n) for n in columns]
-    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse import constants as K
+from tallyhouse.operators import merge as mrg
 from tallyhouse.operators import pricing as prc
 from tallyhouse.plans import adapters as a
 from tallyhouse.plans import ingest_queries as ing
@@ -17,7 +18,6 @@ from tallyhouse.session import work_path
 from tallyhouse.sources import tables
 from tallyhouse.sources.openclaw import parse_openclaw_log
 from tallyhouse.streaming import jobs
-from tallyhouse.streaming.state import SessionState
 
 def _store(spark, name: str, **tables_):
     store = UsageStore(spark, work_path(spark, name))
@@ -42,7 +42,7 @@ def stream_events(spark, sf):
     root, store = work_path(spark, "landing"), _store(spark, "store")
     _landed_by_session(spark, sf, root)
     jobs.collect_landed(
-        spark, root, work_path(spark, "checkpoint"), store, lambda lines, n: parse_openclaw_log(lines),
+        spark, root, work_path(spark, "checkpoint"), store, jobs.Increment(parse_openclaw_log),
         "dev-0", a.TZ, a.AS_OF, a.LOCK_TIME, files_per_batch=3, session_of=_by_line)
     return shown(_days(store))
 
@@ -59,32 +59,52 @@ def _landed_by_session(spark, sf, root: str) -> None:
 
 @query("codex_increments", ORACLE_SQL["parse_codex_log"])
 def codex_increments(spark, sf):
-    """Codex lines in three increments of ten days, each continuing from the stored state."""
-    state = SessionState(spark, work_path(spark, "state"), jobs.CODEX_STATE)
+    """Codex lines that land in three increments of ten days, read by a stream that is restarted twice and runs its last batch twice."""
     day = F.to_date(F.get_json_object("value", "$.timestamp"))
     lines = ing.codex_lines(spark, sf).withColumn(
         "increment", F.least(F.floor((F.dayofmonth(day) - 1) / 10), F.lit(2)))
-    return _increments(lines, jobs.codex_increment(state))
+    return _increments(lines, jobs.CODEX)
 
 
 @query("dsh_increments", ORACLE_SQL["parse_dsh_log"].replace(
     "coalesce(cwd, CASE WHEN sid = 's-' || user_id\n AND user_id % 50 = user_id THEN '/cache/' || user_id END)",
     "cwd"))
 def dsh_increments(spark, sf):
-    """DeepSeek Harness lines in three increments, each continuing from the stored state."""
-    state = SessionState(spark, work_path(spark, "state"), jobs.DSH_STATE)
+    """DeepSeek Harness lines that land in three increments, read as the Codex ones are."""
     last = F.lit(a.table(spark, sf, "events").agg(F.max("event_id")).first()[0] + 1)
     lines = ing.dsh_lines(spark, sf).withColumn(
         "increment", F.floor(F.floor(F.col("pos") / 8) * 3 / last))
-    return _increments(lines, jobs.dsh_increment(state))
+    return _increments(lines, jobs.DSH)
 
 
-def _increments(lines, run):
+def _increments(lines, increment):
+    """Events of lines by ``increment``, landed and streamed one after the other; the commit of the last batch is taken back, as
+    by a driver that was lost, and the batch replayed."""
+    spark = lines.sparkSession
+    landing, out, checkpoint = (work_path(spark, n) for n in ("landing", "events", "checkpoint"))
     lines = prc.cut_lineage(lines)
-    parts = [run(lines.where(F.col("increment") == n).drop("increment"), n) for n in range(3)]
-    replayed = run(lines.where("increment = 2").drop("increment"), 2)
-    whole = parts[0].unionByName(parts[1]).unionByName(replayed)
-    return shown(whole, *ing.EVENT)
+
+    def run():
+        read = spark.readStream.schema("path string, value string").parquet(landing)
+        zero, place = F.lit(0).cast("bigint"), F.col("_metadata")
+        framed = read.select("path", F.struct(place.file_path.alias("file"), place.file_block_start.alias("start")).alias("block"),
+                             zero.alias("chunk"), zero.alias("pos"), "value")
+
+        def collect(batch, number):
+            increment.events(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        increment.states(framed).writeStream.foreachBatch(collect).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+
+    for n in range(3):
+        # the lines of a session follow each other in one file
+        part = lines.where(F.col("increment") == n).repartition("path").sortWithinPartitions("path", "chunk", "pos")
+        part.select("path", "value").write.mode("append").parquet(landing)
+        run()
+    for name in ("2", ".2.crc"):
+        mrg.remove_folder(spark, f"{checkpoint}/commits/{name}")
+    run()
+    return shown(spark.read.parquet(out), *ing.EVENT)
 
 
 def _event_stream(spark, sf):

@@ -7,7 +7,7 @@ from tallyhouse import constants as K
 from tallyhouse.functions.identity import empty_to_null, event_key, file_stem
 from tallyhouse.functions.times import to_utc_ts
 from tallyhouse.functions.tokens import split_cached
-from tallyhouse.operators.carry import carry_forward, closing_state
+from tallyhouse.operators.carry import carry_forward
 from tallyhouse.schemas import CACHE_READ, INPUT, OUTPUT, REASONING
 from tallyhouse.session import cut_lineage
 from tallyhouse.sources.events import as_events, parsed_json
@@ -45,17 +45,13 @@ def codex_states(lines: DataFrame) -> DataFrame:
     )
 
 
-_UPTO = {"model": "line_model", "cwd": "line_cwd"}
-_BEFORE = {"previous_total": "total_usage"}
+UPTO = {"model": "line_model", "cwd": "line_cwd"}
+BEFORE = {"previous_total": "total_usage"}
 
 
 def ffill_model(states: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """States with the current model, working folder and previous total of their file."""
-    return carry_forward(states, _UPTO, _BEFORE, initial)
-
-
-def codex_closing_state(states: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    return closing_state(states, {**_UPTO, **_BEFORE}, initial)
+    return carry_forward(states, UPTO, BEFORE, initial)
 
 
 def cumulative_delta(states: DataFrame) -> DataFrame:

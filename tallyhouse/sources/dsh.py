@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse import constants as K
 from tallyhouse.functions.identity import empty_to_null, event_key, parent_dir
-from tallyhouse.operators.carry import carry_forward, closing_state
+from tallyhouse.operators.carry import carry_forward
 from tallyhouse.operators.lookup import lookup_join
 from tallyhouse.schemas import CACHE_READ, CACHE_WRITE, INPUT, OUTPUT, REASONING
 from tallyhouse.session import cut_lineage
@@ -17,7 +17,7 @@ _LINE = """type string, seq bigint, time bigint, id string, cwd string, data str
     reasoningTokens: bigint>>"""
 _PROJECTS = """tables struct<sessions: map<string, struct<identity: struct<cwd: string>>>>"""
 
-_STATE = {"session": "line_session", "cwd": "line_cwd", "model": "line_model"}
+STATE = {"session": "line_session", "cwd": "line_cwd", "model": "line_model"}
 
 
 def dsh_states(lines: DataFrame) -> DataFrame:
@@ -42,16 +42,14 @@ def dsh_states(lines: DataFrame) -> DataFrame:
 
 
 def ffill_dsh_state(states: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """States with the session, folder and model in force; the session defaults to the folder
-    that holds the file."""
-    folder = F.element_at(F.split(parent_dir(F.col("path")), "/"), -1)
-    return carry_forward(states, _STATE, None, initial).withColumn(
-        "session", F.coalesce("session", folder)
-    )
+    """States with the session, folder and model in force."""
+    return named_by_folder(carry_forward(states, STATE, None, initial))
 
 
-def dsh_closing_state(states: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    return closing_state(states, _STATE, initial)
+def named_by_folder(states: DataFrame) -> DataFrame:
+    """The session defaults to the folder that holds the file."""
+    folder = F.element_at(F.split(parent_dir(F.col("path")), "/"), -1)
+    return states.withColumn("session", F.coalesce("session", folder))
 
 
 def project_folders(docs: DataFrame) -> DataFrame:

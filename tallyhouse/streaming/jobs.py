@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.identity import parent_dir, plain_path
-from tallyhouse.operators.carry import CHUNK_BITS
 from tallyhouse.operators.manifest import changed_files, manifest_rows
 from tallyhouse.operators.merge import merge_upsert
 from tallyhouse.plans.collect import SCHEMAS, UsageStore
@@ -20,12 +19,15 @@ from tallyhouse.session import cut_lineage
 from tallyhouse.sources import codex, dsh
 from tallyhouse.sources.events import EVENT_COLUMNS
 from tallyhouse.sources.files import JSONL, file_listing, scan_log_files
-from tallyhouse.streaming.state import SessionState
+from tallyhouse.streaming.state import carry_along_stream
 
-CODEX_STATE = {"model": "string", "cwd": "string", "previous_total": codex.USAGE}
-DSH_STATE = {"session": "string", "cwd": "string", "model": "string"}
 
-Increment = Callable[[DataFrame, int], DataFrame]
+class Increment(NamedTuple):
+    """How new lines of sessions become events: ``states`` runs along the stream and may keep state by session, ``events`` in every
+    micro-batch."""
+
+    events: Callable[[DataFrame], DataFrame]
+    states: Callable[[DataFrame], DataFrame] = lambda lines: lines
 
 
 def stream_lines(
@@ -40,37 +42,20 @@ def stream_lines(
         F.col("_metadata.file_block_start").alias("start"), "value")
 
 
-def segment_lines(batch: DataFrame, session_of: Callable[[Column], Column] = parent_dir) -> DataFrame:
-    """Line frame of a micro-batch. A session is a folder whose segments follow each other by
-    name; ``session_of`` says otherwise."""
-    pos = F.monotonically_increasing_id()
-    return batch.select("file", "start", "value", pos.alias("pos")).select(
-        session_of(F.col("file")).alias("path"), F.struct("file", "start").alias("block"),
-        F.shiftright("pos", CHUNK_BITS).alias("chunk"), "pos", "value")
-
-
-def codex_increment(state: SessionState) -> Increment:
-    """Codex events of new lines, continuing each session where it stood."""
-    def run(lines: DataFrame, batch: int) -> DataFrame:
-        states = cut_lineage(codex.codex_states(lines))
-        initial = state.before(batch, states)
-        events = codex.codex_events(codex.cumulative_delta(codex.ffill_model(states, initial)))
-        state.save(batch, codex.codex_closing_state(states, initial), initial)
-        return events
-
-    return run
-
+def segment_lines(lines: DataFrame, session_of: Callable[[Column], Column] = parent_dir) -> DataFrame:
+    """Line frame of a stream of lines. A session is a folder whose segments follow each other by
+    name; ``session_of`` says otherwise. Lines of a block are ordered as they are read."""
+    zero = F.lit(0).cast("bigint")
+    return lines.select(session_of(F.col("file")).alias("path"), F.struct("file", "start").alias("block"),
+                        zero.alias("chunk"), zero.alias("pos"), "value")
 
-def dsh_increment(state: SessionState) -> Increment:
-    """DeepSeek Harness events of new lines, continuing each session where it stood."""
-    def run(lines: DataFrame, batch: int) -> DataFrame:
-        states = cut_lineage(dsh.dsh_states(lines))
-        initial = state.before(batch, states)
-        events = dsh.dsh_events(dsh.ffill_dsh_state(states, initial))
-        state.save(batch, dsh.dsh_closing_state(states, initial), initial)
-        return events
 
-    return run
+#: Codex events of new lines, each session continuing where it stood.
+CODEX = Increment(lambda states: codex.codex_events(codex.cumulative_delta(states)),
+                  lambda lines: carry_along_stream(codex.codex_states(lines), codex.UPTO, codex.BEFORE))
+#: DeepSeek Harness events of new lines, each session continuing where it stood.
+DSH = Increment(lambda states: dsh.dsh_events(dsh.named_by_folder(states)),
+                lambda lines: carry_along_stream(dsh.dsh_states(lines), dsh.STATE))
 
 
 def stream_events(
@@ -86,13 +71,13 @@ def stream_events(
     their lines are.
     """
     def collect(batch: DataFrame, number: int) -> None:
-        lines = segment_lines(batch, session_of)
-        events = increment(lines, number).withColumn("device", F.lit(device))
+        events = increment.events(batch).withColumn("device", F.lit(device))
         store.add_events(events.select("device", *EVENT_COLUMNS))
         if rebuild is not None:
             rebuild()
 
-    writer = stream_lines(spark, path, files_per_batch=files_per_batch).writeStream.foreachBatch(collect)
+    lines = segment_lines(stream_lines(spark, path, files_per_batch=files_per_batch), session_of)
+    writer = increment.states(lines).writeStream.foreachBatch(collect)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

@@ -1,52 +1,121 @@
-"""State of log sessions between increments, kept as a table."""
+"""Running state along the lines of sessions that arrive in pieces: Spark's keyed state, one value per session.
 
+Lines are filled forward inside chunks, wherever the chunks are; a chunk then is one row of its closing values and its
+lines in packed form. Only these rows are brought together by session, where the state before a chunk is the last value
+of the chunks and micro-batches before it. So the lines of a large session are copied by its task, and worked on by others.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ORDER = ["file", "start", "seq"]
+
+
+def use_keyed_state(spark: SparkSession) -> None:
+    """Queries started from here on keep their state in RocksDB, beside their checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-from tallyhouse.operators.merge import read_table, write_partitions
-from tallyhouse.session import cut_lineage
 
-BUCKETS = 64
+def _edges(batch: pa.RecordBatch, by: list[str]) -> list[int]:
+    keys = list(zip(*[batch[c].to_pylist() for c in by], strict=True))
+    return [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)] if keys else [0]
 
 
-class SessionState:
-    """(path, state columns) per session, as of every batch and the one before.
+class LastValues(StatefulProcessor):
+    """The state before each chunk of a session; the state is the last known value of every column."""
 
-    A row keeps the batch that wrote it and the state before that batch, so a batch that is
-    replayed starts from the same state as the first time, even if part of its state was already
-    stored. Only the buckets of the batch's sessions are rewritten.
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", T.StructType([T.StructField(c, T.StringType()) for c in self.columns]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = list(self.state.get() or [None] * len(self.columns)) if self.state.exists() else [None] * len(self.columns)
+        chunks = pd.concat(list(rows), ignore_index=True).sort_values(_ORDER, kind="stable")
+        entries = []
+        for closing in chunks[[f"out_{c}" for c in self.columns]].itertuples(index=False):
+            entries.append(list(last))
+            last = [old if pd.isna(new) else new for old, new in zip(last, closing, strict=True)]
+        self.state.update(tuple(last))
+        out = pd.DataFrame(entries, columns=[f"in_{c}" for c in self.columns])
+        out.insert(0, "lines", chunks["lines"].to_numpy())
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def carry_along_stream(states: DataFrame, upto: dict[str, str], before: dict[str, str] | None = None) -> DataFrame:
+    """A stream of ``states`` (path, block, others) with the last non-null values of columns, as ``carry_forward`` gives them over
+    the whole session: ``upto`` includes the row, ``before`` does not.
+
+    Rows of a block follow each other as they are read, blocks by file and start, micro-batches by number. The state after a
+    batch is a version of its own in Spark's checkpoint, so a batch that is replayed starts where it did.
     """
+    before = before or {}
+    followed = {**upto, **before}
+    text = {c: F.col(c) if isinstance(states.schema[c].dataType, T.StringType) else F.to_json(c) for c in dict.fromkeys(followed.values())}
+    rows = states.select(*[c for c in states.columns if c not in ("block", "chunk", "pos")], F.col("block.file").alias("_file"),
+                         F.col("block.start").alias("_start"), *[v.alias(f"_text_{c}") for c, v in text.items()])
+    names = list(followed)
+    closing = T.StructType([T.StructField("path", T.StringType()), T.StructField("file", T.StringType()), T.StructField(
+        "start", T.LongType()), T.StructField("seq", T.LongType()), *[T.StructField(f"out_{n}", T.StringType()) for n in names],
+        T.StructField("lines", T.BinaryType())])
+    entering = T.StructType([T.StructField("lines", T.BinaryType()), *[T.StructField(f"in_{n}", T.StringType()) for n in names]])
+    kept = [c for c in rows.columns if not c.startswith("_text_") and c not in ("_file", "_start")]
+    filled = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(f"_new_{n}", T.StringType()) for n in names]])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = 0
+        for batch in batches:
+            edges = _edges(batch, ["path", "_file", "_start"])
+            out = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = batch.slice(a, b - a)
+                ends, arrays = [], []
+                for n in names:
+                    value = pc.fill_null_forward(part[f"_text_{followed[n]}"])
+                    ends.append(value[-1].as_py())
+                    arrays.append(value if n in upto else pa.concat_arrays([pa.nulls(1, value.type), value[:-1]]))
+                whole = pa.RecordBatch.from_arrays([*[part[c] for c in kept], *arrays], names=[*kept, *[f"_new_{n}" for n in names]])
+                out.append([part["path"][0].as_py(), part["_file"][0].as_py(), part["_start"][0].as_py(), seq, *ends, _packed(whole)])
+                seq += 1
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * len(names), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=closing.names)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for part in pa.ipc.open_stream(row["lines"]):
+                    arrays = [part[c] for c in kept]
+                    for n in names:
+                        value, entry = part[f"_new_{n}"], row[f"in_{n}"]
+                        arrays.append(value if entry is None else pc.fill_null(value, pa.scalar(entry, value.type)))
+                    yield pa.RecordBatch.from_arrays(arrays, names=filled.names)
 
-    def __init__(self, spark: SparkSession, path: str, columns: dict[str, str]):
-        """``columns``: state column -> type in DDL."""
-        self.spark, self.path, self.names = spark, path, list(columns)
-        fields = ", ".join(f"{n}: {t}" for n, t in columns.items())
-        kind = f"struct<{fields}>"
-        self.schema = f"path string, batch bigint, state {kind}, earlier {kind}, bucket int"
-
-    def _stored(self, paths: DataFrame) -> DataFrame:
-        """Rows in the buckets of the paths."""
-        buckets = [r[0] for r in paths.select(self._bucket()).distinct().collect()]
-        return read_table(self.spark, self.path, self.schema).where(F.col("bucket").isin(buckets))
-
-    @staticmethod
-    def _bucket():
-        return F.pmod(F.hash("path"), F.lit(BUCKETS)).alias("bucket")
-
-    def before(self, batch: int, paths: DataFrame) -> DataFrame:
-        """State of the sessions on entry to the batch."""
-        state = F.when(F.col("batch") < batch, F.col("state")).otherwise(F.col("earlier"))
-        known = self._stored(paths).select("path", state.alias("s")).where("s IS NOT NULL")
-        return cut_lineage(
-            known.join(paths.select("path").distinct(), "path", "left_semi").select("path", "s.*"))
-
-    def save(self, batch: int, closing: DataFrame, initial: DataFrame) -> None:
-        """Store the closing state of the batch's sessions."""
-        state = F.struct(*self.names)
-        old = initial.select("path", state.alias("earlier"))
-        new = closing.select("path", F.lit(batch).cast("bigint").alias("batch"),
-                             state.alias("state"), self._bucket())
-        fresh = cut_lineage(new.join(old, "path", "left").select(
-            "path", "batch", "state", "earlier", "bucket"))
-        kept = self._stored(fresh).join(fresh.select("path"), "path", "left_anti")
-        write_partitions(cut_lineage(kept.unionByName(fresh)), self.path, "bucket")
+    use_keyed_state(states.sparkSession)
+    chunks = rows.mapInArrow(pack, closing).groupBy("path").transformWithStateInPandas(
+        LastValues(names), entering, "append", "none")
+    # round robin, so that a large session's lines are unpacked by several tasks
+    lines = chunks.repartition(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(unpack, filled)
+    new = {n: F.col(f"_new_{n}") if isinstance(states.schema[c].dataType, T.StringType) else F.from_json(
+        f"_new_{n}", states.schema[c].dataType) for n, c in followed.items()}
+    return lines.select(*kept, *[v.alias(n) for n, v in new.items()])

@@ -15,7 +15,6 @@ from tallyhouse.session import cut_lineage
 from tallyhouse.sources import codex, transfer
 from tallyhouse.sources.openclaw import parse_openclaw_log
 from tallyhouse.streaming import jobs
-from tallyhouse.streaming.state import SessionState
 from tests.test_sources import CODEX, CODEX_EVENTS
 
 NOW, AS_OF, TZ = datetime(2026, 8, 3, 9), date(2026, 8, 3), "+08:00"
@@ -35,9 +34,7 @@ def land(folder, name, texts, stamp=None):
 
 
 def stream(spark, tmp_path, store):
-    state = SessionState(spark, str(tmp_path / "state"), jobs.CODEX_STATE)
-    jobs.collect_landed(spark, str(tmp_path / "landing"), str(tmp_path / "checkpoint"), store,
-                        jobs.codex_increment(state), "dev", TZ, AS_OF, NOW)
+    jobs.collect_landed(spark, str(tmp_path / "landing"), str(tmp_path / "checkpoint"), store, jobs.CODEX, "dev", TZ, AS_OF, NOW)
 
 
 def stamped(n, record):
@@ -59,18 +56,26 @@ def test_stream_equals_batch(spark, tmp_path, store):
 
 
 def test_replayed_batch_starts_from_the_same_state(spark, tmp_path):
-    texts = [json.dumps(stamped(n, r)) for n, r in enumerate(CODEX)]
-    state = SessionState(spark, str(tmp_path / "state"), jobs.CODEX_STATE)
-    run = jobs.codex_increment(state)
-
-    def increment(part, number):
-        frame = spark.createDataFrame([("/s", 0, 0, i, t) for i, t in enumerate(part)],
-                                      "path string, block bigint, chunk bigint, pos bigint, value string")
-        return sorted(map(tuple, run(frame, number).select(INPUT, "output_tokens", "model").collect()))
-
-    increment(texts[:4], 0)
-    first = increment(texts[4:], 1)
-    assert increment(texts[4:], 1) == first == [(0, 5, "gpt-5-mini"), (10, 1, "gpt-5")]
+    """A stream that is stopped between a batch and its commit runs the batch again, from the state before it."""
+    texts, seen = [stamped(n, r) for n, r in enumerate(CODEX)], []
+
+    def run():
+        def collect(batch, number):
+            seen.append((number, sorted(map(tuple, jobs.CODEX.events(batch).select(INPUT, "output_tokens", "model").collect()))))
+
+        lines = jobs.segment_lines(jobs.stream_lines(spark, str(tmp_path / "landing")))
+        jobs.CODEX.states(lines).writeStream.foreachBatch(collect).option(
+            "checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+
+    land(tmp_path / "landing" / "s", "0.jsonl", texts[:4])
+    run()
+    land(tmp_path / "landing" / "s", "1.jsonl", texts[4:])
+    run()
+    for name in ("1", ".1.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert [n for n, _ in seen] == [0, 1, 1]
+    assert seen[1] == seen[2] == (1, [(0, 5, "gpt-5-mini"), (10, 1, "gpt-5")])
 
 
 def claw(n, total):
