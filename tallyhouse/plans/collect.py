@@ -1,10 +1,9 @@
 """The stored usage tables and the jobs that keep them: collect, rebuild, import, reset."""
 
-import uuid
 from datetime import date, datetime
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import merge as mrg
@@ -26,13 +25,14 @@ from tallyhouse.session import cut_lineage
 SCHEMAS = {
     "event": USAGE_EVENT, "hour": HOUR_USAGE, "daily": DAILY_USAGE, "session": SESSION_USAGE,
     "devices": DEVICES, "prices": MODEL_PRICING, "manifest": MANIFEST, "cursors": CURSORS,
-    "pending": PENDING, "session_part": SESSION_PART, "event_hour": HOUR_USAGE,
+    "pending": PENDING, "generation": "number bigint", "session_part": SESSION_PART, "event_hour": HOUR_USAGE,
 }
 #: event_hour and session_part hold what the events summed to at the last rebuild, by hour and by session and day.
 USAGE_LAYERS = ["event", "hour", "daily", "session", "session_part", "event_hour"]
 SESSION_BUCKETS = 64
-#: Small tables that are replaced whole, by a new version beside the old one.
-VERSIONED = {"devices", "prices", "manifest", "cursors"}
+#: Small tables that are replaced whole, by a numbered version beside the old one, and the mark of a version that is complete.
+VERSIONED = {"devices", "prices", "manifest", "cursors", "generation"}
+COMPLETE = "_SUCCESS"
 
 
 class UsageStore:
@@ -40,6 +40,20 @@ class UsageStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._watched: list[str] = []
+        self._seen: list[tuple[str, Observation]] = []
+
+    def watch(self, sources: list[str]) -> list[tuple[str, Observation]]:
+        """Count the rows per source that go into each layer from here on, as they are written."""
+        self._watched, self._seen = sources, []
+        return self._seen
+
+    def _observed(self, layer: str, rows: DataFrame) -> DataFrame:
+        if not self._watched:
+            return rows
+        self._seen.append((layer, Observation(f"{layer}-{len(self._seen)}")))
+        return rows.observe(self._seen[-1][1], *[
+            F.count_if(F.col("source") == F.lit(s)).alias(f"n{k}") for k, s in enumerate(self._watched)])
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -47,9 +61,9 @@ class UsageStore:
     def read(self, name: str) -> DataFrame:
         path = self.path(name)
         if name in VERSIONED:
-            path = f"{path}/{self._versions(name)[0]}"
+            path = f"{path}/v-{max(self._versions(name), default=0):012d}"
         stored = mrg.read_table(self.spark, path, SCHEMAS[name])
-        return stored.select(*SCHEMAS[name].names)
+        return stored if name == "generation" else stored.select(*SCHEMAS[name].names)
 
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
         return rows.select(*[
@@ -67,40 +81,32 @@ class UsageStore:
             else:
                 self._replace(name, shaped)
 
-    def _pointer(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/_current")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _versions(self, name: str) -> list[str]:
-        """The current version of a table and the one before it."""
-        files, path = self._pointer(name)
-        if not files.exists(path):
-            return ["none", "none"]
-        stream = files.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
-        finally:
-            stream.close()
-
-    def _new_version(self, name: str, rows: DataFrame) -> str:
-        """Store rows as a version that is not yet current."""
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path(name)}/{version}")
-        return version
-
-    def _switch(self, name: str, version: str) -> None:
-        """Make a version current. The one before it stays for plans that still read it."""
-        current, before = self._versions(name)
-        files, path = self._pointer(name)
-        stream = files.create(path, True)
-        stream.write(f"{version} {current}".encode())
-        stream.close()
-        if before != "none":
-            mrg.remove_folder(self.spark, f"{self.path(name)}/{before}")
+    def _files(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def _versions(self, name: str, complete: bool = True) -> list[int]:
+        """Numbers of a small table's versions, newest first; those whose write came to its end have a mark."""
+        files, folder = self._files(self.path(name))
+        if not files.exists(folder):
+            return []
+        paths = [status.getPath() for status in files.listStatus(folder)]
+        return sorted((int(p.getName()[2:]) for p in paths if p.getName().startswith("v-") and (
+            not complete or files.exists(self._files(f"{p}/{COMPLETE}")[1]))), reverse=True)
 
     def _replace(self, name: str, rows: DataFrame) -> None:
-        """Replace a table that the rows may have been read from: a failure in between leaves it as it was."""
-        self._switch(name, self._new_version(name, rows))
+        """Write rows, which may have been read from the table, as its newest version. It counts from the moment its mark is
+        there, so a failure in between leaves the table as it was. The version before it stays for plans that still read it."""
+        number = max(self._versions(name, complete=False), default=0) + 1
+        path = f"{self.path(name)}/v-{number:012d}"
+        rows.write.parquet(path)
+        files, mark = self._files(f"{path}/{COMPLETE}")
+        if not files.exists(mark):
+            files.create(mark).close()
+        kept = self._versions(name)[:2]
+        for old in self._versions(name, complete=False):
+            if old < min(kept):
+                mrg.remove_folder(self.spark, f"{self.path(name)}/v-{old:012d}")
 
     def add_events(self, events: DataFrame) -> None:
         """Price and merge events, and note the dates whose hours, days and sessions are now stale: those that events
@@ -109,7 +115,7 @@ class UsageStore:
         Prices are those stored now; a later price change affects later events only. The notes are written first: one too
         many costs a rebuild, one too few would leave sums that no event stands for.
         """
-        unpriced = cut_lineage(drop_zero_usage(events))
+        unpriced = cut_lineage(self._observed("event", drop_zero_usage(events)))
         priced = self._shaped("event", price_usage(unpriced, self.read("prices")))
         staged = mrg.stage_merge(self.path("event"), priced, EVENT_KEYS, mrg.upsert_events)
         dates = ["device", "source", "usage_date"]
@@ -215,11 +221,12 @@ class UsageStore:
 
         events = self._of_dates("event", stale)
         before = cut_lineage(self._of_dates("event_hour", stale))
-        after = cut_lineage(self._shaped("event_hour", hour_rollup(events)))
+        after = cut_lineage(self._observed("hour", self._shaped("event_hour", hour_rollup(events))))
         self._stage_retracted_hours(before, after, stale).commit()
         days = cut_lineage(daily_rebuild(on_days(self.read("hour"), around(2)), tz))
         gone = daily_rebuild(before, tz).join(days, DAILY_KEYS, "left_anti").select(*DAILY_KEYS)
-        self._stage_daily(on_days(days, around(1)), as_of, locked_at, gone).commit()
+        reached = lookup_join(on_days(days, around(1)), stale.select("device", "source").distinct(), ["device", "source"], "left_semi")
+        self._stage_daily(self._observed("daily", cut_lineage(reached)), as_of, locked_at, gone).commit()
         self._rebuild_sessions(events, stale)
         self._replace_dates("event_hour", after, stale)
 
@@ -263,6 +270,7 @@ class UsageStore:
         same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in ("device", "source", "usage_date")]
         kept = whole.alias("x").join(stale.alias("y"), same, "left_anti")
         before, after = (self._shaped("session", sessions_of_parts(p)) for p in (whole, kept.unionByName(parts)))
+        after = cut_lineage(self._observed("session", after))
         incoming = self._bucketed(sessions)
         touched = self._session_buckets(incoming)
         merged = mrg.retract_merge(touched.drop("bucket"), before, after, SESSION_KEYS, MEASURES,
@@ -307,21 +315,39 @@ class UsageStore:
         """Merge the layers of a bundle and register its devices; gives the rows per layer.
 
         Everything is computed and stored before the first table changes, so input that cannot be read
-        changes none of them.
+        changes none of them. The devices come last, and an import that is repeated changes nothing more.
         """
         known = self.read("devices")
         fresh = cut_lineage(mrg.new_devices(names, known))
         counts = {name: layers[name].count() for name in ("hour", "daily", "session")}
         counts["devices"] = fresh.count()
-        devices = self._new_version("devices", known.unionByName(fresh))
+        devices = cut_lineage(known.unionByName(fresh))
         staged = [self._stage_hours(layers["hour"]), self._stage_daily(layers["daily"], as_of, locked_at),
                   self._stage_sessions(layers["session"])]
         for layer in staged:
             layer.commit()
-        self._switch("devices", devices)
+        self._replace("devices", devices)
         return counts
 
+    def generation(self) -> int:
+        """How often the store was emptied."""
+        return self.read("generation").agg(F.max("number")).first()[0] or 0
+
+    def _new_generation(self) -> None:
+        self._replace("generation", self.spark.createDataFrame([(self.generation() + 1,)], SCHEMAS["generation"]))
+
+    def stream_checkpoint(self, base: str) -> str:
+        """Where a stream into this store keeps its progress and state: a folder of its own for every generation of the store. If
+        the stream has progress but the store has no events (its tables were removed), a new generation starts here too."""
+        path = f"{base.rstrip('/')}/generation-{self.generation()}"
+        files, commits = self._files(f"{path}/commits")
+        if files.exists(commits) and files.listStatus(commits) and not self.read("event").take(1):
+            self._new_generation()
+            path = f"{base.rstrip('/')}/generation-{self.generation()}"
+        return path
+
     def reset(self) -> None:
-        """Empty the usage layers, the manifest and all cursors; prices and devices stay."""
+        """Empty the usage layers, the manifest and all cursors, and let streams start anew; prices and devices stay."""
+        self._new_generation()
         for name in [*USAGE_LAYERS, "manifest", "cursors", "pending"]:
             mrg.remove_folder(self.spark, self.path(name))

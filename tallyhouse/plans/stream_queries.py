@@ -11,7 +11,7 @@ from tallyhouse.operators import pricing as prc
 from tallyhouse.plans import adapters as a
 from tallyhouse.plans import ingest_queries as ing
 from tallyhouse.plans.collect import UsageStore
-from tallyhouse.plans.oracle import COST, EVENTS, HOURS, OUT_N, sums
+from tallyhouse.plans.oracle import COST, DAYS, EVENTS, HOURS, OUT_N, sums
 from tallyhouse.plans.registry import ORACLE_SQL, query, shown
 from tallyhouse.schemas import HOUR_KEYS, MEASURES, REQUESTS, TOKENS, TOTAL
 from tallyhouse.session import work_path
@@ -205,6 +205,36 @@ def collect_summary(spark, sf):
     return shown(jobs.collect_summary(a.unpriced_events(spark, sf)))
 
 
+@query("collect_run", f"""{DAYS}, used AS (SELECT *, 'x' AS x FROM ue
+ WHERE input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens + reasoning_output_tokens > 0)
+SELECT source, 'ok' AS status, count(*) AS event, count(DISTINCT (device, usage_date, hour, model)) AS hour,
+ count(DISTINCT (device, (event_time + INTERVAL 8 HOURS)::DATE, model)) AS daily,
+ count(DISTINCT (device, session_id)) AS session FROM used GROUP BY source
+UNION ALL SELECT 'Broken', 'error', 0, 0, 0, 0""")
+def collect_run(spark, sf):
+    """Every source collected by itself, and one that cannot be read: rows per layer, as they were written."""
+    store, events = _store(spark, "store"), a.unpriced_events(spark, sf)
+    sources = [r[0] for r in events.select("source").distinct().orderBy("source").collect()]
+    collectors = {s: lambda s=s: events.where(F.col("source") == s) for s in sources}
+    unread = F.raise_error(F.lit("damaged log"))
+    collectors["Broken"] = lambda: events.withColumn("event_key", F.coalesce(F.when(F.length("event_key") > 0, unread.cast("string")), "event_key"))
+    rows = jobs.collect_run(store, collectors, a.TZ, a.AS_OF, a.LOCK_TIME)
+    return shown(rows, "source", "status", "event", "hour", "daily", "session")
+
+
+@query("reset_and_stream", _STREAM_DAYS)
+def reset_and_stream(spark, sf):
+    """Landed files collected by a stream, the store emptied, and the same files collected again by the same stream."""
+    root, store = work_path(spark, "landing"), _store(spark, "store")
+    _landed_by_session(spark, sf, root)
+    arguments = (spark, root, work_path(spark, "checkpoint"), store, jobs.Increment(parse_openclaw_log), "dev-0",
+                 a.TZ, a.AS_OF, a.LOCK_TIME)
+    for _ in range(2):
+        store.reset()
+        jobs.collect_landed(*arguments, session_of=_by_line)
+    return shown(_days(store))
+
+
 @query("collect_proxy", ORACLE_SQL["ccswitch_hours"].replace("SELECT source,", "SELECT 'dev-x' AS device, source,")
        .replace("SELECT 'dev-x' AS device, source, usage_date, hour", "SELECT source, usage_date, hour", 1))
 def collect_proxy(spark, sf):

@@ -1,14 +1,16 @@
 """Incremental collection: landed segments as a stream, growing files by manifest."""
 
 from collections.abc import Callable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 from datetime import date, datetime
+from threading import Event
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tallyhouse.functions.identity import parent_dir, plain_path
 from tallyhouse.operators.manifest import changed_files, manifest_rows
@@ -68,7 +70,8 @@ def stream_events(
     Every micro-batch merges its events by key, so a replayed batch changes nothing. The query
     ends when all landed files are read, unless ``every`` gives an interval; ``rebuild`` then
     runs after each batch. Hours and days are recomputed for the dates touched, however late
-    their lines are.
+    their lines are. Progress and state belong to the store's generation: after a reset all landed
+    files are read again.
     """
     def collect(batch: DataFrame, number: int) -> None:
         events = increment.events(batch).withColumn("device", F.lit(device))
@@ -79,7 +82,7 @@ def stream_events(
     lines = segment_lines(stream_lines(spark, path, files_per_batch=files_per_batch), session_of)
     writer = increment.states(lines).writeStream.foreachBatch(collect)
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return writer.option("checkpointLocation", store.stream_checkpoint(checkpoint)).trigger(**trigger).start()
 
 
 def collect_landed(
@@ -107,14 +110,51 @@ def stream_hours(events: DataFrame, delay: str) -> DataFrame:
 
 def deduplicated(events: DataFrame, delay: str) -> DataFrame:
     """Stream of events without repeats of a key within the delay. Events later than the delay are dropped;
-    the query's progress counts them (``dropped_late``)."""
+    ``late_rows`` counts them."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(
         ["device", "source", "event_key"])
 
 
-def dropped_late(query) -> int:
-    """Rows that a stream has dropped so far because they came later than its delay."""
-    return sum(state["numRowsDroppedByWatermark"] for step in query.recentProgress for state in step["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that a session's streams drop because they come later than their delay, as they are dropped."""
+
+    def __init__(self) -> None:
+        self._dropped: dict[str, int] = {}
+        self._ended: dict[str, Event] = {}
+
+    def _end_of(self, run: str) -> Event:
+        return self._ended.setdefault(run, Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end_of(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        late = sum(state.numRowsDroppedByWatermark for state in event.progress.stateOperators)
+        self._dropped[run] = self._dropped.get(run, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end_of(str(event.runId)).set()
+
+    def of(self, query, seconds: float = 60.0) -> int:
+        """Rows that this run of a query has dropped so far; of a query that ended, all of them."""
+        if not query.isActive:
+            self._end_of(str(query.runId)).wait(seconds)
+        return self._dropped.get(str(query.runId), 0)
+
+
+@contextmanager
+def late_rows(spark: SparkSession) -> Iterator[LateRows]:
+    """Counts late rows of the streams that are started inside."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)
 
 
 def write_stream_hours(hours: DataFrame, checkpoint: str, store: UsageStore):
@@ -200,6 +240,39 @@ def _unreadable(error: Exception) -> bool:
     return any(word in str(error) for word in ("FAILED_READ_FILE", "PATH_NOT_FOUND", "FileNotFoundException"))
 
 
+def collect_run(
+    store: UsageStore, collectors: dict[str, Callable[[], DataFrame]], tz: str, as_of: date, locked_at: datetime
+) -> DataFrame:
+    """Collect several sources and rebuild once; gives source, status, error, and the rows per layer (event, hour, daily, session).
+
+    A source that cannot be read is reported with its error and does not keep the others from being collected. Rows are counted
+    as they are written, without a pass of their own.
+    """
+    sources, layers = list(collectors), ["event", "hour", "daily", "session"]
+    seen = store.watch(sources)
+    counted: list[tuple[str, Observation]] = []
+    errors: dict[str, str] = {}
+    try:
+        for source, events in collectors.items():
+            start = len(seen)
+            try:
+                store.add_events(events())
+                counted += seen[start:]
+            except (PySparkException, Py4JJavaError) as error:
+                errors[source] = str(error).split("\n", 1)[0][:300]
+        start = len(seen)
+        store.rebuild_pending(tz, as_of, locked_at)
+        counted += seen[start:]
+    finally:
+        store.watch([])
+    counts = dict.fromkeys([(s, layer) for s in sources for layer in layers], 0)
+    for layer, observation in counted:
+        for k, source in enumerate(sources):
+            counts[source, layer] += observation.get.get(f"n{k}") or 0
+    rows = [(s, "error" if s in errors else "ok", errors.get(s), *[counts[s, layer] for layer in layers]) for s in sources]
+    return store.spark.createDataFrame(rows, "source string, status string, error string, event bigint, hour bigint, daily bigint, session bigint")
+
+
 def collect_summary(events: DataFrame) -> DataFrame:
     """Per source: events, (day, model) pairs and (session, model) pairs collected."""
     def pairs(*columns: str) -> Column:

@@ -285,6 +285,51 @@ def test_usage_from_elsewhere_is_not_taken_back(spark, store):
     assert store.read("daily").where("source = 'Hermes Agent'").count() == 1
 
 
+def test_an_unfinished_version_does_not_count(spark, store):
+    """A small table that was being replaced when the driver was lost is as it was, and can be replaced again."""
+    before = store.read("prices").collect()
+    folder = store.path("prices")
+    spark.createDataFrame([("lost", 1.0, 1.0, 0.0, 0.0, NOW)], MODEL_PRICING).write.parquet(f"{folder}/v-000000000002")
+    mrg.remove_folder(spark, f"{folder}/v-000000000002/_SUCCESS")
+    assert store.read("prices").collect() == before
+    for n in (2.0, 3.0, 4.0):
+        store.write(prices=spark.createDataFrame([("gpt-5", n, 1.0, 0.0, 0.0, NOW)], MODEL_PRICING))
+        assert [r.input_rate for r in store.read("prices").collect()] == [n]
+    assert len(store._versions("prices")) == 2 == len(store._versions("prices", complete=False))
+
+
+def test_streams_start_anew_with_the_store(spark, tmp_path, store):
+    land(tmp_path / "landing", "a.jsonl", [claw(1, 10)])
+    arguments = (spark, str(tmp_path / "landing"), str(tmp_path / "checkpoint"), store, jobs.Increment(parse_openclaw_log), "dev", TZ, AS_OF, NOW)
+    jobs.collect_landed(*arguments)
+    assert store.read("event").count() == 1 and store.generation() == 0
+    store.reset()
+    assert store.generation() == 1 and store.read("event").count() == 0
+    jobs.collect_landed(*arguments)
+    assert store.read("event").count() == 1
+    for name in ("event", "hour"):
+        mrg.remove_folder(spark, store.path(name))
+    jobs.collect_landed(*arguments)
+    assert store.read("event").count() == 1 and store.generation() == 2
+
+
+def test_late_rows_are_counted_over_all_batches(spark, tmp_path):
+    def part(n, rows):
+        spark.createDataFrame(rows, "device string, source string, event_key string, event_time timestamp").coalesce(1).write.parquet(
+            str(tmp_path / "in" / f"p{n}"))
+
+    part(0, [("d", "s", "a", datetime(2026, 8, 2))])
+    read = spark.readStream.schema("device string, source string, event_key string, event_time timestamp").option(
+        "recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with jobs.late_rows(spark) as late:
+        for n in range(1, 4):
+            query = jobs.deduplicated(read, "1 hour").writeStream.format("noop").option(
+                "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert late.of(query) == (0 if n == 1 else 1)
+            part(n, [("d", "s", f"late-{n}", datetime(2026, 8, 1)), ("d", "s", f"new-{n}", datetime(2026, 8, 2, 0, n))])
+
+
 def test_no_file_is_lost(spark, tmp_path, store):
     """Names that look like patterns are read, a damaged file is reported and read again once repaired, and
     a round that has one still collects the others."""
