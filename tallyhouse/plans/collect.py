@@ -5,6 +5,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.operators import merge as mrg
 from tallyhouse.operators.filters import drop_zero_usage
@@ -30,8 +31,11 @@ SCHEMAS = {
 #: event_hour and session_part hold what the events summed to at the last rebuild, by hour and by session and day.
 USAGE_LAYERS = ["event", "hour", "daily", "session", "session_part", "event_hour"]
 SESSION_BUCKETS = 64
+FILE_KEYS = ["source", "file_path"]
 #: Small tables that are replaced whole, by a numbered version beside the old one, and the mark of a version that is complete.
-VERSIONED = {"devices", "prices", "manifest", "cursors", "generation"}
+VERSIONED = {"devices", "prices", "cursors", "generation"}
+#: Parts of the file log after which it is written anew as one.
+LOG_PARTS = 64
 COMPLETE = "_SUCCESS"
 
 
@@ -60,6 +64,8 @@ class UsageStore:
 
     def read(self, name: str) -> DataFrame:
         path = self.path(name)
+        if name == "manifest":
+            return self._newest_states()
         if name in VERSIONED:
             path = f"{path}/v-{max(self._versions(name), default=0):012d}"
         stored = mrg.read_table(self.spark, path, SCHEMAS[name])
@@ -71,10 +77,42 @@ class UsageStore:
             for f in SCHEMAS[name]
         ])
 
+    def _log(self) -> DataFrame:
+        return mrg.read_table(self.spark, self.path("manifest"), T.StructType([*MANIFEST.fields, T.StructField("seq", T.LongType())]))
+
+    def _newest_states(self) -> DataFrame:
+        """The last noted state of every file."""
+        state = F.max_by(F.struct(*[c for c in MANIFEST.names if c not in FILE_KEYS]), "seq").alias("s")
+        return self._log().groupBy(*FILE_KEYS).agg(state).select(*FILE_KEYS, "s.*").select(*MANIFEST.names)
+
+    def _log_parts(self) -> list[int]:
+        files, folder = self._files(self.path("manifest"))
+        if not files.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in files.listStatus(folder)]
+        return sorted(int(n[4:]) for n in names if n.startswith("seq="))
+
+    def note_files(self, rows: DataFrame) -> None:
+        """Append states of files to the log, as a part of its own. Of a part whose write does not come to its end, the missing files
+        are read again. After LOG_PARTS parts the newest states are appended as one, and the parts before it go."""
+        parts = self._log_parts()
+        number = max(parts, default=0) + 1
+        self._shaped("manifest", rows).write.mode("overwrite").parquet(f"{self.path('manifest')}/seq={number}")
+        if len(parts) + 1 >= LOG_PARTS:
+            self.write(manifest=self._newest_states())
+
+    def _replace_log(self, rows: DataFrame) -> None:
+        parts = self._log_parts()
+        rows.write.parquet(f"{self.path('manifest')}/seq={max(parts, default=0) + 1}")
+        for part in parts:
+            mrg.remove_folder(self.spark, f"{self.path('manifest')}/seq={part}")
+
     def write(self, **tables: DataFrame) -> None:
         for name, rows in tables.items():
             shaped = self._shaped(name, rows)
-            if name == "session":
+            if name == "manifest":
+                self._replace_log(shaped)
+            elif name == "session":
                 mrg.write_partitions(self._bucketed(shaped), self.path(name), "bucket")
             elif "usage_date" in shaped.columns:
                 mrg.write_partitions(shaped, self.path(name))

@@ -14,8 +14,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from tallyhouse.functions.identity import parent_dir, plain_path
 from tallyhouse.operators.manifest import changed_files, manifest_rows
-from tallyhouse.operators.merge import merge_upsert
-from tallyhouse.plans.collect import SCHEMAS, UsageStore
+from tallyhouse.plans.collect import UsageStore
 from tallyhouse.schemas import MEASURES, REQUESTS
 from tallyhouse.session import cut_lineage
 from tallyhouse.sources import codex, dsh
@@ -224,10 +223,7 @@ def collect_changed_files(
                 merge(names, torn=True)
             return 0
         done = pending.where(F.col("file_path").isin(names))
-        rows = manifest_rows(done, source, now)
-        keys = ["source", "file_path"]
-        rules = {c: "replace" for c in SCHEMAS["manifest"].names if c not in keys}
-        store.write(manifest=merge_upsert(store.read("manifest"), rows, keys, rules))
+        store.note_files(manifest_rows(done, source, now))
         return len(names)
 
     read = sum(collect(names) for names in _rounds(pending, round_bytes, round_files))

@@ -8,6 +8,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import merge as mrg
+from tallyhouse.plans import collect
 from tallyhouse.plans.collect import UsageStore
 from tallyhouse.plans.dashboard import Dashboard
 from tallyhouse.schemas import DEVICES, INPUT, MODEL_PRICING, TOTAL
@@ -354,6 +355,26 @@ def test_no_file_is_lost(spark, tmp_path, store):
     assert jobs.collect_changed_files(*arguments) == jobs.Collected(0, [])
 
 
+def test_a_round_notes_its_own_files_only(spark, tmp_path, store, monkeypatch):
+    """The log of files grows by what a round read, keeps the newest state of a file, and is made one part now and then."""
+    monkeypatch.setattr(collect, "LOG_PARTS", 4)
+    schema = "source string, file_path string, fingerprint string, last_offset bigint, updated_at timestamp"
+
+    def note(*names, mark="1"):
+        store.note_files(spark.createDataFrame([("s", n, mark, 0, NOW) for n in names], schema))
+
+    def parts():
+        return {r.seq: r.n for r in store._log().groupBy("seq").agg(F.count("*").alias("n")).collect()}
+
+    note(*map(str, range(50)))
+    note("x", "y")
+    note("x", mark="2")
+    assert parts() == {1: 50, 2: 2, 3: 1}
+    note("z")
+    assert parts() == {5: 53} and store.read("manifest").count() == 53
+    assert {r.file_path: r.fingerprint for r in store.read("manifest").where("file_path >= 'x'").collect()} == {"x": "2", "y": "1", "z": "1"}
+
+
 def test_many_files_in_one_round(spark, tmp_path, store):
     logs = tmp_path / "logs"
     for n in range(300):
