@@ -108,31 +108,35 @@ def test_gemini_documents(spark, tmp_path):
     assert [r.session_id for r in gemini.parse_gemini_jsonl(found).collect()] == ["j"]
 
 
-def dsh_frames():
-    def answer(seq, i, o):
-        return {"type": "assistant/message", "seq": seq, "time": 1700000000000 + seq,
-                "data": {"usage": {"inputTokens": i, "outputTokens": o}}}
-
-    return [
-        [{"type": "session", "id": "session-test", "cwd": "/w"},
-         {"type": "request/context", "data": {"model": "deepseek-v4-flash"}}, answer(1, 100, 50)],
-        [answer(2, 10, 5)],
-        [{"type": "request/context", "data": {"model": "deepseek-v4-pro"}}, answer(4, 7, 3)],
-        [answer(5, 1, 1), answer(6, 0, 0)],
+def test_harness_frames_whole_and_cut_off(spark, tmp_path):
+    """Answers before the first session header belong to the folder; headers, contexts and sessions switch in between, an
+    empty folder name changes nothing, and a last frame that is cut off takes nothing else with it."""
+    def answer(seq, **usage):
+        return {"type": "assistant/message", "seq": seq, "time": 1754900000000 + 1000 * seq, "data": {"usage": usage}}
+
+    def header(model):
+        return {"type": "request/header", "data": {"header": {"config": {"model": model}}}}
+
+    frames = [
+        [header("alpha-reasoner"), answer(31, inputTokens=12, cacheReadTokens=640)],
+        [{"type": "session", "id": "blue-lake", "cwd": "/srv/notes"}, answer(40, outputTokens=9), answer(41, cacheReadTokens=77)],
+        [{"type": "request/context", "data": {"model": "beta-coder"}}, answer(55, inputTokens=3, outputTokens=4)],
+        [{"type": "session", "id": "red-hill", "cwd": ""}],
+        [answer(56, inputTokens=2, outputTokens=2), header("gamma-writer"), answer(60, inputTokens=8, outputTokens=1, reasoningTokens=5)],
     ]
-
-
-def test_dsh_concatenated_and_torn_frames(spark, tmp_path):
     pack = zstandard.ZstdCompressor()
-    frames = [pack.compress("".join(json.dumps(r) + "\n" for r in f).encode()) for f in dsh_frames()]
-    for name, content in {"whole": b"".join(frames), "torn": b"".join(frames) + frames[0][:-9]}.items():
-        folder = tmp_path / name / "p" / "fallback-id"
+    packed = [pack.compress("".join(json.dumps(r) + "\n" for r in f).encode()) for f in frames]
+    for name, content in {"whole": b"".join(packed), "cut": b"".join([*packed, packed[2][:-7]])}.items():
+        folder = tmp_path / name / "team" / "night-run"
         folder.mkdir(parents=True)
         (folder / "Session.JSONL.zstd").write_bytes(content)
-        events = dsh.parse_dsh_log(files.scan_zstd_tree(spark, [str(tmp_path / name)])).orderBy("event_key").collect()
-        assert [e.event_key for e in events] == [f"dsh::session-test::{n}" for n in (1, 2, 4, 5)]
-        assert [e.model.rsplit("-")[-1] for e in events] == ["flash", "flash", "pro", "pro"]
-        assert {e.project_path for e in events} == {"/w"}
+        events = dsh.parse_dsh_log(files.scan_zstd_tree(spark, [str(tmp_path / name)])).orderBy("event_time").collect()
+        assert [(e.event_key, e.model, e.project_path) for e in events] == [
+            ("dsh::night-run::31", "alpha-reasoner", None), ("dsh::blue-lake::40", "alpha-reasoner", "/srv/notes"),
+            ("dsh::blue-lake::55", "beta-coder", "/srv/notes"), ("dsh::red-hill::56", "beta-coder", "/srv/notes"),
+            ("dsh::red-hill::60", "gamma-writer", "/srv/notes")]
+        assert [(e[INPUT], e.output_tokens, e.cache_read_tokens, e.reasoning_output_tokens) for e in events] == [
+            (12, 0, 640, 0), (0, 9, 0, 0), (3, 4, 0, 0), (2, 2, 0, 0), (8, 1, 0, 5)]
 
 
 def test_scan_order_over_many_splits(spark, tmp_path):
