@@ -1,7 +1,7 @@
 """Document fingerprints by SpotSigs, in DataFrame expressions only.
 
 A spot is a common word (the anchor) with the two content words that follow it, common words between
-them left out. The fingerprint is the set of the spots' hashes. Fingerprints are compared by Jaccard;
+them left out, however many. The fingerprint is the set of the spots' hashes. Fingerprints are compared by Jaccard;
 those whose numbers of spots differ too much for the similarity asked for are never intersected.
 """
 
@@ -20,22 +20,32 @@ COMMON = ("the a an of and to in is that for it on was as with be by this are fr
           "le la les de et des en un une est que du dans pour par sur avec qui au ne "
           "el los las del y se por con para una su lo como más").split()
 ANCHORS = "the a an is was be are this der die das ist ein eine dem le la les un une est el los las se su lo".split()
-#: Common words that may stand between the words of a spot.
-GAP = 3
-
-
-def _spot_pattern() -> str:
-    common, anchor = "|".join(COMMON), "|".join(ANCHORS)
-    content = f"(?: (?:{common})(?= )){{0,{GAP}}}+ (?!(?:{common}) )[^ ]+"
-    return f"(?= ((?:{anchor}){content}{content}) )"
+#: Stands before an anchor in place of its space, so that a run of anchors is a run of characters without a space; words hold letters
+#: and digits only.
+_MARK = "\ue000"
+_OTHER = f" (?:{'|'.join(w for w in COMMON if w not in ANCHORS)})(?= )"
+_ANCHOR = f" ({'|'.join(ANCHORS)})(?= )"
+#: A run of anchors, with what follows up to the second content word if there is one; a match ends with the run.
+_RUN = f"{_MARK}(?:(?=([^ ]++ [^ {_MARK}]++(?:{_MARK}[^ ]++)? [^ {_MARK}]++))[^ ]++|[^ ]++)"
 
 
 def spots(text: Column) -> Column:
     """The sorted set of spot hashes of a text. A text without spots has one, the hash of all its words,
-    so that equal texts are alike and others are not."""
+    so that equal texts are alike and others are not.
+
+    Common words that are no anchors are dropped first. Anchors that follow each other have the same two content words, so
+    each run is looked at once, however long it is and however many common words are in between.
+    """
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    found = F.regexp_extract_all(words, F.lit(_spot_pattern()), F.lit(1))
-    bare = F.transform(found, lambda s: F.hash(F.regexp_replace(s, f" (?:{'|'.join(COMMON)})(?= )", "")))
+    marked = F.regexp_replace(F.regexp_replace(words, _OTHER, ""), _ANCHOR, f"{_MARK}$1")
+    found = F.filter(F.regexp_extract_all(marked, F.lit(_RUN), F.lit(1)), lambda m: m != "")
+
+    def of_run(run: Column) -> Column:
+        parts = F.split(run, " ")
+        first = F.split(parts[1], _MARK)[0]
+        return F.transform(F.array_distinct(F.split(parts[0], _MARK)), lambda a: F.hash(F.concat_ws(" ", a, first, parts[2])))
+
+    bare = F.flatten(F.transform(found, of_run))
     return F.when(F.size(bare) > 0, F.array_sort(F.array_distinct(bare))).otherwise(F.array(F.hash(words)))
 
 

@@ -25,10 +25,9 @@ def brute_spots(text):
         if w in anchors:
             chain, at = [w], i + 1
             while len(chain) < 3:
-                gap = 0
-                while at < len(words) and words[at] in common and gap < ss.GAP:
-                    at, gap = at + 1, gap + 1
-                if at >= len(words) or words[at] in common:
+                while at < len(words) and words[at] in common:
+                    at += 1
+                if at >= len(words):
                     break
                 chain.append(words[at])
                 at += 1
@@ -68,6 +67,19 @@ def test_spots(spark):
     assert all(len(got[i]) == 1 for i in set(got) - set(want))
 
 
+def test_spots_of_all_documents_and_of_long_runs(spark, documents):
+    rows = {r.doc_id: r.text for r in documents.collect()}
+    expected = spark.createDataFrame([(d, s) for d, t in rows.items() for s in brute_spots(t)], "d bigint, s string")
+    want = {r.d: set(r.h) for r in expected.groupBy("d").agg(F.collect_set(F.hash("s")).alias("h")).collect()}
+    got = {r.doc_id: set(r.s) for r in documents.select("doc_id", ss.spots(F.col("text")).alias("s")).collect()}
+    assert all(got[d] == w for d, w in want.items()) and len(want) > 100
+    long = ["the " * 300_000 + "big of in with for cat", "the a " * 150_000, "der Hund " + "of in to " * 100_000 + "Katze"]
+    frame = spark.createDataFrame([(t,) for t in long], "t string").select(ss.spots(F.col("t")).alias("s"))
+    spot = spark.range(1).select(F.hash(F.lit("the big cat")), F.hash(F.lit("der hund katze"))).first()
+    sizes = [r.s for r in frame.collect()]
+    assert sizes[0] == [spot[0]] and len(sizes[1]) == 1 and sizes[2] == [spot[1]]
+
+
 def test_likeness_is_pruned_by_length(spark):
     row = spark.createDataFrame([([1, 2, 3, 4], [1, 2, 3, 5], [1])], "a array<int>, b array<int>, c array<int>")
     a, b, c = (F.col(x) for x in "abc")
