@@ -10,9 +10,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyhouse.llm.texts import smallest, work_table
 
 DIM = 1 << 13
 
@@ -42,8 +48,7 @@ def regions(text: str, triggers: re.Pattern, reach: int) -> list[tuple[int, int]
 
 def shape(token: str) -> str:
     """Letters and digits by kind, runs shortened."""
-    kinds = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "9", token[:64])))
-    return kinds[:12]
+    return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "9", token)))
 
 
 class Weights(NamedTuple):
@@ -70,12 +75,42 @@ def scores(weights: Weights, features: list[list[int]]) -> np.ndarray:
     return np.add.reduceat(weights.unary[flat], np.cumsum(sizes) - sizes)
 
 
+def gather(texts: DataFrame, most_texts: int, sequences: Callable[[str], Iterator[tuple]], most: int) -> list[tuple]:
+    """Labelled sequences (features, labels, skip edges) that ``sequences`` makes of whole texts.
+
+    They are made of the ``most_texts`` distinct texts with the smallest hashes, in tasks, and ``most`` of them at most, again
+    those with the smallest hashes, come to the driver. Only the hashes of all texts are stored to choose from.
+    """
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    chosen = smallest(work_table(hashed.select("h").distinct(), "sample"), "h", most_texts)
+    picked = hashed.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                rows = [(np.array(f, np.int16).tobytes(), np.array(y, np.int8).tobytes(), np.array(e, np.int32).tobytes())
+                        for f, y, e in sequences(text) if f]
+                if rows:
+                    columns = [pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]
+                    columns += [pa.array([h] * len(rows)), pa.array(range(len(rows)), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["features", "labels", "edges", "h", "place"])
+
+    made = picked.select("h", "text").mapInArrow(run, "features binary, labels binary, edges binary, h bigint, place bigint")
+    made = work_table(made.withColumn("key", F.xxhash64("h", "place")), "sequences")
+    out = []
+    for row in smallest(made, "key", most).collect():
+        ys = np.frombuffer(row.labels, np.int8)
+        edges = np.frombuffer(row.edges, np.int32).reshape(-1, 2)
+        out.append((np.frombuffer(row.features, np.int16).reshape(len(ys), -1), ys.tolist(), edges.tolist()))
+    return out
+
+
 def fit(sequences: list[tuple[list[list[int]], list[int], list[tuple[int, int]]]], labels: int, rounds: int = 80,
         rate: float = 0.1, ridge: float = 1e-3) -> Weights:
     """Weights of sequences (features, labels, skip edges), all fitted together by Adam. Every token has as
     many features as every other. No sequences give zero weights."""
     weights = zero(labels)
-    sequences = [s for s in sequences if s[0]]
+    sequences = [s for s in sequences if len(s[0])]
     if not sequences:
         return weights
     longest = max(len(s[0]) for s in sequences)
@@ -136,21 +171,22 @@ def viterbi(weights: Weights, unary: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def beliefs(weights: Weights, unary: np.ndarray, chain: np.ndarray, skips: np.ndarray, rounds: int = 12,
-            damping: float = 0.5) -> np.ndarray:
+def beliefs(weights: Weights, unary: np.ndarray, chain: np.ndarray, skips: np.ndarray, rounds: int = 400,
+            damping: float = 0.5) -> tuple[np.ndarray, bool]:
     """Marginals (token, label) of a graph with chain edges and skip edges (rows of two tokens), by loopy message
-    passing: in every round each edge sends in both directions what its end believes without that edge."""
+    passing: in every round each edge sends in both directions what its end believes without that edge. Rounds go on
+    until no message moves; the second result says whether that was so after ``rounds`` of them."""
     n, labels = unary.shape
     edges = np.concatenate((chain, skips)).reshape(-1, 2)
     if not len(edges):
-        return np.exp(unary - _log_sum(unary, 1)[:, None]) if n else unary
+        return (np.exp(unary - _log_sum(unary, 1)[:, None]) if n else unary), True
     source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
     size = len(edges)
     pair = np.concatenate((np.broadcast_to(weights.step, (len(chain), labels, labels)),
                            np.broadcast_to(weights.skip, (len(skips), labels, labels))))
     pair = np.concatenate((pair, pair.transpose(0, 2, 1)))
     other = np.r_[np.arange(size) + size, np.arange(size)]
-    sent = np.zeros((2 * size, labels))
+    sent, moved = np.zeros((2 * size, labels)), np.inf
     for _ in range(rounds):
         total = unary.copy()
         np.add.at(total, target, sent)
@@ -162,4 +198,4 @@ def beliefs(weights: Weights, unary: np.ndarray, chain: np.ndarray, skips: np.nd
             break
     total = unary.copy()
     np.add.at(total, target, sent)
-    return np.exp(total - _log_sum(total, 1)[:, None])
+    return np.exp(total - _log_sum(total, 1)[:, None]), bool(moved < 1e-3)

@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import crf
-from tallyhouse.llm.texts import bodies, flat_bytes, slices, smallest, work_table
+from tallyhouse.llm.texts import bodies, flat_bytes, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is fitted on at most, those with the smallest text hashes, and their characters.
-FIT_DOCS, FIT_CHARS = 600, 2_000
+#: What the field is fitted on at most: texts, and sequences of up to 120 tokens around their triggers.
+FIT_DOCS, FIT_SEQUENCES = 600, 4_000
 SURE = 0.9
 REACH = 40
 # fixed values
@@ -80,7 +80,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 def stretch(text: str) -> tuple[list[tuple[int, int]], list[list[int]], np.ndarray, np.ndarray]:
-    """Tokens around triggers: places, features, chain edges, skip edges."""
+    """Tokens around triggers: places, features, chain edges, skip edges. A skip edge goes from the first token of a kind to
+    each later one, so that a label is two edges from every repetition however many there are."""
     places, chain = [], []
     for a, b in crf.regions(text, _TRIGGER, REACH):
         first = len(places)
@@ -102,15 +103,14 @@ def stretch(text: str) -> tuple[list[tuple[int, int]], list[list[int]], np.ndarr
                      crf.feature("k k+1", kinds[i], at(kinds, 1), near[2]),
                      crf.feature("k-1 k k+1", at(kinds, -1), kinds[i], at(kinds, 1), near[1], near[2]),
                      crf.feature("lead", any(lead[max(0, i - 4) : i]))])
-    last: dict[str, int] = {}
-    skips = []
+    first_of: dict[str, int] = {}
+    skips = set()
     for i, t in enumerate(tokens):
         if len(t) >= 3 and (t[0].isdigit() or "@" in tokens[max(0, i - 1) : i + 2]):
             for key in {t, t[-4:]} if t[0].isdigit() else {t}:  # the same token, or the same last digits
-                if key in last and last[key] < i - 1:
-                    skips.append((last[key], i))
-                last[key] = i
-    return places, rows, np.array(chain, np.int64).reshape(-1, 2), np.array(skips, np.int64).reshape(-1, 2)
+                if first_of.setdefault(key, i) < i - 1:
+                    skips.add((first_of[key], i))
+    return places, rows, np.array(chain, np.int64).reshape(-1, 2), np.array(sorted(skips), np.int64).reshape(-1, 2)
 
 
 def labels_of(places: list[tuple[int, int]], spans: list[Span]) -> list[int]:
@@ -141,32 +141,33 @@ def agreed(labels: list[int], skips: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> crf.Weights:
-    """Weights fitted on ``FIT_CHARS`` characters around the first digit or at sign of at most ``fit_docs`` distinct texts."""
-    first = F.regexp_instr("text", F.lit("[0-9@]"))
-    part = F.substring("text", F.greatest(F.lit(1), first - FIT_CHARS // 2), F.lit(FIT_CHARS))
-    texts = (bodies(docs).where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), part.alias("text"))
-             .groupBy("h").agg(F.min("text").alias("text")))
-    sequences = []
-    for row in smallest(work_table(texts, "sample"), "h", fit_docs).collect():
-        places, rows, chain, skips = stretch(row.text)
-        ys = agreed(labels_of(places, base_spans(row.text)), skips.tolist())
-        ends = set(range(1, len(places))) - {b for _, b in chain.tolist()}
-        cuts = [0, *sorted(ends), len(places)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            for c in range(a, b, 120):
-                d = min(b, c + 120)
-                edges = [(x - c, y - c) for x, y in skips.tolist() if c <= x < d and c <= y < d]
-                sequences.append((rows[c:d], ys[c:d], edges))
-    return crf.fit(sequences, len(KINDS) + 1)
-
-
-def added(text: str, base: list[Span], weights: crf.Weights) -> list[Span]:
-    """What the field is sure of and no base span touches."""
+def sequences(text: str) -> Iterator[tuple]:
+    """Features, labels and skip edges of at most 120 tokens at a time, around every trigger of a text."""
+    places, rows, chain, skips = stretch(text)
+    ys = agreed(labels_of(places, base_spans(text)), skips.tolist())
+    ends = set(range(1, len(places))) - set(chain[:, 1].tolist())
+    cuts = [0, *sorted(ends), len(places)]
+    low, high = skips.T
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for c in range(a, b, 120):
+            d = min(b, c + 120)
+            inner = skips[np.searchsorted(low, c) : np.searchsorted(low, d)]
+            yield rows[c:d], ys[c:d], inner[inner[:, 1] < d] - c
+
+
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_sequences: int = FIT_SEQUENCES) -> crf.Weights:
+    """Weights fitted around every digit and at sign of at most ``fit_docs`` distinct whole texts, on at most ``fit_sequences``
+    sequences of them."""
+    texts = bodies(docs).where(F.col("text").rlike("[0-9@]")).select("text")
+    return crf.fit(crf.gather(texts, fit_docs, sequences, fit_sequences), len(KINDS) + 1)
+
+
+def added(text: str, base: list[Span], weights: crf.Weights) -> tuple[list[Span], bool]:
+    """What the field is sure of and no base span touches, and whether its messages settled."""
     places, rows, chain, skips = stretch(text)
     if not places:
-        return []
-    belief = crf.beliefs(weights, crf.scores(weights, rows), chain, skips)
+        return [], True
+    belief, settled = crf.beliefs(weights, crf.scores(weights, rows), chain, skips)
     label, sure = belief.argmax(1), belief.max(1) >= SURE
     joined = {b for _, b in chain.tolist()}
     out: list[Span] = []
@@ -180,7 +181,7 @@ def added(text: str, base: list[Span], weights: crf.Weights) -> list[Span]:
             if plausible(text[span[1] : span[2]], span[0]) and not any(a < span[2] and span[1] < b for _, a, b in base):
                 out.append(span)
         i = j
-    return out
+    return out, settled
 
 
 def plausible(text: str, kind: int) -> bool:
@@ -196,31 +197,35 @@ def joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base and spans (both as text) of every document.
+    """doc_id, n_email, n_ip, n_card, n_phone, base and spans (both as text) of every document, and ``settled``, false where
+    messages still moved after the last round.
 
     A null text is empty and has none; repeated rows give a row each; a null doc_id stays null; other
     columns are not looked at. Without anything to fit on, the base spans are all.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, fit_docs))
-    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string"
+    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string, settled boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for part in slices(batches):
             counts, base, spans = np.zeros((part.num_rows, 4), np.int64), [""] * part.num_rows, [""] * part.num_rows
+            settled = [True] * part.num_rows
             data, begins = flat_bytes(part["text"])
             for i in np.unique(np.searchsorted(begins, np.flatnonzero(_MARKS[data]), "right") - 1).tolist():
                 text = part["text"][i].as_py()
                 found = base_spans(text)
                 counts[i] = np.bincount([k for k, _, _ in found], minlength=4)
                 base[i] = joined(found)
-                spans[i] = joined(found + added(text, found, weights))
+                more, settled[i] = added(text, found, weights)
+                spans[i] = joined(found + more)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], *(pa.array(counts[:, k]) for k in range(4)), pa.array(base, pa.string()), pa.array(spans, pa.string())],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
+                [part["doc_id"], *(pa.array(counts[:, k]) for k in range(4)), pa.array(base, pa.string()), pa.array(spans, pa.string()),
+                 pa.array(settled)],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans", "settled"])
 
     return bodies(docs).mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "settled")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import crf
-from tallyhouse.llm.texts import bodies, flat_bytes, slices, smallest, work_table
+from tallyhouse.llm.texts import bodies, flat_bytes, slices
 
 KINDS = ("assign", "access", "hex", "tagged")
-#: Documents that the field is fitted on at most, those with the smallest text hashes, and their characters.
-FIT_DOCS, FIT_CHARS = 800, 2_000
+#: What the field is fitted on at most: texts with a long run of letters and digits and half as many with a digit but no such
+#: run, and sequences of up to 100 tokens around the triggers of each kind of text.
+FIT_DOCS, FIT_SEQUENCES = 800, 4_000
 REACH = 60
 SHORTEST = 12
 # fixed values
@@ -31,13 +33,18 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = ("passw", "secret", "token", "api")
-_TRIGGER = re.compile(r"[0-9]+|password|passwd|secret|token|api_?key|bearer|credential", re.I | re.A)
+#: Digits, words that announce a secret, and words whose letters change from lower to upper case more than once.
+_TRIGGER = re.compile(r"[0-9]+|(?<![a-z])[a-z]++[A-Z]++[a-z]++[A-Z]|password|passwd|secret|token|api_?key|bearer|credential", re.I | re.A)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 _ANNOUNCE = frozenset("password passwd pwd secret token key apikey api_key bearer auth credential private acces pas pass".split())
 _DIGIT = np.zeros(256, bool)
 _DIGIT[[*b"0123456789"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*b"abcdef", *b"0123456789"]] = True
+_LOWER, _UPPER, _MARK = np.zeros((3, 256), bool)
+_LOWER[ord("a") : ord("z") + 1] = True
+_UPPER[ord("A") : ord("Z") + 1] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -64,7 +71,7 @@ def _size(n: int) -> int:
 
 def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[int]]]]:
     """Tokens around triggers, one chain after the other: places and features."""
-    marks = sum(not c.isalnum() and not c.isspace() for c in text[:20_000]) / max(1, min(len(text), 20_000))
+    marks = int(_MARK[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].sum()) / max(1, len(text))
     kind_of_file = (min(4, int(marks * 20)), text.count("\n") > len(text) / 60)
     for a, b in crf.regions(text, _TRIGGER, REACH):
         places = [m.span() for m in _TOKEN.finditer(text, a, b)]
@@ -76,8 +83,8 @@ def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[int]
         for t in tokens:
             if t[0].isalnum() or t[0] in "+/_-":
                 has = "".join(k for k, p in (("9", "[0-9]"), ("a", "[a-z]"), ("A", "[A-Z]")) if re.search(p, t))
-                turns = min(6, len(re.findall(r"[0-9]+|[A-Z]+|[a-z]+", t[:64])))
-                kinds.append(f"{has} {_size(min(len(t), 64))} {turns} {_entropy(t[:64])}")
+                turns = min(6, len(re.findall(r"[0-9]+|[A-Z]+|[a-z]+", t)))
+                kinds.append(f"{has} {_size(len(t))} {turns} {_entropy(t)}")
             else:
                 kinds.append(t)
         rows = []
@@ -100,36 +107,41 @@ def _unclear(token: str) -> bool:
     return len(token) >= SHORTEST and bool(re.search("[0-9]", token) and re.search("[A-Za-z]", token))
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> crf.Weights:
-    """Weights fitted on ``FIT_CHARS`` characters around the first long run of letters and digits with a digit
-    of at most ``fit_docs`` distinct texts; half as many texts with a digit but no such run stand for what
-    is outside."""
-    known = bodies(docs).where(F.col("text").rlike("[0-9]"))
-    pattern = "[A-Za-z0-9]*[0-9][A-Za-z0-9]{11,}"
-    first = F.regexp_instr("text", F.when(F.col("text").rlike(pattern), F.lit(pattern)).otherwise(F.lit("[0-9]")))
-    part = F.substring("text", F.greatest(F.lit(1), first - FIT_CHARS // 2), F.lit(FIT_CHARS))
-    rows = known.select(F.xxhash64("text").alias("h"), part.alias("text"), F.col("text").rlike(pattern).alias("long"))
-    rows = work_table(rows.groupBy("h", "long").agg(F.min("text").alias("text")), "sample")
-    sequences = []
-    for long, most in ((True, fit_docs), (False, fit_docs // 2)):
-        for row in smallest(rows.where(F.col("long") == long), "h", most).collect():
-            values = [v for _, v in matches(row.text)]
-            for places, features in stretches(row.text):
-                ys = [0] * len(places)
-                for a, b in values:
-                    inside = [i for i, (x, y) in enumerate(places) if a <= x and y <= b]
-                    for i in inside:
-                        ys[i] = 1 if i == inside[0] else 2
-                if any(not y and _unclear(row.text[p:q]) for y, (p, q) in zip(ys, places, strict=True)):
-                    continue
-                for c in range(0, len(places), 100):
-                    sequences.append((features[c : c + 100], ys[c : c + 100], []))
-    return crf.fit(sequences, 3)
+def sequences(text: str) -> Iterator[tuple]:
+    """Features and labels of at most 100 tokens at a time around every trigger of a text; chains that hold what is
+    unclear are left out."""
+    values = [v for _, v in matches(text)]
+    for places, features in stretches(text):
+        ys = [0] * len(places)
+        starts, ends = [x for x, _ in places], [y for _, y in places]
+        for a, b in values:
+            first = bisect_left(starts, a)
+            for i in range(first, bisect_right(ends, b)):
+                ys[i] = 1 if i == first else 2
+        if any(not y and _unclear(text[p:q]) for y, (p, q) in zip(ys, places, strict=True)):
+            continue
+        for c in range(0, len(places), 100):
+            yield features[c : c + 100], ys[c : c + 100], []
+
+
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_sequences: int = FIT_SEQUENCES) -> crf.Weights:
+    """Weights fitted around every trigger of at most ``fit_docs`` distinct whole texts with a long run of letters and digits with
+    a digit, and of half as many with a digit but no such run, which stand for what is outside; at most ``fit_sequences``
+    sequences of each."""
+    known = bodies(docs).where(F.col("text").rlike("[0-9]")).select("text")
+    long = F.col("text").rlike("[A-Za-z0-9]*[0-9][A-Za-z0-9]{11,}")
+    return crf.fit(crf.gather(known.where(long), fit_docs, sequences, fit_sequences)
+                   + crf.gather(known.where(~long), fit_docs // 2, sequences, fit_sequences), 3)
+
+
+def _likely(token: str) -> bool:
+    """Digits and letters, or letters that change from lower to upper case more than once."""
+    return bool(re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or len(re.findall("[a-z][A-Z]", token)) > 1
 
 
 def tagged(text: str, base: list[Span], weights: crf.Weights) -> list[Span]:
     """What Viterbi tags as a secret and no base span touches; a secret has at least ``SHORTEST`` characters, with
-    a digit and a letter."""
+    a digit and a letter or with letters of changing case."""
     out: list[Span] = []
     for places, rows in stretches(text):
         tags, i = crf.viterbi(weights, crf.scores(weights, rows)), 0
@@ -139,7 +151,7 @@ def tagged(text: str, base: list[Span], weights: crf.Weights) -> list[Span]:
                 while j < len(places) and tags[j] == 2 and places[j][0] == places[j - 1][1]:
                     j += 1
                 a, b = places[i][0], places[j - 1][1]
-                if b - a >= SHORTEST and re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b]) and not any(x < b and a < y for _, x, y in base):
+                if b - a >= SHORTEST and _likely(text[a:b]) and not any(x < b and a < y for _, x, y in base):
                     out.append((3, a, b))
             i = j
     return out
@@ -172,7 +184,8 @@ def find(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
         for part in slices(batches):
             counts, base, spans = np.zeros((part.num_rows, 4), np.int64), [""] * part.num_rows, [""] * part.num_rows
             data, begins = flat_bytes(part["text"])
-            marked = np.concatenate((np.flatnonzero(_DIGIT[data]), _runs(_LETTER[data], 16)))
+            turns = np.flatnonzero(_LOWER[data[:-1]] & _UPPER[data[1:]])
+            marked = np.concatenate((np.flatnonzero(_DIGIT[data]), _runs(_LETTER[data], 16), turns))
             worth = set(np.unique(np.searchsorted(begins, marked, "right") - 1).tolist())
             for i, text in enumerate(part["text"].to_pylist()):
                 if i in worth or "AKIA" in text or any(n in (low := text.lower()) for n in _NAMES) and ("=" in low or ":" in low):

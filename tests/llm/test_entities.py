@@ -53,7 +53,7 @@ def test_message_passing_is_exact_on_a_chain_and_consistent_over_skips():
     weights = crf.Weights(np.zeros((crf.DIM, 3)), rng.normal(size=(3, 3)), np.eye(3) * 3)
     unary = rng.normal(size=(4, 3))
     chain = np.array([[0, 1], [1, 2], [2, 3]])
-    got = crf.beliefs(weights, unary, chain, np.empty((0, 2), np.int64), rounds=60, damping=0.0)
+    got = crf.beliefs(weights, unary, chain, np.empty((0, 2), np.int64), rounds=60, damping=0.0)[0]
     want, best = np.zeros((4, 3)), (-np.inf, None)
     for path in np.ndindex(3, 3, 3, 3):
         score = sum(unary[i, y] for i, y in enumerate(path)) + sum(weights.step[a, b] for a, b in zip(path, path[1:], strict=False))
@@ -64,8 +64,8 @@ def test_message_passing_is_exact_on_a_chain_and_consistent_over_skips():
     assert crf.viterbi(weights, unary) == best[1]
     far = np.array([[4.0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0.5, 0]])
     flat = crf.Weights(weights.unary, np.zeros((3, 3)), weights.skip)
-    assert crf.beliefs(flat, far, chain, np.array([[0, 3]])).argmax(1)[3] == 0
-    assert crf.beliefs(flat, far, chain, np.empty((0, 2), np.int64)).argmax(1)[3] == 1
+    assert crf.beliefs(flat, far, chain, np.array([[0, 3]]))[0].argmax(1)[3] == 0
+    assert crf.beliefs(flat, far, chain, np.empty((0, 2), np.int64))[0].argmax(1)[3] == 1
 
 
 def test_personal_data(spark, documents):
@@ -102,6 +102,47 @@ def test_secrets(spark, documents):
     assert sum("tagged" in r.spans for d, r in got.items() if d < 5000) <= 3
 
 
+def test_messages_reach_every_repetition_and_settle(spark):
+    again = " then, quite a while later in this text, people wrote 1 (212) 555-{0} once more and"
+    texts = [(i, f"Call +1 (212) 555-{2000 + i} today,{again.format(2000 + i) * 30} that is all.") for i in range(30)]
+    rows = pii.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert sum(r.spans.count("phone") == 31 for r in rows) >= 25
+    assert all(r.settled for r in rows)
+
+
+def test_planted_entities_that_the_patterns_miss(spark, documents):
+    texts = [r.text for r in documents.select("text").limit(120).collect()]
+    forms = [("Call +44 20 7946 {0} today.", "20 7946 {0}"), ("Card 4380-4128-1807-3016 was used, no. {0}.", "4380.4128.1807.3016")]
+    rows, planted = [], {}
+    for i, text in enumerate(texts):
+        first, again = (f.format(1000 + i) for f in forms[i % 2])
+        head = f"{text} {first} {text} Again it was "
+        planted[i] = (len(head), len(head) + len(again))
+        rows.append((i, f"{head}{again} as one may read."))
+    found = wrong = 0
+    for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        a, b = planted[r.doc_id]
+        more = [tuple(map(int, s.split(":")[1:])) for s in set(r.spans.split(",")) - set(r.base.split(","))]
+        found += any(x < b and a < y for x, y in more)
+        wrong += len(more) - sum(x < b and a < y for x, y in more)
+    assert found >= 0.9 * len(texts) and wrong <= 0.05 * len(texts)
+
+
+def test_the_kind_of_file_is_that_of_the_whole_text():
+    prose = "plain words of a long story " * 900
+    code = "a=(1);{}[]!?*" * 8_000
+    last = lambda text: next(ss.stretches(text + " token 12345"))[1][-1][-1]
+    assert len(prose) > 20_000 and last(prose + code) == last(code) != last(prose)
+
+
+def test_fitted_around_every_trigger(spark):
+    far = "no entity is here. " * 400
+    docs = spark.createDataFrame([(i, f"In {i} {far} write to a{i}@b{i}.org {far} or c{i}@d.net") for i in range(20)], "doc_id bigint, text string")
+    got = crf.gather(docs.select("text"), 20, pii.sequences, 1000)
+    assert sum(1 in ys for _, ys, _ in got) == 40
+    assert len(crf.gather(docs.select("text"), 20, pii.sequences, 7)) == 7
+
+
 @pytest.mark.parametrize("operator", [pii, ss])
 def test_odd_rows(operator, odd):
     rows = operator.digest(operator.find(odd)).collect()
