@@ -131,3 +131,13 @@ def test_odd_rows(spark, odd):
     five = kept.where("doc_id = 5").first()
     assert five.text == "line one\nline two\n\n" and five.n_chars == 19 and five.ids == "e"
     assert ld.removed_lines(odd.limit(0)).count() == 0 and ld.dedup(odd.limit(0)).count() == 0
+
+
+def test_pairs_are_alike_as_by_plain_jaccard():
+    rng = random.Random(4)
+    lines = ["", "short", "1234567", "12345678", "aaaaaaaaaaaaaaaaaaaa"] + ["".join(rng.choice("ab é") for _ in range(rng.randrange(40))) for _ in range(200)]
+    x = [rng.choice(lines) for _ in range(600)]
+    y = [v[: len(v) - rng.randrange(3)] if rng.random() < 0.6 else rng.choice(lines) for v in x]
+    for similarity in (0.3, 0.8):
+        want = [ld.jaccard(a, b) >= similarity for a, b in zip(x, y, strict=True)]
+        assert ld.alike(x, y, similarity).tolist() == want and 50 < sum(want) < 590
