@@ -112,14 +112,14 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def _joined(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    """One row (key, node) per distinct key, and a row (key, node, other) for every pair of a line with the
+    """Of lines and their keys (line, band): one row (key, node) per distinct key, and a row (key, node, other) for every pair of a line with the
     first and with the previous line of its key; no rows for no keys."""
     if not len(keys):
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["key", "node", "other"])
-    order = np.lexsort((nodes, keys))
+    nodes, one = np.unique(nodes, return_index=True)
+    keys, nodes = keys[one].ravel(), np.repeat(nodes, BANDS)
+    order = np.argsort(keys, kind="stable")  # lines stay in order within a key
     keys, nodes = keys[order], nodes[order]
-    new = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]
-    keys, nodes = keys[new], nodes[new]
     head = np.r_[True, keys[1:] != keys[:-1]]
     lead = nodes[head][np.cumsum(head) - 1]
     member = np.flatnonzero(~head)
@@ -144,9 +144,9 @@ def _candidates(docs: DataFrame) -> DataFrame:
             found, one = np.unique(found, return_index=True)
             used = np.array([lines[i].strip(_SPACE) != "" for i in one.tolist()], bool)  # blank lines are kept
             found, one = found[used], one[used]
-            keys.append(band_keys(least[one]).ravel())
-            nodes.append(np.repeat(found, BANDS))
-            held += len(nodes[-1])
+            keys.append(band_keys(least[one]))
+            nodes.append(found)
+            held += keys[-1].size
             if held > HELD:
                 yield _joined(np.concatenate(keys), np.concatenate(nodes))
                 keys, nodes, held = [], [], 0
@@ -243,7 +243,8 @@ def _split(lines: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in groups(batches, ["key", "u", "v"]):
             links = linked(block, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if links:  # most blocks are small and have none: no batch for those
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     rows = lines.select("node", "line").mapInArrow(keyed, "key bigint, node bigint").join(roots, "node", "left")
     rows = work_table(rows.select("key", "node", F.coalesce("root", "node").alias("root")), "bands")
