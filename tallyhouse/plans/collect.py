@@ -367,6 +367,55 @@ class UsageStore:
         self._replace("devices", devices)
         return counts
 
+    def remap_devices(self, mapping: DataFrame) -> None:
+        """Put all stored usage of devices under other ids (``mapping``: device, device_id); where the new id has a row of
+        the same key, that row survives.
+
+        Only the days and buckets that hold an old id are rewritten, and for events the days on which the new id has one of
+        their keys. Every layer is computed before the first changes; what events sum to follows last, and a run that
+        fails is repeated with the same result. Stale dates have to be rebuilt before, and no new id may be an old one.
+        """
+        mapping = cut_lineage(mapping.where("device <> device_id").select("device", "device_id").distinct())
+        old = mapping.select("device")
+        if not mapping.select(F.col("device_id").alias("device")).join(old, "device", "left_semi").isEmpty():
+            raise ValueError("a new device id is mapped itself")
+        if not mrg.read_table(self.spark, self.path("pending"), SCHEMAS["pending"]).isEmpty():
+            raise ValueError("rebuild the pending dates before devices are mapped")
+        dates = ["device", "source", "usage_date"]
+        held = [lookup_join(self.read(n), old, ["device"], "left_semi").select(*dates) for n in ("event", "event_hour", "session_part")]
+        held = cut_lineage(held[0].unionByName(held[1]).unionByName(held[2]).distinct())
+        moved = lookup_join(held, mapping, "device", "inner").select(F.col("device_id").alias("device"), "source", "usage_date")
+        stale = cut_lineage(held.unionByName(moved).distinct())
+        staged = [self._stage_remapped(n, mapping, k) for n, k in (("event", EVENT_KEYS), ("hour", HOUR_KEYS), ("daily", DAILY_KEYS))]
+        sessions = cut_lineage(self._bucketed(lookup_join(self.read("session"), old, ["device"], "left_semi")))
+        if not sessions.isEmpty():
+            merged = mrg.remap_devices(self._session_buckets(sessions).drop("bucket"), mapping, SESSION_KEYS)
+            staged.append(mrg.Staged(self.path("session"), sessions, cut_lineage(self._bucketed(merged)), "bucket", []))
+        known = self.read("devices")
+        fresh = mrg.new_devices(mapping.select("device_id", F.col("device").alias("name")), known)
+        devices = cut_lineage(known.join(old.withColumnRenamed("device", "device_id"), "device_id", "left_anti").unionByName(fresh))
+        for layer in staged:
+            layer.commit()
+        events = cut_lineage(self._of_dates("event", stale))
+        self._replace_dates("session_part", cut_lineage(self._shaped("session_part", session_parts(events))), stale)
+        self._replace_dates("event_hour", cut_lineage(self._shaped("event_hour", hour_rollup(events))), stale)
+        self._replace("devices", devices)
+
+    def _stage_remapped(self, name: str, mapping: DataFrame, keys: list[str]) -> mrg.Staged:
+        """A layer's days that hold an old id, under the new ids."""
+        stored, day = self.read(name), "usage_date"
+        others = [c for c in dict.fromkeys([*keys, day]) if c != "device"]
+        held = cut_lineage(lookup_join(stored.select("device", *others), mapping, "device", "inner"))
+        days = held.select(day)
+        if day not in keys:
+            wanted = mrg.sized_for_broadcast(held.select(F.col("device_id").alias("device"), *[k for k in keys if k != "device"]))
+            days = days.unionByName(cut_lineage(stored.select(*keys, day).join(wanted, keys, "left_semi").select(day).distinct()))
+        touched = on_days(stored, days)
+        if not days.where(f"{day} IS NULL").isEmpty():
+            touched = touched.unionByName(stored.where(f"{day} IS NULL"))
+        result = cut_lineage(mrg.remap_devices(touched, mapping, keys))
+        return mrg.Staged(self.path(name), held, result, day, mrg.emptied_folders(touched, result))
+
     def generation(self) -> int:
         """How often the store was emptied."""
         return self.read("generation").agg(F.max("number")).first()[0] or 0

@@ -414,3 +414,46 @@ def test_notes_added_meanwhile_stay(spark, store, monkeypatch):
     monkeypatch.setattr(store, "rebuild", slow)
     store.rebuild_pending(TZ, AS_OF, NOW)
     assert store.read("pending").count() == 1
+
+
+@pytest.mark.parametrize("broken", [None, "daily", "event_hour"])
+def test_devices_of_a_whole_store_are_mapped(spark, store, monkeypatch, broken):
+    """Rows of the old id come under the new one, which keeps its own row of a key; other days are not written; a run that
+    failed halfway is repeated, and a further one changes nothing."""
+    def at(day):
+        return datetime(2026, 8, day, 1)
+
+    mine = usage([("a", at(1), "gpt-5", "s", 10), ("b", at(2), "gpt-5", "r", 20), ("n", None, "gpt-5", "q", 7)])
+    new = [("uuid", *r[1:]) for r in usage([("a", at(3), "gpt-5", "s", 30), ("c", at(2), "gpt-5", "t", 4)])]
+    other = [("else", *r[1:]) for r in usage([("a", at(9), "gpt-5", "u", 1)])]
+    store.collect(spark.createDataFrame(mine + new + other, USAGE), TZ, date(2026, 8, 1), NOW)
+    mapping = spark.createDataFrame([("d", "uuid"), ("else", "else")], "device string, device_id string")
+    write, written = mrg.write_partitions, []
+
+    def watched(rows, path, partition="usage_date"):
+        if broken and path.endswith(f"/{broken}"):
+            raise RuntimeError("lost")
+        if partition == "usage_date":
+            written.extend(r[0] for r in rows.select(partition).distinct().collect())
+        write(rows, path, partition)
+
+    monkeypatch.setattr(mrg, "write_partitions", watched)
+    if broken:
+        with pytest.raises(RuntimeError):
+            store.remap_devices(mapping)
+        broken = None
+    for _ in range(2):
+        store.remap_devices(mapping)
+        events = {(r.device, r.event_key): r[TOTAL] for r in store.read("event").collect()}
+        assert events == {("uuid", "a"): 30, ("uuid", "b"): 20, ("uuid", "c"): 4, ("uuid", "n"): 7, ("else", "a"): 1}
+        hours = {(r.device, r.usage_date.day): r[TOTAL] for r in store.read("hour").collect()}
+        assert hours == {("uuid", 1): 10, ("uuid", 2): 4, ("uuid", 3): 30, ("else", 9): 1}
+        sessions = {(r.device, r.session_id): r[TOTAL] for r in store.read("session").collect()}
+        assert sessions == {("uuid", "s"): 30, ("uuid", "r"): 20, ("uuid", "t"): 4, ("uuid", "q"): 7, ("else", "u"): 1}
+        sums = {(r.device, r.usage_date and r.usage_date.day): r[TOTAL] for r in store.read("event_hour").collect()}
+        assert {k: v for k, v in sums.items() if k[1]} == {("uuid", 2): 24, ("uuid", 3): 30, ("else", 9): 1}
+        assert {r.device for r in store.read("session_part").collect()} == {"uuid", "else"}
+        assert {r.device_id for r in store.read("devices").collect()} == {"uuid"}
+    assert date(2026, 8, 9) not in written
+    with pytest.raises(ValueError):
+        store.remap_devices(spark.createDataFrame([("d", "uuid"), ("uuid", "x")], "device string, device_id string"))
