@@ -288,6 +288,45 @@ def reset_usage(spark, sf):
     return whole
 
 
+_PAIRED = "'dev-' || (substr(device, 5)::INT // 2 * 2)"
+
+
+def _survivors(rows: str, keys: str) -> str:
+    """Rows of a layer under the paired ids: the row of the id that stays, else the one of the smallest id."""
+    return f"""(SELECT * FROM (SELECT {_PAIRED} AS target, r.* FROM {rows} r)
+ QUALIFY row_number() OVER (PARTITION BY target, {keys} ORDER BY target <> device, device) = 1)"""
+
+
+@query("remap_store", f"""{DAYS}, {_DEVICES},
+s AS (SELECT device, source, session_id, sum(total_tokens) AS total_tokens FROM ue GROUP BY ALL)
+SELECT 'event' AS layer, target AS device, count(*) AS n, sum(total_tokens)::BIGINT AS total_tokens
+ FROM {_survivors("ue", "source, event_key")} GROUP BY ALL
+UNION ALL SELECT 'hour', target, count(*), sum(total_tokens)::BIGINT
+ FROM {_survivors("hu", "source, usage_date, hour, model")} GROUP BY ALL
+UNION ALL SELECT 'daily', target, count(*), sum(total_tokens)::BIGINT
+ FROM {_survivors("du", "source, usage_date, model")} GROUP BY ALL
+UNION ALL SELECT 'session', target, count(*), sum(total_tokens)::BIGINT
+ FROM {_survivors("s", "source, session_id")} GROUP BY ALL""")
+def remap_store(spark, sf):
+    """A store whose devices of odd number become the even one before them, mapped twice; the second time changes nothing."""
+    events = cut_lineage(a.usage_events(spark, sf))
+    hours = cut_lineage(rol.hour_rollup(events))
+    store = UsageStore(spark, work_path(spark, "store"))
+    store.write(event=events, hour=hours, event_hour=hours, daily=rol.daily_rebuild(hours, a.TZ),
+                session=rol.session_rollup(events), session_part=rol.session_parts(events), devices=a.devices(spark, sf))
+    number = F.substr("device", F.lit(5)).cast("int")
+    paired = F.concat(F.lit("dev-"), (number - number % 2).cast("string"))
+    mapping = cut_lineage(events.select("device").distinct().withColumn("device_id", paired))
+    store.remap_devices(mapping)
+    store.remap_devices(mapping)
+    parts = [store.read(n).groupBy("device").agg(F.count("*").alias("n"), F.sum(TOTAL).cast("bigint").alias(TOTAL))
+             .select(F.lit(n).alias("layer"), "device", "n", TOTAL) for n in ("event", "hour", "daily", "session")]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return shown(whole)
+
+
 # Prices
 
 _EXPECTED_KEYS = """CASE n % 4 WHEN 0 THEN 'vendor/model-' || n WHEN 1 THEN 'openai/model-' || n
