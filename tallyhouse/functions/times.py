@@ -37,7 +37,7 @@ def utc_hour(instant: Column) -> Column:
 
 
 def bucket_instant(date: Column, hour: Column) -> Column:
-    return F.timestamp_seconds(F.unix_date(date) * F.lit(86400) + hour * F.lit(3600))
+    return F.timestamp_seconds(F.unix_date(date).cast("bigint") * F.lit(86400) + hour * F.lit(3600))
 
 
 def bucket_to_local(date: Column, hour: Column, tz: str) -> Column:

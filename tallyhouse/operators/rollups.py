@@ -103,13 +103,11 @@ def ccswitch_hours(requests: DataFrame, prices: DataFrame, device: str) -> DataF
     return drop_zero_buckets(price_usage(sums, prices))
 
 
-def requests_of_touched_hours(requests: DataFrame, cursor: int = 0) -> DataFrame:
-    """All successful requests of the hours that have requests after the cursor, so that an hour
-    split over two reads is summed whole."""
-    hour = F.floor(F.col("created_at") / 3600).alias("_hour")
-    touched = read_ccswitch_requests(requests, cursor).select(hour).distinct()
-    every = read_ccswitch_requests(requests).withColumn("_hour", hour)
-    return lookup_join(every, cut_lineage(touched), "_hour", "left_semi").drop("_hour")
+def requests_of_touched_hours(requests: DataFrame, low: int | None = None) -> DataFrame:
+    """All successful requests of the hours that may have requests from ``low`` on, so that an hour split over two reads
+    is summed whole. The bound is a literal of the scan."""
+    good = read_ccswitch_requests(requests)
+    return good if low is None else good.where(F.col("created_at") >= low // 3600 * 3600)
 
 
 def dated_rollups(rollups: DataFrame) -> DataFrame:

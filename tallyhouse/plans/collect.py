@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.functions.times import normalize_date
 from tallyhouse.operators import merge as mrg
 from tallyhouse.operators.filters import drop_zero_usage
 from tallyhouse.operators.lookup import lookup_join
@@ -17,15 +18,16 @@ from tallyhouse.operators.rollups import (
     requests_of_touched_hours, session_parts, sessions_of_parts,
 )
 from tallyhouse.schemas import (
-    CURSORS, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST, MEASURES,
+    DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST, MEASURES,
     MODEL_PRICING, PENDING, REQUESTS, SESSION_KEYS, SESSION_PART, SESSION_USAGE, TOKENS, TOTAL,
     USAGE_EVENT,
 )
 from tallyhouse.session import cut_lineage
+from tallyhouse.streaming.cursors import follow
 
 SCHEMAS = {
     "event": USAGE_EVENT, "hour": HOUR_USAGE, "daily": DAILY_USAGE, "session": SESSION_USAGE,
-    "devices": DEVICES, "prices": MODEL_PRICING, "manifest": MANIFEST, "cursors": CURSORS,
+    "devices": DEVICES, "prices": MODEL_PRICING, "manifest": MANIFEST,
     "pending": PENDING, "generation": "number bigint", "session_part": SESSION_PART, "event_hour": HOUR_USAGE,
 }
 #: event_hour and session_part hold what the events summed to at the last rebuild, by hour and by session and day.
@@ -33,7 +35,7 @@ USAGE_LAYERS = ["event", "hour", "daily", "session", "session_part", "event_hour
 SESSION_BUCKETS = 64
 FILE_KEYS = ["source", "file_path"]
 #: Small tables that are replaced whole, by a numbered version beside the old one, and the mark of a version that is complete.
-VERSIONED = {"devices", "prices", "cursors", "generation"}
+VERSIONED = {"devices", "prices", "generation"}
 #: Parts of the file log after which it is written anew as one.
 LOG_PARTS = 64
 COMPLETE = "_SUCCESS"
@@ -171,32 +173,25 @@ class UsageStore:
         for file in files:
             mrg.remove_folder(self.spark, unquote(file))
 
-    def cursor(self, name: str) -> int:
-        """Where the last committed read of a source ended, 0 before the first."""
-        row = self.read("cursors").where(F.col("name") == name).agg(F.max("value")).first()
-        return row[0] or 0
-
-    def save_cursor(self, name: str, value: int) -> None:
-        mine = self.spark.createDataFrame([(name, value)], SCHEMAS["cursors"])
-        others = self.read("cursors").where(F.col("name") != name)
-        self._replace("cursors", others.unionByName(mine))
+    def _progress(self, name: str, layer: str) -> str:
+        """Checkpoint of a source that is followed into a layer."""
+        return self.stream_checkpoint(self.path(f"progress/{name}"), layer)
 
     def collect_table(
         self, name: str, rows: DataFrame, column: str, read, tz: str, as_of: date,
         locked_at: datetime,
     ) -> int:
-        """Collect rows from the stored cursor on; the cursor moves after the merge.
+        """Collect the rows of a table from where the last run ended; gives the highest number of the column.
 
-        ``read(rows, cursor)`` gives events. A cursor beyond the newest row, or one left over
-        from tables that were emptied, starts from the beginning.
+        ``read(rows, cursor)`` gives the events of rows from the cursor on. A table that was replaced by
+        one with smaller numbers starts from the beginning, as does a store whose events are gone.
         """
-        newest = rows.agg(F.max(column)).first()[0] or 0
-        cursor = self.cursor(name)
-        if cursor > newest or not self.read("event").take(1):
-            cursor = 0
-        self.collect(read(rows, cursor), tz, as_of, locked_at)
-        self.save_cursor(name, max(cursor, newest))
-        return max(cursor, newest)
+        def collect(low: int | None, high: int) -> None:
+            self.add_events(read(rows.where(F.col(column) <= high), low or 0))
+
+        newest = follow(rows, F.col(column), self._progress(name, "event"), collect)
+        self.rebuild_pending(tz, as_of, locked_at)
+        return newest or 0
 
     def _stage_hours(self, hours: DataFrame) -> mrg.Staged:
         return mrg.stage_merge(
@@ -332,20 +327,26 @@ class UsageStore:
         self, requests: DataFrame, rollups: DataFrame | None, device: str, tz: str, as_of: date,
         locked_at: datetime,
     ) -> None:
-        """Merge proxied requests after the stored cursor as hours, and older history as days."""
-        newest = requests.agg(F.max("created_at")).first()[0] or 0
-        cursor = self.cursor("proxy_requests")
+        """Merge new proxied requests as hours, and new days of older history as days. Each is followed by itself: requests
+        by their second, days by their date, and starts over if its table was replaced."""
         prices = self.read("prices")
-        touched = requests_of_touched_hours(requests, cursor)
-        hours = cut_lineage(ccswitch_hours(touched, prices, device))
-        self.merge_hours(hours)
-        hours.select("device", "source", "usage_date").distinct().write.mode("append").parquet(
-            self.path("pending"))
+
+        def hours(low: int | None, high: int) -> None:
+            touched = requests_of_touched_hours(requests.where(F.col("created_at") <= high), low)
+            sums = cut_lineage(ccswitch_hours(touched, prices, device))
+            sums.select("device", "source", "usage_date").distinct().write.mode("append").parquet(self.path("pending"))
+            self.merge_hours(sums)
+
+        def days(low: int | None, high: int) -> None:
+            new = rollups.where((day <= high) & (day > low if low is not None else F.lit(True)))
+            sums = ccswitch_rollup_daily(new, self.read("daily"), prices, device)
+            self.merge_daily(sums.withColumn(REQUESTS, F.lit(0)), as_of, locked_at)
+
+        follow(requests, F.col("created_at"), self._progress("proxy_requests", "hour"), hours)
         if rollups is not None:
-            days = ccswitch_rollup_daily(rollups, self.read("daily"), prices, device)
-            self.merge_daily(days.withColumn(REQUESTS, F.lit(0)), as_of, locked_at)
+            day = F.unix_date(normalize_date(F.col("date")))
+            follow(rollups, day, self._progress("proxy_rollups", "daily"), days)
         self.rebuild_pending(tz, as_of, locked_at)
-        self.save_cursor("proxy_requests", newest)
 
     def import_usage(
         self, layers: dict[str, DataFrame], names: DataFrame, as_of: date, locked_at: datetime
@@ -423,18 +424,18 @@ class UsageStore:
     def _new_generation(self) -> None:
         self._replace("generation", self.spark.createDataFrame([(self.generation() + 1,)], SCHEMAS["generation"]))
 
-    def stream_checkpoint(self, base: str) -> str:
+    def stream_checkpoint(self, base: str, layer: str = "event") -> str:
         """Where a stream into this store keeps its progress and state: a folder of its own for every generation of the store. If
-        the stream has progress but the store has no events (its tables were removed), a new generation starts here too."""
+        the stream has progress but the layer it fills has no rows (its tables were removed), a new generation starts here too."""
         path = f"{base.rstrip('/')}/generation-{self.generation()}"
         files, commits = self._files(f"{path}/commits")
-        if files.exists(commits) and files.listStatus(commits) and not self.read("event").take(1):
+        if files.exists(commits) and files.listStatus(commits) and not self.read(layer).take(1):
             self._new_generation()
             path = f"{base.rstrip('/')}/generation-{self.generation()}"
         return path
 
     def reset(self) -> None:
-        """Empty the usage layers, the manifest and all cursors, and let streams start anew; prices and devices stay."""
+        """Empty the usage layers, the manifest and all progress, and let streams start anew; prices and devices stay."""
         self._new_generation()
-        for name in [*USAGE_LAYERS, "manifest", "cursors", "pending"]:
+        for name in [*USAGE_LAYERS, "manifest", "progress", "pending"]:
             mrg.remove_folder(self.spark, self.path(name))

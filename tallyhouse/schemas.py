@@ -51,7 +51,6 @@ MODEL_PRICING = _struct(model_key=_S, **dict.fromkeys(RATES, _D), fetched_at=_TS
 DEVICES = _struct(device_id=_S, hostname=_S, display_name=_S, is_local=_B)
 MANIFEST = _struct(source=_S, file_path=_S, fingerprint=_S, last_offset=_L, updated_at=_TS)
 
-CURSORS = _struct(name=_S, value=_L)
 PENDING = _struct(device=_S, source=_S, usage_date=_DATE)
 
 OPENCODE_MESSAGE = _struct(id=_S, session_id=_S, time_created=_L, data=_S)

@@ -5,9 +5,11 @@ from datetime import date, datetime
 
 import pytest
 import zstandard
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import merge as mrg
+from tallyhouse.operators.rollups import requests_of_touched_hours
 from tallyhouse.plans import collect
 from tallyhouse.plans.collect import UsageStore
 from tallyhouse.plans.dashboard import Dashboard
@@ -16,6 +18,7 @@ from tallyhouse.session import cut_lineage
 from tallyhouse.sources import codex, transfer
 from tallyhouse.sources.openclaw import parse_openclaw_log
 from tallyhouse.streaming import jobs
+from tallyhouse.streaming.cursors import follow
 from tests.test_sources import CODEX, CODEX_EVENTS
 
 NOW, AS_OF, TZ = datetime(2026, 8, 3, 9), date(2026, 8, 3), "+08:00"
@@ -150,24 +153,92 @@ def test_csv_quoting(spark, tmp_path):
     assert '"a,""b""",1' in text and ",2" in text and "Name,N" in text
 
 
-def test_cursor_beyond_the_newest_row_starts_over(spark, store):
-    rows = spark.createDataFrame([("m1", 1785542400000), ("m2", 1785546000000)], "id string, time_created bigint")
+def message_events(frame, cursor):
+    kept = frame.where(F.col("time_created") >= cursor)
+    zero = F.lit(0).cast("bigint")
+    return kept.select(
+        F.lit("d").alias("device"), F.lit("OpenCode").alias("source"), F.col("id").alias("event_key"),
+        F.timestamp_millis("time_created").alias("event_time"),
+        F.to_date(F.timestamp_millis("time_created")).alias("usage_date"), F.lit("gpt-5").alias("model"),
+        F.lit(None).cast("string").alias("project_path"), F.lit("s").alias("session_id"),
+        F.lit(3).cast("bigint").alias("input_tokens"), zero.alias("output_tokens"),
+        zero.alias("cache_creation_tokens"), zero.alias("cache_read_tokens"),
+        zero.alias("reasoning_output_tokens"), F.lit(3).cast("bigint").alias("total_tokens"))
+
+
+def test_ranges_of_a_table_that_is_followed(spark, tmp_path):
+    checkpoint = tmp_path / "progress"
+
+    def new(*numbers, fail=False):
+        seen = []
+
+        def collect(low, high):
+            seen.append((low, high))
+            if fail:
+                raise ValueError("lost")
+
+        rows = spark.createDataFrame([(n,) for n in numbers], "n bigint")
+        if fail:
+            with pytest.raises(StreamingQueryException):
+                follow(rows, F.col("n"), str(checkpoint), collect)
+        else:
+            assert follow(rows, F.col("n"), str(checkpoint), collect) == max([n for n in numbers if n is not None], default=None)
+        return seen
+
+    assert new() == [] and new(None) == []
+    assert new(-3, 5, None) == [(None, 5)] and new(-3, 5, None) == []
+    assert new(-3, 5, 5, None) == [(5, 5)], "one more row of the last number"
+    assert new(-3, 5, 5, 9, fail=True) == [(5, 9)]
+    assert new(-3, 5, 5, 9, 12) == [(5, 9), (9, 12)], "the range that failed comes again, then what arrived since"
+    for name in ("3", ".3.crc"):
+        (checkpoint / "commits" / name).unlink()
+    assert new(-3, 5, 5, 9, 12) == [(9, 12)], "a driver lost before the commit"
+    assert new() == []
+    assert new(2, 4) == [(None, 4)], "a table that ends before the offset was replaced"
+    assert new(2, 4, 7) == [(4, 7)]
+
+
+def test_messages_are_collected_from_the_offset(spark, store):
+    first, second = 1785542400000, 1785546000000
+    seen = []
 
     def read(frame, cursor):
-        kept = frame.where(F.col("time_created") >= cursor)
-        zero = F.lit(0).cast("bigint")
-        return kept.select(
-            F.lit("d").alias("device"), F.lit("OpenCode").alias("source"), F.col("id").alias("event_key"),
-            F.timestamp_millis("time_created").alias("event_time"),
-            F.to_date(F.timestamp_millis("time_created")).alias("usage_date"), F.lit("gpt-5").alias("model"),
-            F.lit(None).cast("string").alias("project_path"), F.lit("s").alias("session_id"),
-            F.lit(3).cast("bigint").alias("input_tokens"), zero.alias("output_tokens"),
-            zero.alias("cache_creation_tokens"), zero.alias("cache_read_tokens"),
-            zero.alias("reasoning_output_tokens"), F.lit(3).cast("bigint").alias("total_tokens"))
-
-    store.save_cursor("opencode", 9_999_999_999_999)
-    assert store.collect_table("opencode", rows, "time_created", read, TZ, AS_OF, NOW) == 1785546000000
-    assert store.read("event").count() == 2 and store.cursor("opencode") == 1785546000000
+        seen.append(cursor)
+        return message_events(frame, cursor)
+
+    def collect(*messages):
+        rows = spark.createDataFrame(list(messages), "id string, time_created bigint")
+        newest = store.collect_table("opencode", rows, "time_created", read, TZ, AS_OF, NOW)
+        return newest, store.read("event").count(), store.read("hour").agg(F.sum("total_tokens")).first()[0]
+
+    assert collect(("m1", first)) == (first, 1, 3)
+    assert collect(("m1", first), ("m2", first), ("far", 9_999_999_999_999)) == (9_999_999_999_999, 3, 9)
+    store.reset()
+    assert collect(("m8", first), ("m9", second)) == (second, 2, 6) and seen == [0, first, 0]
+
+
+def test_requests_and_history_of_a_proxy_are_followed(spark, store):
+    start = 1785542400
+    columns = ("created_at bigint, app_type string, model string, data_source string, status_code int, input_tokens bigint,"
+               " output_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint, total_cost_usd string")
+
+    def collect(seconds, days):
+        requests = spark.createDataFrame([(start + n, "claude", "gpt-5", "proxy", 200, 5, 0, 0, 0, "0") for n in seconds], columns)
+        rollups = spark.createDataFrame(
+            [(d, "cursor", "gpt-5", n, 0, 0, 0, "0") for d, n in days],
+            "date string, app_type string, model string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint,"
+            " cache_creation_tokens bigint, total_cost_usd string")
+        store.collect_proxy(requests, rollups, "d", TZ, AS_OF, NOW)
+        hours = {r.hour: (r.input_tokens, r.request_count) for r in store.read("hour").collect()}
+        older = {r.usage_date.day: r.input_tokens for r in store.read("daily").where("usage_date < '2026-07-20'").collect()}
+        return hours, older
+
+    assert collect([0, 60], [("2026-07-01", 7)]) == ({0: (10, 2)}, {1: 7})
+    # an hour split over two reads is whole, also by a request of the last second; days that were read are not read again
+    assert collect([0, 60, 60, 120, 3600], [("2026-07-01", 100), ("2026/07/02", 8), ("never", 1)]) == (
+        {0: (20, 4), 1: (5, 1)}, {1: 7, 2: 8})
+    plan = requests_of_touched_hours(spark.createDataFrame([], columns), start + 60)._jdf.queryExecution().toString()
+    assert str(start) in plan and "Join" not in plan
 
 
 def test_codex_batch_is_the_reference_of_the_stream(spark):
