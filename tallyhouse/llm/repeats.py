@@ -260,10 +260,13 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         few = held.join(crowds, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "whole")
         found = _searched(few).unionByName(_counted(held.join(crowds, "anchor", "left_semi")))
     # a stretch that occurs more than once repeats whole, also if it shares no string with another one
-    found = kinds.join(found, ["anchor", "whole"], "left")
+    # stored, so that the join below reads both sides from plain shuffles, and a frequent stretch is split
+    found = work_table(kinds.join(found, ["anchor", "whole"], "left"), "found")
     full = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))
     ranges = F.explode(F.when(F.col("times") > 1, full).otherwise(F.col("ranges"))).alias("r")
-    partly = mixed_rows.join(found, ["anchor", "whole"]).select("t1", "t2", "start", ranges).select(
+    # equal texts have the same ranges, so each text is joined once
+    once = mixed_rows.select("anchor", "whole", "t1", "t2", "start", "size").distinct()
+    partly = once.join(found, ["anchor", "whole"]).select("t1", "t2", "start", ranges).select(
         "t1", "t2", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b"))
     per_text = alike.unionByName(partly).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return keyed.join(per_text, ["t1", "t2"], "left").select("doc_id", "text", "spans")
