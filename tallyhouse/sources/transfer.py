@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from tallyhouse import constants as K
 from tallyhouse.operators.merge import write_partitions
 from tallyhouse.schemas import BUNDLE, DAILY_USAGE, HOUR_USAGE, SESSION_USAGE, bundle_name
+from tallyhouse.session import cut_lineage
 
 _LAYERS = {"hourUsage": HOUR_USAGE, "dailyUsage": DAILY_USAGE, "sessionUsage": SESSION_USAGE}
 _HEADER = "format string, version bigint, exportedAt string"
@@ -43,7 +44,8 @@ def load_export_bundle(
     """The layers and ``deviceNames`` of a bundle, rejected unless format and version fit. ``formats``
     names the accepted formats, for instance that of the program a bundle was exported from.
 
-    Reads the folder that ``write_export_bundle`` makes, or one JSON file with nested arrays.
+    Reads the folder that ``write_export_bundle`` makes, or one JSON file with nested arrays, whose values are
+    converted to the columns' types, null where they cannot be.
     """
     folder = _folder_header(spark, path)
     if folder is not None:
@@ -53,13 +55,24 @@ def load_export_bundle(
             for layer in _LAYERS
         }
         return {**layers, "deviceNames": spark.read.schema(_NAMES).json(f"{path}/deviceNames")}
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", BUNDLE).alias("j"))
-    _check(whole.select("j.format", "j.version").first(), formats)
+    parsed = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("whole"))
+    whole = cut_lineage(parsed)  # one document, parsed once for the header and all layers
+    header = [F.try_variant_get("whole", f"$.{c}", t).alias(c) for c, t in (("format", "string"), ("version", "bigint"))]
+    _check(whole.select(*header).first(), formats)
     layers = {
-        layer: _to_table(whole.select(F.inline(f"j.{layer}")), layer) for layer in _LAYERS
+        layer: _to_table(_parts(whole, layer).select(*[
+            F.try_variant_get("value", f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
+            for f in _row_schema(layer)]), layer) for layer in _LAYERS
     }
-    return {**layers, "deviceNames": whole.select(
-        F.explode("j.deviceNames").alias("device_id", "name"))}
+    names = _parts(whole, "deviceNames").select(
+        F.col("key").alias("device_id"), F.try_variant_get("value", "$", "string").alias("name"))
+    return {**layers, "deviceNames": names}
+
+
+def _parts(whole: DataFrame, name: str) -> DataFrame:
+    """(key, value) of the elements of an array or object in the document; none if it is absent or null."""
+    part = F.try_variant_get(F.col("whole").outer(), f"$.{name}", "variant")
+    return whole.lateralJoin(whole.sparkSession.tvf.variant_explode(part))
 
 
 def _folder_header(spark: SparkSession, path: str):

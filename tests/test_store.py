@@ -134,12 +134,17 @@ def test_import_twice_changes_nothing(spark, tmp_path, store):
 
 def test_single_file_bundle_and_rejection(spark, tmp_path):
     row = {"device": "d", "source": "s", "usageDate": "2026-08-01", "hour": 3, "model": "m", "totalTokens": 4}
-    good = {"format": "other-format", "version": 1, "deviceNames": {"d": "Desk"}, "hourUsage": [row],
-            "dailyUsage": [], "sessionUsage": []}
+    good = {"format": "other-format", "version": 1, "deviceNames": {"d": "Desk"}, "hourUsage": [row, {**row, "hour": 4, "totalTokens": None, "costUsd": 0.25, "more": [1]}],
+            "dailyUsage": None, "more": {"a": 1}}
     path = tmp_path / "b.json"
     path.write_text(json.dumps(good, indent=2))
     bundle = transfer.load_export_bundle(spark, str(path), ("other-format",))
-    assert (bundle["hourUsage"].first().usage_date, bundle["deviceNames"].first().name) == (date(2026, 8, 1), "Desk")
+    hours = [(r.usage_date, r.hour, r.total_tokens) for r in bundle["hourUsage"].orderBy("hour").collect()]
+    assert hours == [(date(2026, 8, 1), 3, 4), (date(2026, 8, 1), 4, None)]
+    assert [tuple(r) for r in bundle["deviceNames"].collect()] == [("d", "Desk")]
+    assert bundle["dailyUsage"].isEmpty() and bundle["sessionUsage"].isEmpty()
+    plan = bundle["hourUsage"]._jdf.queryExecution().toString()
+    assert "variant_explode" in plan and "parse_json" not in plan, "the stored document is not parsed again"
     for text in (json.dumps({**good, "format": "x"}), json.dumps({**good, "version": 2}), "not json"):
         path.write_text(text)
         with pytest.raises(transfer.BundleRejected):
