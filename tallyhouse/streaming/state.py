@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ORDER = ["file", "start", "seq"]
+#: Chunks of fewer bytes are packed as they are, since Spark's shuffle compresses them together.
+_LEAST_COMPRESSED = 1 << 16
+#: Unpacked lines that go back to Spark in one batch, at least.
+_LINES_PER_BATCH = 10_000
 
 
 def use_keyed_state(spark: SparkSession) -> None:
@@ -28,18 +31,29 @@ def use_keyed_state(spark: SparkSession) -> None:
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    compression = "zstd" if batch.nbytes >= _LEAST_COMPRESSED else None
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
 def _edges(batch: pa.RecordBatch, by: list[str]) -> list[int]:
-    keys = list(zip(*[batch[c].to_pylist() for c in by], strict=True))
-    return [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)] if keys else [0]
+    """Where runs of rows with equal values begin, and the number of rows; a null equals a null."""
+    if not batch.num_rows:
+        return [0]
+    differs = np.zeros(batch.num_rows - 1, dtype=bool)
+    for c in by:
+        row, earlier = batch[c][1:], batch[c][:-1]
+        known = pc.fill_null(pc.not_equal(row, earlier), False)
+        differs |= pc.or_(known, pc.xor(row.is_null(), earlier.is_null())).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(differs) + 1).tolist(), batch.num_rows]
 
 
 class LastValues(StatefulProcessor):
-    """The state before each chunk of a session; the state is the last known value of every column."""
+    """The state before each chunk of a session; the state is the last known value of every column.
+
+    It works on plain rows and asks for the state once, since there may be as many sessions as chunks.
+    """
 
     def __init__(self, columns: list[str]) -> None:
         self.columns = columns
@@ -47,17 +61,18 @@ class LastValues(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", T.StructType([T.StructField(c, T.StringType()) for c in self.columns]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = list(self.state.get() or [None] * len(self.columns)) if self.state.exists() else [None] * len(self.columns)
-        chunks = pd.concat(list(rows), ignore_index=True).sort_values(_ORDER, kind="stable")
-        entries = []
-        for closing in chunks[[f"out_{c}" for c in self.columns]].itertuples(index=False):
-            entries.append(list(last))
-            last = [old if pd.isna(new) else new for old, new in zip(last, closing, strict=True)]
-        self.state.update(tuple(last))
-        out = pd.DataFrame(entries, columns=[f"in_{c}" for c in self.columns])
-        out.insert(0, "lines", chunks["lines"].to_numpy())
-        yield out
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.state.get()
+        before = [None] * len(self.columns) if known is None else list(known)
+        entering, last = Row("lines", *[f"in_{c}" for c in self.columns]), before
+        out = []
+        for chunk in sorted(rows, key=lambda r: (r.file, r.start, r.seq)):
+            out.append(entering(chunk.lines, *last))
+            closing = [chunk[f"out_{c}"] for c in self.columns]
+            last = [old if new is None else new for old, new in zip(last, closing, strict=True)]
+        if last != before:
+            self.state.update(tuple(last))
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -102,6 +117,7 @@ def carry_along_stream(states: DataFrame, upto: dict[str, str], before: dict[str
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=closing.names)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 for part in pa.ipc.open_stream(row["lines"]):
@@ -109,10 +125,16 @@ def carry_along_stream(states: DataFrame, upto: dict[str, str], before: dict[str
                     for n in names:
                         value, entry = part[f"_new_{n}"], row[f"in_{n}"]
                         arrays.append(value if entry is None else pc.fill_null(value, pa.scalar(entry, value.type)))
-                    yield pa.RecordBatch.from_arrays(arrays, names=filled.names)
+                    parts.append(pa.RecordBatch.from_arrays(arrays, names=filled.names))
+                    held += part.num_rows
+                if held >= _LINES_PER_BATCH:
+                    yield pa.concat_batches(parts)
+                    parts, held = [], 0
+        if parts:
+            yield pa.concat_batches(parts)
 
     use_keyed_state(states.sparkSession)
-    chunks = rows.mapInArrow(pack, closing).groupBy("path").transformWithStateInPandas(
+    chunks = rows.mapInArrow(pack, closing).groupBy("path").transformWithState(
         LastValues(names), entering, "append", "none")
     # round robin, so that a large session's lines are unpacked by several tasks
     lines = chunks.repartition(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(unpack, filled)
