@@ -11,6 +11,7 @@ from tallyhouse.functions.times import (
 )
 from tallyhouse.operators.filters import drop_zero_buckets
 from tallyhouse.operators.lookup import lookup_join
+from tallyhouse.operators.merge import key_hash
 from tallyhouse.operators.pricing import price_usage
 from tallyhouse.schemas import COST, DAILY_KEYS, HOUR_KEYS, MEASURES, REQUESTS, SESSION_KEYS, TOTAL
 from tallyhouse.session import cut_lineage
@@ -75,16 +76,16 @@ def sessions_of_parts(parts: DataFrame) -> DataFrame:
     """Sessions with their last activity, first project and the model with most tokens; both
     steps share one partitioning by session."""
     first = F.struct(F.col("first_activity").isNull(), "first_activity", "project_path")
-    per_model = parts.repartition(*SESSION_KEYS).groupBy(*SESSION_KEYS, "model").agg(
+    per_model = parts.repartition(*SESSION_KEYS).groupBy(key_hash(SESSION_KEYS), *SESSION_KEYS, "model").agg(
         *measure_sums(), F.max("last_activity").alias("last_activity"),
         F.min(F.when(F.col("project_path").isNotNull(), first)).alias("project"),
     )
-    return per_model.groupBy(*SESSION_KEYS).agg(
+    return per_model.groupBy("_key_hash", *SESSION_KEYS).agg(
         F.max("last_activity").alias("last_activity"),
         F.min("project").alias("project"),
         F.min_by("model", F.struct((-F.col(TOTAL)).alias("t"), "model")).alias("model"),
         *measure_sums(),
-    ).withColumn("project_path", F.col("project.project_path")).drop("project")
+    ).withColumn("project_path", F.col("project.project_path")).drop("project", "_key_hash")
 
 
 def session_rollup(events: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The stored usage tables and the jobs that keep them: collect, rebuild, import, reset."""
 
 from datetime import date, datetime
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,7 +19,7 @@ from tallyhouse.operators.rollups import (
     requests_of_touched_hours, session_parts, sessions_of_parts,
 )
 from tallyhouse.schemas import (
-    DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST, MEASURES,
+    COST, DAILY_KEYS, DAILY_USAGE, DEVICES, EVENT_KEYS, HOUR_KEYS, HOUR_USAGE, MANIFEST, MEASURES,
     MODEL_PRICING, PENDING, REQUESTS, SESSION_KEYS, SESSION_PART, SESSION_USAGE, TOKENS, TOTAL,
     USAGE_EVENT,
 )
@@ -155,9 +156,22 @@ class UsageStore:
         Prices are those stored now; a later price change affects later events only. The notes are written first: one too
         many costs a rebuild, one too few would leave sums that no event stands for.
         """
-        unpriced = cut_lineage(self._observed("event", drop_zero_usage(events)))
-        priced = self._shaped("event", price_usage(unpriced, self.read("prices")))
-        staged = mrg.stage_merge(self.path("event"), priced, EVENT_KEYS, mrg.upsert_events)
+        self.merge_staged_events([self.stage_events(events)])
+
+    def stage_events(self, events: DataFrame) -> DataFrame:
+        """Events in the shape of their table, not yet priced, stored in the shared folder."""
+        return cut_lineage(self._observed("event", self._shaped("event", drop_zero_usage(events)).drop(COST)))
+
+    def merge_staged_events(self, parts: list[DataFrame]) -> None:
+        """Price and merge staged events in one merge; of an event that is in several parts the last one counts."""
+        unpriced = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(k)) for k, p in enumerate(parts)])
+        priced = price_usage(unpriced, self.read("prices"))
+        incoming = priced.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS["event"]], "_part")
+
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            return mrg.upsert_events(old.drop("_part"), new, ["_part"])
+
+        staged = mrg.stage_merge(self.path("event"), incoming, EVENT_KEYS, merge)
         dates = ["device", "source", "usage_date"]
         stale = staged.incoming.select(*dates).unionByName(staged.replaced.select(*dates))
         stale.distinct().write.mode("append").parquet(self.path("pending"))

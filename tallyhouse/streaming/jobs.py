@@ -241,21 +241,25 @@ def collect_run(
 ) -> DataFrame:
     """Collect several sources and rebuild once; gives source, status, error, and the rows per layer (event, hour, daily, session).
 
-    A source that cannot be read is reported with its error and does not keep the others from being collected. Rows are counted
-    as they are written, without a pass of their own.
+    Every source is read by itself, and those that could be read are merged together: the days of the stored events, which
+    sources share, are rewritten once and not once a source. A source that cannot be read is reported with its error and does
+    not keep the others from being collected. Rows are counted as they are written, without a pass of their own.
     """
     sources, layers = list(collectors), ["event", "hour", "daily", "session"]
     seen = store.watch(sources)
     counted: list[tuple[str, Observation]] = []
     errors: dict[str, str] = {}
+    staged: list[DataFrame] = []
     try:
         for source, events in collectors.items():
             start = len(seen)
             try:
-                store.add_events(events())
+                staged.append(store.stage_events(events()))
                 counted += seen[start:]
             except (PySparkException, Py4JJavaError) as error:
                 errors[source] = str(error).split("\n", 1)[0][:300]
+        if staged:
+            store.merge_staged_events(staged)
         start = len(seen)
         store.rebuild_pending(tz, as_of, locked_at)
         counted += seen[start:]

@@ -13,7 +13,7 @@ from tallyhouse.operators.rollups import requests_of_touched_hours
 from tallyhouse.plans import collect
 from tallyhouse.plans.collect import UsageStore
 from tallyhouse.plans.dashboard import Dashboard
-from tallyhouse.schemas import DEVICES, INPUT, MODEL_PRICING, TOTAL
+from tallyhouse.schemas import DEVICES, INPUT, MODEL_PRICING, TOKENS, TOTAL
 from tallyhouse.session import cut_lineage
 from tallyhouse.sources import codex, transfer
 from tallyhouse.sources.openclaw import parse_openclaw_log
@@ -533,3 +533,28 @@ def test_devices_of_a_whole_store_are_mapped(spark, store, monkeypatch, broken):
     assert date(2026, 8, 9) not in written
     with pytest.raises(ValueError):
         store.remap_devices(spark.createDataFrame([("d", "uuid"), ("uuid", "x")], "device string, device_id string"))
+
+
+def test_sources_of_a_run_are_merged_once(spark, store, monkeypatch):
+    """Sources that share their days rewrite them once; of an event that two collectors give, the later one counts."""
+    merges, stage = [], mrg.stage_merge
+
+    def counted(path, *rest):
+        merges.append(path.rsplit("/", 1)[-1])
+        return stage(path, *rest)
+
+    def usage(*events):
+        rows = [("dev", source, key, datetime(2026, 8, 1, hour), date(2026, 8, 1), "gpt-5", "s", tokens) for source, key, hour, tokens in events]
+        frame = spark.createDataFrame(rows, "device string, source string, event_key string, event_time timestamp, usage_date date, "
+                                            "model string, session_id string, input_tokens bigint")
+        zeros = {c: F.lit(0).cast("bigint") for c in TOKENS if c != INPUT}
+        return lambda: frame.withColumns({**zeros, TOTAL: F.col(INPUT)})
+
+    monkeypatch.setattr(mrg, "stage_merge", counted)
+    broken = usage(("z", "1", 1, 5))().withColumn("event_key", F.raise_error(F.lit("damaged")).cast("string"))
+    collectors = {"a": usage(("a", "1", 1, 10), ("a", "2", 2, 20)), "b": usage(("b", "1", 1, 7), ("a", "2", 3, 30)), "z": lambda: broken}
+    rows = jobs.collect_run(store, collectors, TZ, AS_OF, NOW).drop("error").collect()
+    assert merges.count("event") == 1
+    assert sorted(map(tuple, rows)) == [("a", "ok", 3, 2, 1, 1), ("b", "ok", 1, 1, 1, 1), ("z", "error", 0, 0, 0, 0)]
+    stored = store.read("event").select("source", "event_key", INPUT, "cost_usd").collect()
+    assert sorted(map(tuple, stored)) == [("a", "1", 10, 10.0), ("a", "2", 30, 30.0), ("b", "1", 7, 7.0)]
