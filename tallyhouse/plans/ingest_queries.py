@@ -45,11 +45,11 @@ CLAUDE_ROOT = "/logs/projects"
 
 def claude_lines(spark, sf):
     """Every message twice, with growing counters, among lines that carry no usage."""
-    rows = a.raw_events(spark, sf)
+    rows = a.raw_events(spark, sf).withColumn("stamp", a.stamp(F.col("event_time")))
     path = F.concat(F.lit(f"{CLAUDE_ROOT}/%2Fhome%2Fu"), (F.col("user_id") % 10).cast("string"),
                     F.lit("/s-"), F.col("user_id").cast("string"), F.lit(".jsonl"))
     request = F.when(_every(2), F.concat(F.lit("r"), F.col("event_id").cast("string")))
-    stamp = a.stamp(F.col("event_time"))
+    stamp = F.col("stamp")
 
     def message(model, **usage):
         return F.struct(
@@ -102,10 +102,10 @@ def codex_lines(spark, sf):
     parts = {"input_tokens": "input_tokens", "output_tokens": "output_tokens",
              "cached_input_tokens": "cached", "reasoning_output_tokens": "reasoning_output_tokens"}
     so_far = {f"sum_{n}": F.sum(F.col(c).cast("bigint")).over(day) for n, c in parts.items()}
-    rows = rows.withColumns(so_far)
+    rows = rows.withColumns({**so_far, "stamp": a.stamp(F.col("event_time"))})
     total = F.struct(*[F.col(f"sum_{n}").alias(n) for n in parts])
     last = F.when(_every(11), F.struct(*[F.col(c).cast("bigint").alias(n) for n, c in parts.items()]))
-    stamp = a.stamp(F.col("event_time"))
+    stamp = F.col("stamp")
 
     def line(kind, payload):
         return _json(type=_text(kind), timestamp=stamp, payload=payload)

@@ -11,8 +11,9 @@ from tallyhouse.functions.models import normalize_model
 from tallyhouse.functions.times import to_utc_ts
 from tallyhouse.functions.tokens import pos_int
 from tallyhouse.operators.carry import line_order
+from tallyhouse.operators.merge import key_hash
 from tallyhouse.schemas import CACHE_READ, CACHE_WRITE, INPUT, OUTPUT, REASONING, TOKENS
-from tallyhouse.sources.events import as_events, parsed_json
+from tallyhouse.sources.events import as_events, may_name, parsed_json
 
 _LINE = """
     type string, model string, timestamp string, costUSD double, requestId string,
@@ -32,7 +33,7 @@ def claude_records(lines: DataFrame) -> DataFrame:
         j.requestId != "", F.concat(j.message.id, F.lit(":"), j.requestId)
     ).otherwise(F.concat(F.lit("message:"), j.message.id))
     return (
-        parsed_json(lines, _LINE)
+        parsed_json(lines.where(may_name("assistant")), _LINE)
         .where((j.type == "assistant") & usage.isNotNull() & ~model.contains("synthetic"))
         .select(
             "path", "block", "chunk", "pos", j.timestamp.alias("timestamp"), model.alias("model"),
@@ -58,7 +59,7 @@ def dedup_merge_messages(records: DataFrame) -> DataFrame:
     unnamed = F.when(F.col("message_key").isNull(), line_order())
     counters = [*TOKENS, "logged_cost_usd"]
     return (
-        records.groupBy("path", "message_key", unnamed.alias("_line"))
+        records.groupBy(key_hash(["path", "message_key"]), "path", "message_key", unnamed.alias("_line"))
         .agg(
             F.min_by(F.struct("timestamp", "model"), line_order()).alias("_first"),
             *[F.max(c).alias(c) for c in counters],

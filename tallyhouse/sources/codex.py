@@ -10,7 +10,7 @@ from tallyhouse.functions.tokens import split_cached
 from tallyhouse.operators.carry import carry_forward
 from tallyhouse.schemas import CACHE_READ, INPUT, OUTPUT, REASONING
 from tallyhouse.session import cut_lineage
-from tallyhouse.sources.events import as_events, parsed_json
+from tallyhouse.sources.events import as_events, may_name, parsed_json
 
 _PARTS = ["input_tokens", "output_tokens", "cached_input_tokens", "reasoning_output_tokens"]
 USAGE = "struct<" + ", ".join(f"{p}: bigint" for p in _PARTS) + ">"
@@ -32,7 +32,7 @@ def codex_states(lines: DataFrame) -> DataFrame:
     counts = (j.type == "event_msg") & (j.payload.type == "token_count")
     model = F.coalesce(empty_to_null(j.payload.model), empty_to_null(j.payload.model_info.slug))
     return (
-        parsed_json(lines, _LINE)
+        parsed_json(lines.where(may_name("token_count", "turn_context", "session_meta")), _LINE)
         .where(counts | j.type.isin("turn_context", "session_meta"))
         .select(
             "path", "block", "chunk", "pos", counts.alias("counts"),

@@ -1,5 +1,7 @@
 """Common shape of the events that log parsers emit."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ EVENT_COLUMNS = [
 ]
 
 
+def may_name(*words: str) -> Column:
+    """Whether a line of JSON can hold one of the words in a string. Words are of letters, digits and "_", so JSON writes them as
+    they are or by \\u escapes; all other lines need no parsing."""
+    return reduce(Column.__or__, [F.col("value").contains(w) for w in [*words, "\\u"]])
+
+
 def parsed_json(lines: DataFrame, schema: str) -> DataFrame:
     """Line frame with the parsed line in ``j``; text that is not an object parses to NULLs.
 

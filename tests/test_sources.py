@@ -37,6 +37,16 @@ def test_claude(spark):
     assert (event.session_id, event.project_path) == ("s-1", "w")
 
 
+def test_lines_that_name_no_assistant_are_not_parsed(spark):
+    """They are left out by their text; an escaped name is found, since the parser reads it."""
+    plain = json.loads(CLAUDE[0])
+    escaped = json.dumps({**plain, "type": "?"}).replace("?", "\\u0061ssistant")
+    records = claude.claude_records(lines(spark, [*CLAUDE, escaped]))
+    assert records.count() == 4
+    scan = records._jdf.queryExecution().optimizedPlan().toString().split("from_json")[1]
+    assert "Contains(value" in scan
+
+
 def usage(i, o, c, r):
     return {"input_tokens": i, "output_tokens": o, "cached_input_tokens": c, "reasoning_output_tokens": r}
 
